@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 _LOCAL: list[str] = []
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,20 +45,31 @@ def remove(spark: SparkSession, path: str) -> None:
 def release() -> None:
     """Removes the tables that materialise() wrote and nobody removed."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+        spark, path, _ = _WRITTEN.pop()
         try:
             remove(spark, path)
         except Exception:  # the session may have ended first
             continue
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and outlives lost executors."""
+def materialise(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage and outlives lost executors.
+
+    done: tables from here that nothing needs any more; they are removed. So are the shuffle files of what was written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN.append((spark, path, out))
+    for x in done:
+        for entry in [w for w in _WRITTEN if w[2] is x]:
+            _WRITTEN.remove(entry)
+            remove(spark, entry[1])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffles of plans that the driver has let go
+    return out
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

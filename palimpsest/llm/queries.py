@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digests
 from .common import table
+from .simhash import simhash_components
 from .substring_dedup import substring_digests
 from .suffix_dedup import suffix_digests
 
@@ -13,9 +15,23 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digests(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op8_substring_dedup)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_bpe, op8_substring_dedup, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}

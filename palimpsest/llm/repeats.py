@@ -13,19 +13,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEEDS, RangeHash, byte_codes, materialise, short_batches, slices, small, text_bytes, with_key, word_spans
+from .common import SEEDS, RangeHash, byte_codes, materialise, short_batches, slices, text_bytes, with_key, word_spans
 
 #: Bytes of text that one step of numpy takes.
 STEP = 1 << 20
 #: Different runs with one minimiser beyond which their windows are dealt out by their own digests instead.
 CROWD = 20_000
-PACKED = "mz long, pk long, copies long, pack binary"
+PACKED = "bucket long, f int, mz long, pk long, copies long, pack binary, d1 long"
 FOUND = "mz long, pk long, f int, t int"
 KEYS = ["k1", "k2"]
 
@@ -79,8 +80,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], k: int, m: int, words: bool)
 
 
 def _packs(batches: Iterator[pa.RecordBatch], k: int, words: bool) -> Iterator[pa.RecordBatch]:
-    """The packed strings of the runs asked for; of copies in a task, the first answers."""
+    """The runs asked for as packed strings, or if their minimiser is crowded, their windows' digests; of copies in a task, the first answers."""
     seen: set = set()
+    names = ["bucket", "f", "mz", "pk", "copies", "pack", "d1"]
     for b in batches:
         data, offsets = text_bytes(b.column(2))
         k1, k2 = (b.column(i).to_pylist() for i in (0, 1))
@@ -90,9 +92,9 @@ def _packs(batches: Iterator[pa.RecordBatch], k: int, words: bool) -> Iterator[p
             seen.add((k1[i], k2[i]))
             raw = data[offsets[i] : offsets[i + 1]]
             asked = b.column(3).slice(i, 1).flatten()
-            mz, pk, start, n, copies = (asked.field(f) for f in range(5))
-            s = start.to_numpy().astype(np.int64)
-            e = s + n.to_numpy() + (k - 1)
+            mz, pk, start, n, copies, crowded = (asked.field(f).to_numpy(zero_copy_only=False) for f in range(6))
+            s = start.astype(np.int64)
+            e = s + n + (k - 1)
             whole = raw.tobytes()
             if words:
                 w0, w1, _ = word_spans(raw, np.array([0, len(raw)]))
@@ -100,9 +102,18 @@ def _packs(batches: Iterator[pa.RecordBatch], k: int, words: bool) -> Iterator[p
                 ends = np.cumsum(w1 - w0 + 1)
                 s, e = ends[s] - (w1 - w0 + 1)[s], ends[e - 1] - 1
                 whole = packed
-            for lo in range(0, len(s), 2048):
-                part = slice(lo, lo + 2048)
-                yield pa.RecordBatch.from_arrays([mz[part], pk[part], copies[part], pa.array([whole[x:y] for x, y in zip(s[part].tolist(), e[part].tolist())], pa.binary())], names=["mz", "pk", "copies", "pack"])
+            calm, hot = np.flatnonzero(~crowded), np.flatnonzero(crowded)
+            for lo in range(0, len(calm), 2048):
+                j = calm[lo : lo + 2048]
+                packs = [whole[x:y] for x, y in zip(s[j].tolist(), e[j].tolist())]
+                none = np.full(len(j), -1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(mz[j]), pa.array(none), pa.array(mz[j]), pa.array(pk[j]), pa.array(copies[j]), pa.array(packs, pa.binary()), pa.array(pk[j])], names=names)
+            for lo in range(0, len(hot), 256):
+                j = hot[lo : lo + 256]
+                wins, pack, _, d0, d1, _ = window_digests([whole[x:y] for x, y in zip(s[j].tolist(), e[j].tolist())], k, words)
+                f = (np.arange(len(pack)) - wins[pack]).astype(np.int32)
+                j = j[pack]
+                yield pa.RecordBatch.from_arrays([pa.array(d0.view(np.int64)), pa.array(f), pa.array(mz[j]), pa.array(pk[j]), pa.array(copies[j]), pa.nulls(len(j), pa.binary()), pa.array(d1.view(np.int64))], names=names)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
@@ -140,8 +151,40 @@ def ranges(hit: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _judged(batches: Iterator[pa.RecordBatch], judge: Callable, most: int) -> Iterator[pa.RecordBatch]:
-    for mz, pk, first, end in judge(_batches(batches, most)):
-        yield pa.RecordBatch.from_arrays([pa.array(mz), pa.array(pk), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names=["mz", "pk", "f", "t"])
+    """Packs come first, sorted by minimiser, then single windows, sorted by digest."""
+    names = ["mz", "pk", "f", "t"]
+    rest: list[pa.RecordBatch] = []
+
+    def packs():
+        for b in batches:
+            single = np.flatnonzero(b.column(1).to_numpy() >= 0)
+            if not len(single):
+                yield b.select([2, 3, 4, 5])
+                continue
+            if single[0]:
+                yield b.slice(0, single[0]).select([2, 3, 4, 5])
+            rest.append(b.slice(single[0]))
+            return
+
+    for mz, pk, first, end in judge(_batches(packs(), most)):
+        yield pa.RecordBatch.from_arrays([pa.array(mz), pa.array(pk), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names=names)
+    held = told = None
+    for b in chain(rest, batches):
+        d0, f, mz, pk, copies, d1 = (b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))
+        out = []
+        for key, row, many in zip(zip(d0, d1), zip(mz, pk, f), copies):
+            if held is None or key != held[0]:
+                held, told = (key, row), many > 1
+                if told:
+                    out.append(row)
+            elif row != held[1]:  # not the same run from two tasks
+                if not told:
+                    out.append(held[1])
+                    told = True
+                out.append(row)
+        if out:
+            m, p, f = (np.array(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(p), pa.array(f.astype(np.int32)), pa.array((f + 1).astype(np.int32))], names=names)
 
 
 def window_digests(packs: list[bytes], k: int, words: bool) -> tuple[np.ndarray, ...]:
@@ -161,13 +204,6 @@ def window_digests(packs: list[bytes], k: int, words: bool) -> tuple[np.ndarray,
     return wins, pack, spans[0][at] if words else at, *digests, data
 
 
-def _exploded(batches: Iterator[pa.RecordBatch], k: int, words: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        mz, pk, copies = (b.column(i).to_numpy() for i in range(3))
-        wins, pack, _, d0, d1, _ = window_digests(b.column(3).to_pylist(), k, words)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mz[pack], pk[pack], copies[pack], (np.arange(len(pack)) - wins[pack]).astype(np.int32), d0.view(np.int64), d1.view(np.int64))], names=["mz", "pk", "copies", "f", "d0", "d1"])
-
-
 def repeated(docs: DataFrame, text: str, k: int, m: int, words: bool, judge: Callable, most: int) -> DataFrame:
     """k1, k2, spans: for each text with repeats, the stretches [s, e) of units under windows that start more than once, sorted, maybe overlapping.
 
@@ -178,24 +214,19 @@ def repeated(docs: DataFrame, text: str, k: int, m: int, words: bool, judge: Cal
     keyed = with_key(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
     long_enough = keyed.filter(F.length("text") >= (2 * k - 1 if words else k // 4)).select("k1", "k2", "text")
     occ = materialise(long_enough.mapInArrow(partial(_occurrences, k=k, m=m, words=words), "k1 long, k2 long, start int, n int, mz long, pk long"), "runs")
-    often = occ.groupBy("mz").agg(F.count("*").alias("times")).filter("times > 1").select("mz")
-    some = materialise(occ.join(often, "mz"), "shared-runs")
-    once = some.groupBy("k1", "k2", "start", "n", "mz", "pk").agg(F.count("*").alias("copies"))
-    packs = once.groupBy("mz", "pk").agg(F.sum("copies").alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at"))
-    asked = materialise(packs.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("mz", "pk", "at.start", "at.n", "copies")).alias("asked")), "asked")
-    rows, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()
-    sent = long_enough.join(small(asked, 1, 40 * size + 32 * rows), KEYS).select("k1", "k2", "text", "asked").mapInArrow(partial(_packs, k=k, words=words), PACKED)
-    crowd = materialise(packs.groupBy("mz").agg(F.count("*").alias("different")).filter(F.col("different") > CROWD).select("mz"), "crowded")
-    crowded = crowd.count()
-    calm = sent.join(small(crowd, crowded, 8), "mz", "left_anti") if crowded else sent
-    found = calm.repartition("mz").sortWithinPartitions("mz", "pk").mapInArrow(partial(_judged, judge=judge, most=most), FOUND)
-    if crowded:
-        wins = sent.join(small(crowd, crowded, 8), "mz", "left_semi").dropDuplicates(["mz", "pk"]).select("mz", "pk", "copies", "pack").mapInArrow(partial(_exploded, k=k, words=words), "mz long, pk long, copies long, f int, d0 long, d1 long")
-        wins = materialise(wins, "crowded-windows")
-        twice = wins.groupBy("d0", "d1").agg(F.sum("copies").alias("times")).filter("times > 1").select("d0", "d1")
-        found = found.unionByName(wins.join(twice, ["d0", "d1"]).select("mz", "pk", "f", (F.col("f") + 1).alias("t")))
+    often = materialise(occ.groupBy("mz").agg(F.count("*").alias("times")).filter("times > 1").select("mz"), "minimisers")
+    some = materialise(occ.join(often, "mz"), "shared-runs", occ, often)
+    once = materialise(some.groupBy("k1", "k2", "start", "n", "mz", "pk").agg(F.count("*").alias("copies")), "shared-runs-once", some)
+    packs = materialise(once.groupBy("mz", "pk").agg(F.sum("copies").alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at")), "packs")
+    crowd = packs.groupBy("mz").agg(F.count("*").alias("different")).filter(F.col("different") > CROWD).select(F.col("mz").alias("crowd"))
+    marked = packs.join(crowd, F.col("mz") == F.col("crowd"), "left")
+    asked = marked.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("mz", "pk", "at.start", "at.n", "copies", F.col("crowd").isNotNull().alias("crowded"))).alias("asked"))
+    sent = long_enough.join(asked, KEYS).select("k1", "k2", "text", "asked").mapInArrow(partial(_packs, k=k, words=words), PACKED)
+    order = [F.col("f") >= 0, "bucket", "d1", "mz", "pk", "f"]
+    found = sent.repartition("bucket").sortWithinPartitions(*order).mapInArrow(partial(_judged, judge=judge, most=most), FOUND)
+    found = materialise(found, "found", packs)
     spans = once.join(found, ["mz", "pk"]).select("k1", "k2", F.struct((F.col("start") + F.col("f")).alias("s"), (F.col("start") + F.col("t") + F.lit(k - 1)).alias("e")).alias("span"))
-    return materialise(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans")
+    return materialise(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans", once, found)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .common import table
+from .decontam import contamination
+from .quality import MEASURES, judge
 from .simhash import simhash_components
 from .substring_dedup import substring_digests
 from .suffix_dedup import suffix_digests
@@ -15,6 +18,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -33,5 +41,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_bpe, op8_substring_dedup, op9_simhash)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = judge(docs, table(spark, sf_dir, "labels"), drop_text=True)
+    return judged.select("doc_id", *[F.col("measured")[m].alias(m) for m in MEASURES], "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_decontamination, op6_bpe, op8_substring_dedup, op9_simhash, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, materialise
+from .common import ascii_lower, fresh, materialise, plain
 
 #: Words in a shingle; windows of fewer words are shingles themselves.
 SHINGLE = 3
@@ -77,12 +77,15 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str,
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
-    """df with n_words, n_hit, n_items, items (sorted ids as strings) and contaminated, for df without columns of these names.
+    """df with n_words, n_hit, n_items, items (sorted ids as strings) and contaminated, under names that df doesn't have.
 
     A document word is hit if it is in any occurrence of an item's window; contaminated: n_hit > 0. Null and empty texts
     have no words and are clean; items without words have no windows; a null item id counts as ''; copies of a text are
     looked at once each and get the same values; an empty benchmark leaves all clean; an empty table gives an empty one.
     """
+    named = [*df.columns, *fresh(df, "n_words", "n_hit", "n_items", "items", "contaminated")]
+    df, at = plain(df)
+    text = at[text]
     key = F.struct(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("a"), F.xxhash64(F.lit(0x5DEECE66D), F.coalesce(F.col(text), F.lit(""))).alias("b"))
     found = find_windows(df.select(key.alias("key"), F.col(text).alias("text")), benchmark, "text", item_id, item_text, size)
     places = F.array_sort(F.collect_set(F.struct("start", "length")))
@@ -94,9 +97,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
         lambda acc: acc["sum"],
     )
     per = materialise(per.select(F.col("key").alias("of"), hit.alias("hit"), "items"), "contaminated")
-    mine = fresh(df, "key")[0]
-    counted = df.withColumns({mine: key, "n_words": F.size(item_words(F.col(text))).cast("long")})
+    counted = df.withColumns({"mine": key, "n_words": F.size(item_words(F.col(text))).cast("long")})
     none = F.array().cast("array<string>")
-    return counted.join(per, F.col(mine) == F.col("of"), "left").select(
+    return counted.join(per, F.col("mine") == F.col("of"), "left").select(
         *df.columns, "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("hit").isNotNull().alias("contaminated")
-    )
+    ).toDF(*named)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, small, with_key
+from .common import fresh, materialise, plain, small
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -121,17 +121,19 @@ def safe_cutoffs(scored: DataFrame, risk: float, delta: float) -> DataFrame:
 
 
 def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", id_col: str = "doc_id", risk: float = 0.02, delta: float = 0.05, drop_text: bool = False) -> DataFrame:
-    """df with `measured`, `rates`, `base_failed`, `failed` (names of the measures beyond their cutoff) and `kept`.
+    """df with, under names that it doesn't have, `measured`, `rates`, `base_failed`, `failed` (names of the measures beyond their cutoff) and `kept`.
 
     labels: id_col and quality (1: good). With chance 1 - delta at least, in every stratum each rule rejects at most a
     share `risk` of good texts. A stratum with too few labelled texts to show that has no rules, so its texts are kept if
     they pass the base. Labels that contradict each other or are null don't count; null strata form one stratum; null
     texts have no words and fail the base; repeated rows are judged alike; empty tables give empty results.
     """
-    k1, k2 = fresh(df, "k1", "k2")
-    seen = with_key(df, text) if (k1, k2) == ("k1", "k2") else df.withColumn("k1", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    named = [*(c for c in df.columns if not (drop_text and c == text)), *fresh(df, "measured", "rates", "base_failed", "failed", "kept")]
+    df, at = plain(df)
+    text, stratum, id_col, label_id = at[text], at[stratum], at[id_col], id_col
+    seen = df.withColumn("k1", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = materialise(measure(seen, text).withColumn("rates", rates(F.col("measured"))).drop(*[text] * drop_text), "measured")
-    one = labels.filter("quality is not null").groupBy(F.col(id_col).alias("labelled")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
+    one = labels.filter("quality is not null").groupBy(F.col(label_id).alias("labelled")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     scored = rows.filter(~base_failed(F.col("measured"))).join(one, F.col(id_col) == F.col("labelled")).select(name.alias("stratum"), (F.col("high") == 1).alias("good"), "k1", "rates")
     cutoffs = safe_cutoffs(scored, risk, delta)
@@ -142,14 +144,10 @@ def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "
     value = lambda r: F.coalesce(*[F.when(r["measure"] == m, F.col("rates")[m]) for m in RATES])
     broken = F.transform(F.filter(F.coalesce(F.col("rules"), F.array().cast("array<struct<measure:string,cutoff:double>>")), lambda r: value(r) > r["cutoff"]), lambda r: r["measure"])
     judged = judged.withColumns({"base_failed": base_failed(F.col("measured")), "failed": F.array_sort(broken)})
-    drop = [c for c in ("k1", "k2") if c not in df.columns]
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("of", "rules", *drop)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("of", "rules", "k1").toDF(*named)
 
 
 def quality_filter(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of df that judge() keeps, with df's columns."""
-    inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    ids = options.pop("id_col", "doc_id")
-    judged = judge(inner, labels.select(F.col(ids).alias(at[ids]), "quality"), at[options.pop("stratum", "lang")], at[options.pop("text", "text")], at[ids], **options)
-    return judged.filter("kept").select(*inner.columns).toDF(*df.columns)
+    judged = judge(df, labels, **options)
+    return judged.filter(F.col(judged.columns[-1])).select(*df.columns)

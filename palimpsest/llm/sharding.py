@@ -80,7 +80,7 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame
             F.struct((F.col("node") * 2 + 1).alias("node"), F.slice("rows", half + 1, half).alias("rows"), F.zip_with("sends", got, lambda a, b: a - b).alias("sends")),
         )
         nodes = nodes.select(F.explode(halves).alias("x")).select("x.*")
-        nodes = materialise(nodes, f"matrix-{level}") if level % 4 == 3 else nodes
+        nodes = materialise(nodes, f"matrix-{level}")  # each level is a small table; together they would be one vast plan
         size //= 2
         level += 1
     return nodes.select(F.col("node").alias("part"), "sends")

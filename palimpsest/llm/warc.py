@@ -79,7 +79,7 @@ def read_pages(archive: Archive) -> DataFrame:
     field = lambda k: F.regexp_extract("head", rf"(?m)^{k}: ([^\r\n]*)", 1)
     out = head.select(
         "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), field("WARC-Type").alias("record_type"),
-        F.when(field("X-Refers-To-Page") != "", field("X-Refers-To-Page")).alias("refers_to"), field("WARC-Target-URI").alias("url"), field("WARC-Payload-Digest").alias("said"),
+        F.when(field("X-Refers-To-Page") != "", field("X-Refers-To-Page")).alias("refers_to"), F.decode(F.encode(field("WARC-Target-URI"), "ISO-8859-1"), "UTF-8").alias("url"), field("WARC-Payload-Digest").alias("said"),
     )
     checked = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's digest is not its payload's")))
     return out.withColumn("payload_digest", checked).drop("said")

@@ -16,6 +16,8 @@ from .decontam import item_words
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: The place of the base phrases' rarest word.
+RAREST = {"cc by": 0, "general public license": 2, "all rights reserved": 2}
 
 # Opening or typical sentences of public licences, as words, and the key phrases that must be there.
 TEMPLATES = [
@@ -37,7 +39,7 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["distribute this software for any purpose with or without fee"]),
 ]
 # Words too common in prose to be looked up.
-COMMON = "a an and any are as be by can for free from in is it its law met not of on or that the this to under use with without you".split()
+COMMON = "a all an and any are as be by can for free from in is it its law met not of on or that the this to under use with without you".split()
 #: Licence words of a file that are looked up, the rarest first.
 LOOKED_UP = 12
 
@@ -73,7 +75,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     text = names[text]
     rid, words = "rid", "its_words"
     vocabulary = licence_words()
-    keys = sorted({w for p in BASE for w in p.split()} | set(vocabulary))
+    keys = sorted({p.split()[n] for p, n in RAREST.items()} | set(vocabulary))  # without one of these no phrase and no template can be there
     rest = [c for c in df.columns if c != text]
     worded = df.select(*rest, item_words(F.col(text)).alias(words))
     w = F.col(words)

@@ -39,8 +39,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", "").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "sha1": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long"), "number": F.monotonically_increasing_id()})
-    rows = materialise(rows, "payload-rows")
-    heads = rows.drop("payload")
+    heads = materialise(rows.drop("payload"), "heads")
     first = heads.groupBy("digest").agg(F.max("page_id").alias("first_page"), F.min_by("number", F.struct(F.col("page_id").isNull(), -F.col("page_id"), F.col("number"))).alias("first_number"), F.min_by("url", F.struct(F.col("page_id").isNull(), -F.col("page_id"), F.col("number"))).alias("first_url"))
     first = materialise(first, "first-of-payload")
     both = heads.join(first, "digest")  # a payload may be a third of all rows: Spark splits its side of the join
@@ -55,9 +54,8 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))), F.lit(CRLF),
     )
     headers = materialise(both.select("page_id", mine.alias("record_id"), header.cast("binary").alias("header"), "digest"), "warc-headers")
-    # each payload once: that of the lowest row number among equals
-    store = rows.join(first.select(F.col("first_number").alias("number")), "number", "left_semi").select("digest", "payload")
-    payloads = materialise(store, "warc-payloads", rows, first)
+    # each payload once; copies in a task already meet there, before anything is shuffled
+    payloads = materialise(rows.select("digest", "payload").dropDuplicates(["digest"]), "warc-payloads", heads, first)
     wrong = payloads.filter(F.sha2("payload", 256) != F.col("digest")).limit(1).count()
     if wrong:
         raise RuntimeError("a stored payload doesn't have its digest")

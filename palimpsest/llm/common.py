@@ -67,11 +67,16 @@ def materialise(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
         for entry in [w for w in _WRITTEN if w[2] is x]:
             _WRITTEN.remove(entry)
             remove(spark, entry[1])
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffles of plans that the driver has let go
+    tidy(spark)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of plans that the driver has let go; those of the last job stay until another has run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes are within BROADCAST_BYTES, else df, which is then joined by a shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

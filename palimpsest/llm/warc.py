@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: Payloads of fewer bytes are always stored with their record.
 REVISIT_BYTES = 1000
@@ -59,6 +59,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     wrong = payloads.filter(F.sha2("payload", 256) != F.col("digest")).limit(1).count()
     if wrong:
         raise RuntimeError("a stored payload doesn't have its digest")
+    tidy(pages.sparkSession)
     return Archive(headers, payloads)
 
 

@@ -13,6 +13,7 @@ from .license_scan import scan
 from .quality import MEASURES, judge
 from .sharding import shards_of
 from .simhash import simhash_components
+from .sql import ORACLE_SQL
 from .substring_dedup import substring_digests
 from .suffix_dedup import suffix_digests
 from .warc import read_pages, write_archive
@@ -71,7 +72,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_chat_formatting, op4_decontamination, op5_warc, op6_bpe, op7_license_scan, op8_substring_dedup, op9_simhash, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +81,5 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = _pipeline
+
+__all__ = ["QUERIES", "ORACLE_SQL"]

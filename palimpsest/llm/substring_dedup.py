@@ -40,7 +40,8 @@ def _cut(raw: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.
     for s, e in spans:
         parts.append(raw[at : starts[s]])
         at = int(starts[e]) if e < len(starts) else int(ends[-1])
-    return b"".join([*parts, raw[at:]])
+    left = b"".join([*parts, raw[at:]])
+    return left.rstrip(b" \t\n\x0b\x0c\r") if spans[-1][1] == len(starts) else left
 
 
 def _applied(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:

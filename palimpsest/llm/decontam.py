@@ -48,57 +48,54 @@ def _doc_tokens(words: Column, sizes: list[int]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, size: int) -> DataFrame:
-    """key, start, length, items: each place of a window in a document; key is docs' column of that name."""
+def candidates(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
+    """key, found (array of start, length, win, items): where windows may be in the texts with that key. docs: key, w (words)."""
     wins = materialise(item_windows(benchmark, item_id, item_text, size), "windows")
-    found = wins.agg(F.count("*"), F.collect_set(F.least(F.size("win"), F.lit(SHINGLE)))).first()
-    sizes = sorted(found[1]) or [SHINGLE]
-    blocks = max(1, -(-found[0] // BLOCK))
-    worded = docs.select("key", item_words(F.col(text)).alias("w"))
+    count, lengths = wins.agg(F.count("*"), F.collect_set(F.least(F.size("win"), F.lit(SHINGLE)))).first()
+    sizes = sorted(lengths) or [SHINGLE]
+    blocks = max(1, -(-count // BLOCK))
     out = None
     for b in range(blocks):
         part = wins if blocks == 1 else wins.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
-        # how often each shingle of the block is in the corpus
+        # where the block's shingles are; copies of a text meet on the map side
         asked = part.select(F.explode("tokens").alias("h")).distinct()
-        seen = worded.select(F.explode(_doc_tokens(F.col("w"), sizes)).alias("x")).select(F.col("x.h").alias("h"))
-        counts = seen.join(F.broadcast(asked), "h").groupBy("h").agg(F.count("*").alias("times"))
-        counts = materialise(counts, "shingle-counts")
-        # the prefix: the rarest shingle of each window (of equals the leftmost)
-        placed = part.select("win", "items", F.posexplode("tokens").alias("o", "h")).join(counts, "h")  # a window with a shingle that is nowhere is nowhere
-        whole = placed.groupBy("win").agg(F.min(F.struct("times", "o", "h")).alias("rare"), F.first("items").alias("items"), F.count("*").alias("there"), F.max("o").alias("last"))
+        seen = docs.select("key", F.size("w").alias("n"), F.explode(_doc_tokens(F.col("w"), sizes)).alias("d")).select("key", "n", F.col("d.p").alias("p"), F.col("d.h").alias("h"))
+        seen = materialise(seen.join(F.broadcast(asked), "h").groupBy("key", "n", "p", "h").agg(F.count("*").alias("times")), "shingles")
+        # the prefix: the rarest shingle of each window (of equals the leftmost); a window with a shingle that is nowhere is nowhere
+        counts = seen.groupBy("h").agg(F.sum("times").alias("times"))
+        placed = part.select("win", "items", F.size("tokens").alias("many"), F.posexplode("tokens").alias("o", "h")).join(counts, "h")
+        whole = placed.groupBy("win").agg(F.min(F.struct("times", "o", "h")).alias("rare"), F.first("items").alias("items"), F.count("*").alias("there"), F.first("many").alias("many")).filter("there = many")
         prefix = whole.select(F.col("rare.h").alias("h"), F.struct(F.col("rare.o").alias("o"), "win", "items").alias("x"))
         prefix = materialise(prefix.groupBy("h").agg(F.collect_list("x").alias("xs")), "prefixes")
-        hits = worded.select("key", "w", F.explode(_doc_tokens(F.col("w"), sizes)).alias("d")).join(F.broadcast(prefix), F.col("d.h") == F.col("h"))
-        hits = hits.select("key", "w", F.col("d.p").alias("p"), F.explode("xs").alias("x")).select("key", "w", (F.col("p") - F.col("x.o")).alias("start"), F.size("x.win").alias("length"), "x.win", "x.items")
-        hits = hits.filter((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("w")))
-        hits = hits.filter(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("win")).select("key", "start", "length", "items")
+        hits = seen.join(F.broadcast(prefix), "h").select("key", "n", "p", F.explode("xs").alias("x"))
+        hits = hits.select("key", "n", (F.col("p") - F.col("x.o")).alias("start"), F.size("x.win").alias("length"), "x.win", "x.items").filter((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n")))
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return out.groupBy("key").agg(F.collect_list(F.struct("start", "length", "win", "items")).alias("found"))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
     """df with n_words, n_hit, n_items, items (sorted ids as strings) and contaminated, under names that df doesn't have.
 
     A document word is hit if it is in any occurrence of an item's window; contaminated: n_hit > 0. Null and empty texts
-    have no words and are clean; items without words have no windows; a null item id counts as ''; copies of a text are
-    looked at once each and get the same values; an empty benchmark leaves all clean; an empty table gives an empty one.
+    have no words and are clean; items without words have no windows; a null item id counts as ''; copies of a text share
+    their candidates and get the same values; an empty benchmark leaves all clean; an empty table gives an empty one.
     """
     named = [*df.columns, *fresh(df, "n_words", "n_hit", "n_items", "items", "contaminated")]
     df, at = plain(df)
-    text = at[text]
-    key = F.struct(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("a"), F.xxhash64(F.lit(0x5DEECE66D), F.coalesce(F.col(text), F.lit(""))).alias("b"))
-    found = find_windows(df.select(key.alias("key"), F.col(text).alias("text")), benchmark, "text", item_id, item_text, size)
-    places = F.array_sort(F.collect_set(F.struct("start", "length")))
-    per = found.groupBy("key").agg(places.alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    t = F.coalesce(F.col(at[text]), F.lit(""))
+    keyed = df.withColumn("key", F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(0x5DEECE66D), t).alias("b")))
+    found = candidates(keyed.select("key", item_words(t).alias("w")), benchmark, item_id, item_text, size)
+    joined = keyed.join(found, "key", "left").withColumn("w", item_words(t))
+    # the words themselves: what is left of the candidates is there
+    there = F.filter("found", lambda c: F.slice(F.col("w"), c["start"] + 1, c["length"]) == c["win"])
+    joined = joined.withColumn("there", F.when(F.col("found").isNotNull(), there).otherwise(F.array().cast("array<struct<start:int,length:int,win:array<string>,items:array<string>>>")))
+    places = F.array_sort(F.transform("there", lambda c: F.struct(c["start"].alias("s"), (c["start"] + c["length"]).alias("e"))))
     hit = F.aggregate(
-        "places",
-        F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("end")),
-        lambda acc, x: F.struct((acc["sum"] + F.greatest(F.lit(0).cast("long"), x["start"] + x["length"] - F.greatest(acc["end"], x["start"].cast("long")))).alias("sum"), F.greatest(acc["end"], (x["start"] + x["length"]).cast("long")).alias("end")),
+        places,
+        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
+        lambda acc, x: F.struct((acc["sum"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("sum"), F.greatest(acc["end"], x["e"]).alias("end")),
         lambda acc: acc["sum"],
     )
-    per = materialise(per.select(F.col("key").alias("of"), hit.alias("hit"), "items"), "contaminated")
-    counted = df.withColumns({"mine": key, "n_words": F.size(item_words(F.col(text))).cast("long")})
-    none = F.array().cast("array<string>")
-    return counted.join(per, F.col("mine") == F.col("of"), "left").select(
-        *df.columns, "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("hit").isNotNull().alias("contaminated")
-    ).toDF(*named)
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("there", lambda c: c["items"]))))
+    out = joined.select(*df.columns, F.size("w").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), items.alias("items"))
+    return out.select(*df.columns, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated")).toDF(*named)

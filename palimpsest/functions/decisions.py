@@ -130,3 +130,30 @@ def core_match(hybrid: Column, lesson: Column, unit: Column, context: Column, ga
 
 def traceable(hybrid: Column, lesson: Column, unit: Column, context: Column, gap: Column) -> Column:
     return ~core_match(hybrid, lesson, unit, context, gap) & (gap >= 1) & (hybrid >= 0.405) & ((unit >= 0.28) | ((lesson >= 0.48) & (context >= 0.36)))
+
+
+def lesson_grade(reuse: Column, optimize: Column, reference: Column, new: Column, re_voice: Column, pending: Column, effective: Column, run_ok: Column, run_share: Column, retained: Column) -> Column:
+    """The grade of a lesson from its blocks' action counts, its longest reusable run and whether its experiments are kept (null: unknown)."""
+    eff = F.greatest(F.lit(1), effective)
+    steady = run_ok & (run_share >= 1 / 3)
+    lost = F.coalesce(~retained, F.lit(False))
+    clean = (reference == 0) & (new == 0)
+    return (
+        F.when((pending == 0) & (optimize == 0) & clean & (reuse > 0), "direct_reuse")
+        .when((new / eff >= 0.45) | (new >= F.greatest(F.lit(2.0), eff * 0.35)), "new_production").when(~steady & (run_share < 1 / 3) & (new > 0), "new_production")
+        .when(lost | (reference > 0) | ~steady, "cw_material_video_rerecord").when((pending == 0) & clean & (re_voice == 0), "video_clip")
+        .when((pending == 0) & clean & (re_voice > 0), "partial_rerecord").when((optimize > 0) & clean, "partial_rerecord").otherwise("new_production")
+    )
+
+
+def prescan_verdict(has_primary: Column, best_is_primary: Column, best: Column, primary: Column) -> Column:
+    """What to do with the main counterpart, from the scores of the text; null if it needs a look."""
+    p = F.coalesce(primary, F.lit(0.0))
+    return (
+        F.when(best.isNull(), F.when(~has_primary, "no_old")).when(has_primary & ~best_is_primary, F.when(best - p >= 0.10, "swap_primary"))
+        .when(p >= 0.38, "confirmed").when(p <= 0.22, "heavy_change")
+    )
+
+
+def visual_grade(similarity: Column) -> Column:
+    return F.when(similarity >= 0.85, "画面接近").when(similarity >= 0.55, "可能有改动").otherwise("疑似换图")

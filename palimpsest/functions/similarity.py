@@ -181,3 +181,16 @@ def iou(a: Column, b: Column) -> Column:
 
 def containment(inner: Column, outer: Column) -> Column:
     return F.when(area(inner) > 0, overlap(inner, outer) / area(inner)).otherwise(0.0)
+
+
+def blended(text: Column, image: Column) -> Column:
+    """Text and image similarity of a page: whichever is clear leads."""
+    return F.round(F.when(text >= 0.85, 0.78 * text + 0.22 * image).when((image >= 0.82) & (text < image - 0.12), 0.94 * image + 0.06 * text).otherwise(0.58 * text + 0.42 * image), 4)
+
+
+def image_anchor(a: Column, b: Column) -> Column:
+    """How well two boxes of pictures match: by place, and by size."""
+    mid = lambda x, p, q: (x[p] + x[q]) / 2
+    place = 1 - (F.abs(mid(a, "y0", "y1") - mid(b, "y0", "y1")) / 0.22 + F.abs(mid(a, "x0", "x1") - mid(b, "x0", "x1")) / 0.35) / 2
+    size = F.when((area(a) > 0) & (area(b) > 0), F.least(area(a), area(b)) / F.greatest(area(a), area(b))).otherwise(0.0)
+    return 0.65 * F.greatest(F.lit(0.0), place) + 0.35 * size

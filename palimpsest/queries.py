@@ -469,3 +469,40 @@ def decide_change_types(spark, sf_dir):
     has_old, has_new = F.col("o") != "", F.col("n") != ""
     kind = D.change_type(has_old, has_new, F.col("o"), F.col("n"), F.col("x"), F.col("y"), F.col("nr"), F.col("tr"), F.lit(False))
     return b.withColumn("change_type", kind).select("id", "change_type", D.reuse_action(F.col("change_type"), has_old, has_new, F.col("o"), F.col("tr"), F.col("cw")).alias("action"), D.block_kind(F.col("o"), F.lit("")).alias("kind"))
+
+
+GRADE_SQL = "SELECT l_orderkey, count(*) FILTER (a = 'reuse_as_is') AS u, count(*) FILTER (a = 'optimize') AS o, count(*) FILTER (a = 'reference') AS f, count(*) FILTER (a = 'remove' AND l_quantity > 40) AS n, count(*) FILTER (a = 'optimize' AND l_tax > 0.04) AS v, count(*) FILTER (a = '') AS p, count(*) AS e, count(*) FILTER (a IN ('reuse_as_is', 'optimize')) AS r FROM (SELECT *, " + ACTION_SQL + " AS a FROM lineitem) GROUP BY 1"
+
+
+@query(
+    f"SELECT l_orderkey, CASE WHEN p = 0 AND o = 0 AND f = 0 AND n = 0 AND u > 0 THEN 'direct_reuse' WHEN n::DOUBLE / e >= 0.45 OR n >= greatest(2, e * 0.35::DOUBLE) THEN 'new_production' WHEN NOT ok AND s < 1 / 3 AND n > 0 THEN 'new_production' WHEN f > 0 OR NOT ok THEN 'cw_material_video_rerecord' "
+    f"WHEN p = 0 AND n = 0 AND v = 0 THEN 'video_clip' WHEN p = 0 AND n = 0 AND v > 0 THEN 'partial_rerecord' WHEN o > 0 AND n = 0 THEN 'partial_rerecord' ELSE 'new_production' END AS grade FROM (SELECT *, r::DOUBLE / e AS s, r >= 2 AND r::DOUBLE / e >= 1 / 3 AS ok FROM ({GRADE_SQL}))"
+)
+def decide_lesson_grades(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumn("a", action())
+    count = lambda c: F.count_if(c)
+    g = l.groupBy("l_orderkey").agg(
+        count(F.col("a") == "reuse_as_is").alias("u"), count(F.col("a") == "optimize").alias("o"), count(F.col("a") == "reference").alias("f"), count((F.col("a") == "remove") & (F.col("l_quantity") > 40)).alias("n"),
+        count((F.col("a") == "optimize") & (F.col("l_tax") > 0.04)).alias("v"), count(F.col("a") == "").alias("p"), F.count("*").alias("e"), count(F.col("a").isin("reuse_as_is", "optimize")).alias("r"),
+    )
+    grade = D.lesson_grade(*[F.col(c) for c in "uofnvpe"], F.col("r") >= 2, F.col("r") / F.col("e"), F.lit(None).cast("boolean"))
+    return g.select("l_orderkey", grade.alias("grade"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount >= 0.08 AND l_tax * 10 - l_discount * 5 >= 0.10 THEN 'swap_primary' WHEN l_discount >= 0.08 THEN NULL WHEN l_discount * 5 >= 0.38 THEN 'confirmed' WHEN l_discount * 5 <= 0.22 THEN 'heavy_change' END AS verdict, "
+    "CASE WHEN l_tax * 12 >= 0.85 THEN '画面接近' WHEN l_tax * 12 >= 0.55 THEN '可能有改动' ELSE '疑似换图' END AS grade FROM lineitem"
+)
+def decide_prescan(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    verdict = D.prescan_verdict(F.lit(True), F.col("l_discount") < 0.08, F.col("l_tax") * 10, F.col("l_discount") * 5)
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", verdict.alias("verdict"), D.visual_grade(F.col("l_tax") * 12).alias("grade"))
+
+
+@query(
+    f"WITH b AS ({BOX_SQL}) SELECT a.page, a.id AS a_id, b.id AS b_id, (0.65 * greatest(0.0, 1 - (abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) / 0.22 + abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) / 0.35) / 2) + 0.35 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))) >= 0.38 AS anchored FROM b a JOIN b ON a.page = b.page AND a.id < b.id"
+)
+def layout_image_anchors(spark, sf_dir):
+    b = boxes(spark, sf_dir).select("page", "id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    p = b.select("page", F.col("id").alias("a_id"), F.col("box").alias("a")).join(b.select("page", F.col("id").alias("b_id"), F.col("box").alias("b")), "page").filter("a_id < b_id")
+    return p.select("page", "a_id", "b_id", (S.image_anchor(F.col("a"), F.col("b")) >= 0.38).alias("anchored"))

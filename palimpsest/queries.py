@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import decisions as D
 from .functions import similarity as S
 from .functions import text as T
+from .operators import catalogue as C
 from .operators import matching as M
 from .operators import rollup as R
 from .operators import sequence as Q
@@ -506,3 +507,122 @@ def layout_image_anchors(spark, sf_dir):
     b = boxes(spark, sf_dir).select("page", "id", F.struct("x0", "y0", "x1", "y1").alias("box"))
     p = b.select("page", F.col("id").alias("a_id"), F.col("box").alias("a")).join(b.select("page", F.col("id").alias("b_id"), F.col("box").alias("b")), "page").filter("a_id < b_id")
     return p.select("page", "a_id", "b_id", (S.image_anchor(F.col("a"), F.col("b")) >= 0.38).alias("anchored"))
+
+
+@query("SELECT p_brand, p_size, min(p_partkey) AS first_row, max(p_partkey) AS last_row FROM part GROUP BY 1, 2")
+def catalogue_row_span(spark, sf_dir):
+    return C.row_span(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey")
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_brand, p_type, p_size, p_partkey % 50 AS no FROM part), m AS (SELECT * FROM p WHERE p_size <= 25), s AS (SELECT p_brand, min(no) AS lo, max(no) AS hi FROM m GROUP BY 1), "
+    "c AS (SELECT p.*, row_number() OVER (PARTITION BY p.p_brand, no ORDER BY p_partkey) AS rn FROM p JOIN s USING (p_brand) WHERE p_size > 25 AND no BETWEEN lo AND hi AND (p.p_brand, p_type) IN (SELECT (p_brand, p_type) FROM m) "
+    "AND (p.p_brand, no) NOT IN (SELECT (p_brand, no) FROM m)) SELECT p_partkey, p_brand, p_type, no FROM m UNION ALL SELECT p_partkey, p_brand, p_type, no FROM c WHERE rn = 1"
+)
+def catalogue_misgraded_rows(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", (F.col("p_partkey") % 50).alias("no"))
+    return C.add_misgraded(p.filter("p_size <= 25").drop("p_size"), p.filter("p_size > 25").drop("p_size"), "p_brand", "p_type", "no", "p_partkey")
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS units, count(*) FILTER (l_returnflag <> 'R') AS numbered, max(l_linenumber)::BIGINT AS highest FROM lineitem GROUP BY 1")
+def catalogue_score(spark, sf_dir):
+    return C.catalogue_score(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", "l_linenumber", F.col("l_returnflag") == "R")
+
+
+@query("SELECT conv_id, coalesce(avg(CASE WHEN turn <= 30 THEN (length(trim(coalesce(text, ''), ' ')) < 24)::INT END) >= 0.45, true) AS is_sparse FROM conversations GROUP BY 1")
+def catalogue_sparse_text(spark, sf_dir):
+    return C.sparse(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+RANGE_SQL = "SELECT s_suppkey, s_suppkey % 15 + 1 AS s, s_suppkey % 15 + 13 AS e FROM supplier"
+
+
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("volume"), (F.col("s_suppkey") % 15 + 1).alias("s"), (F.col("s_suppkey") % 15 + 13).alias("e"))
+
+
+@query(
+    f"WITH g AS (SELECT DISTINCT l_suppkey, l_partkey % 40 AS p FROM lineitem WHERE l_quantity > 5), r AS ({RANGE_SQL}), x AS (SELECT s_suppkey, s, e, unnest(range(s, e + 1)) AS p FROM r), "
+    "k AS (SELECT s_suppkey, max(x.p) AS last FROM x LEFT JOIN g ON l_suppkey = s_suppkey AND g.p = x.p WHERE g.p IS NULL GROUP BY 1) SELECT s_suppkey, s, greatest(s, coalesce(last, s)) AS e FROM r LEFT JOIN k USING (s_suppkey)"
+)
+def sequence_trim_tail(spark, sf_dir):
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("volume"), (F.col("l_partkey") % 40).alias("page"), (F.col("l_quantity") > 5).alias("blank"))
+    return C.trim_tail(page_ranges(spark, sf_dir), pages, ["s_suppkey"], "volume", "page", "s", "e", "blank")
+
+
+@query(f"SELECT s_suppkey, s, CASE WHEN s < 20 AND e >= 20 THEN 19 ELSE e END AS e FROM ({RANGE_SQL})")
+def sequence_trim_back_matter(spark, sf_dir):
+    return C.trim_back_matter(page_ranges(spark, sf_dir).withColumn("back", F.lit(20)), "s", "e", "back").select("s_suppkey", "s", "e")
+
+
+@query(
+    "WITH l AS (SELECT DISTINCT l_suppkey, l_linenumber * 3 AS a FROM lineitem), f AS (SELECT DISTINCT l_suppkey, l_partkey % 60 AS b FROM lineitem), n AS (SELECT l_suppkey, b - a AS o, count(*) AS hits FROM l JOIN f USING (l_suppkey) WHERE b - a BETWEEN 1 AND 30 GROUP BY 1, 2) "
+    "SELECT l_suppkey, o AS page_offset, hits FROM n WHERE hits >= 2 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY hits DESC, o) = 1"
+)
+def sequence_page_offset(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    return C.page_offset(l.select("l_suppkey", (F.col("l_linenumber") * 3).alias("a")), l.select("l_suppkey", (F.col("l_partkey") % 60).alias("b")), "l_suppkey", "a", "b")
+
+
+@query(
+    "WITH a AS (SELECT c_custkey, c_mktsegment AS m, c_nationkey AS n FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT c_custkey, c_mktsegment AS m, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END AS n FROM customer WHERE c_custkey % 4 > 0) "
+    "SELECT c_custkey, a.m AS old_m, a.n AS old_n, b.m AS new_m, b.n AS new_n FROM a FULL JOIN b USING (c_custkey) WHERE a.m IS DISTINCT FROM b.m OR a.n IS DISTINCT FROM b.n"
+)
+def sets_changed_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("m", F.col("c_mktsegment"))
+    old, new = c.filter("c_custkey % 3 > 0").withColumn("n", F.col("c_nationkey")), c.filter("c_custkey % 4 > 0").withColumn("n", F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_nationkey")))
+    return C.changed_rows(old, new, ["c_custkey"], ["m", "n"])
+
+
+@query(
+    "WITH b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN [] ELSE list_distinct([l_partkey % 4, l_suppkey % 4]) END AS atoms FROM lineitem), h AS (SELECT l_orderkey, x, count(*) AS n FROM (SELECT l_orderkey, unnest(atoms) AS x FROM b) GROUP BY 1, 2), "
+    "v AS (SELECT DISTINCT l_orderkey, l_partkey % 6 AS x, true AS seen FROM lineitem), a AS (SELECT l_orderkey, count(seen) AS n_visible, count(*) FILTER (seen AND n IS NOT NULL) AS n_assigned, count(*) FILTER (n > 1) AS n_twice FROM v FULL JOIN h USING (l_orderkey, x) GROUP BY 1) "
+    "SELECT l_orderkey, n_visible, n_assigned, n_twice, (SELECT count(*) FROM b WHERE b.l_orderkey = a.l_orderkey AND len(atoms) = 0) AS n_empty FROM a"
+)
+def rollup_coverage(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    atoms = F.when(F.col("l_quantity") > 45, F.array().cast("array<bigint>")).otherwise(F.array(F.col("l_partkey") % 4, F.col("l_suppkey") % 4))
+    return C.coverage(l.select("l_orderkey", "l_linenumber", atoms.alias("atoms")), l.select("l_orderkey", (F.col("l_partkey") % 6).alias("x")), "l_orderkey", "l_linenumber", "atoms", "x")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN w * h < 0.0002 OR w < 0.012 OR h < 0.012 ELSE (w * h < 0.00008 AND length(l_linestatus) <= 2) OR (w < 0.01 AND h < 0.01 AND length(l_linestatus) <= 1) END AS tiny, "
+    "length(l_shipinstr) BETWEEN 2 AND 28 AND (l_tax * 5 < 0.16 OR l_discount * 10 > 0.84) AS edge FROM (SELECT *, l_discount / 10 AS w, l_tax / 10 AS h, l_returnflag || l_linestatus || l_linenumber AS l_shipinstr FROM lineitem)"
+)
+def layout_noise(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    tiny = C.is_tiny(F.when(F.col("l_returnflag") == "R", "image").otherwise("text"), F.col("l_discount") / 10, F.col("l_tax") / 10, F.col("l_linestatus"))
+    edge = C.is_edge_fragment(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")), F.col("l_tax") * 5, F.col("l_discount") * 10)
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tiny.alias("tiny"), edge.alias("edge"))
+
+
+AREA_SQL = "SELECT a.page, a.id AS a_id, b.id AS b_id, {0} AS o, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb, (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1 AS c FROM b a JOIN b ON a.page = b.page".format(OVER_SQL)
+
+
+@query(
+    f"WITH b AS ({BOX_SQL}), p AS ({AREA_SQL} WHERE a.id > 2 AND b.id <= 2) SELECT page, id, x0, y0, x1, y1 FROM b WHERE id > 2 AND NOT EXISTS "
+    "(SELECT 1 FROM p WHERE p.page = b.page AND a_id = id AND ((o >= sa * 0.35::DOUBLE AND sa > 0) OR (o >= (sa + sb - o) * 0.2975::DOUBLE AND o > 0)))"
+)
+def layout_outside_regions(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return C.outside_regions(b.filter("id > 2"), b.filter("id <= 2"), "page")
+
+
+@query(
+    f"WITH b AS ({BOX_SQL}), p AS ({AREA_SQL} WHERE a.id <> b.id AND a.id > 1 AND b.id = 1), h AS (SELECT page, b_id AS outer_id, list_sort(list(DISTINCT a_id)) AS i FROM p WHERE c AND sa <= sb * 0.92::DOUBLE AND (o >= sa * 0.55::DOUBLE OR sa <= sb * 0.45::DOUBLE) GROUP BY 1, 2) "
+    "SELECT page, outer_id, array_to_string(i, ',') AS piece_ids FROM h WHERE len(i) >= 2"
+)
+def layout_pieces_inside(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return C.pieces_inside(b.filter("id > 1"), b.filter("id = 1"), "page").withColumn("piece_ids", F.array_join(F.col("piece_ids").cast("array<string>"), ","))
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN a = '' OR b = '' THEN '无法命名' WHEN a = b OR s >= 0.72 OR contains(a, b) OR contains(b, a) OR t >= 0.55 THEN '主题一致' ELSE '主题改写' END AS theme, "
+    "CASE WHEN a = '' AND b = '' THEN '无图注' WHEN a = '' THEN '旧无图注' WHEN b = '' THEN '新无图注' WHEN a = b OR s >= 0.85 THEN '图注一致' ELSE '图注改写' END AS caption FROM "
+    "(SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS a, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE substr(c_mktsegment, 1 + c_nationkey % 2) || c_nationkey END AS b, (c_custkey % 100) / 100 AS s, (c_nationkey % 10) / 10 AS t FROM customer)"
+)
+def decide_pictures(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    old, new = F.when(k % 5 == 0, "").otherwise(F.col("c_mktsegment")), F.when(k % 7 == 0, "").otherwise(F.concat(F.substr("c_mktsegment", 1 + n % 2), n.cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.theme_change(old, new, (k % 100) / 100, (n % 10) / 10).alias("theme"), C.caption_change(old, new, (k % 100) / 100).alias("caption"))

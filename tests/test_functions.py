@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import similarity as S
 from palimpsest.functions import text as T
+from palimpsest.operators import catalogue as C
 from palimpsest.operators import matching as M
 from palimpsest.operators import sequence as Q
 
@@ -84,3 +85,29 @@ def test_coarse_match(spark):
     new = spark.createDataFrame([("n1", "v", "u", "1 水的变化"), ("n2", "v", "u", "单元小结"), ("n3", "w", "u", "月相")], "id string, volume string, unit string, lesson string")
     old = spark.createDataFrame([("o1", "v", "u", "1 水变化"), ("o2", "w", "u", "月相变化")], "old_id string, volume string, unit string, lesson string")
     assert sorted((r.id, r.old_id, r.tier) for r in coarse_match(new, old).collect()) == [("n1", "o1", "exact"), ("n3", "o2", "similar")]
+
+
+def test_catalogue_edges(spark):
+    pages = spark.createDataFrame([(1, 1, None), (1, 2, " "), (1, 3, "x" * 30), (2, 1, "y" * 24), (3, 31, "")], "k int, p int, t string")
+    assert {r.k: r.is_sparse for r in C.sparse(pages, "k", "p", "t").collect()} == {1: True, 2: False, 3: True}  # 3 has no page that counts
+    rows = spark.createDataFrame([("a", "u", 1, 1), ("a", "u", 4, 2)], "k string, unit string, no int, pos int")
+    more = spark.createDataFrame([("a", "u", 2, 5), ("a", "u", 2, 3), ("a", "u", 4, 1), ("a", "v", 3, 1), ("a", "u", 5, 1), ("a", "u", None, 1), ("b", "u", 2, 1)], rows.schema)
+    assert sorted((r.no, r.pos) for r in C.add_misgraded(rows, more, "k", "unit", "no", "pos").collect()) == [(1, 1), (2, 3), (4, 2)]
+    assert C.add_misgraded(rows.limit(0), more, "k", "unit", "no", "pos").count() == 0
+
+
+def test_trim_tail_keeps_the_first_page(spark):
+    ranges = spark.createDataFrame([(1, "v", 1, 4), (2, "v", 5, 6), (3, "w", 1, 3)], "id int, volume string, s int, e int")
+    pages = spark.createDataFrame([("v", p, p in (2, 4, 5, 6)) for p in range(1, 7)] + [("w", 3, None)], "volume string, page int, blank boolean")
+    out = C.trim_tail(ranges, pages, ["id"], "volume", "page", "s", "e", "blank")
+    assert {r.id: (r.s, r.e) for r in out.collect()} == {1: (1, 3), 2: (5, 5), 3: (1, 3)}
+
+
+def test_coverage_and_changes(spark):
+    blocks = spark.createDataFrame([(1, "a", ["x", "y", "x"]), (1, "b", ["y", "z"]), (1, "c", []), (2, "d", None)], "lesson int, block string, atoms array<string>")
+    seen = spark.createDataFrame([(1, "x"), (1, "y"), (1, "q"), (3, "x")], "lesson int, atom string")
+    out = {r.lesson: tuple(r)[1:] for r in C.coverage(blocks, seen, "lesson", "block", "atoms", "atom").collect()}
+    assert out == {1: (3, 2, 1, 1), 2: (0, 0, 0, 1), 3: (1, 0, 0, 0)}
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "y"), (2, None), (4, None)], a.schema)
+    assert sorted(r.k for r in C.changed_rows(a, b, ["k"], ["v"]).collect()) == [1, 3, 4]

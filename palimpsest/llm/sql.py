@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express over whole tables. Sharding, SimHash (XXH64), BPE and suffixes it cannot, or not in time; tests hold those against brute force."""
+"""DuckDB SQL for the queries that SQL can express over whole tables. Sharding, SimHash (XXH64), BPE and learnt rules it cannot; tests hold those against brute force."""
 
 SPACE = r"[\x20\x09-\x0D]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -11,6 +11,20 @@ def words(text: str, separator: str) -> str:
 
 ITEM = words(f"translate({{}}, '{UPPER}', '{LOWER}')", SEPARATOR)
 
+OP2 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+pieces AS (SELECT r, n, o, substr(h, 2 * o + 1, 2398) AS piece FROM (SELECT *, unnest(range(0, n - 199, 1000)) AS o FROM d WHERE n >= 200)),
+spots AS (SELECT r, o + i AS s, md5_number(substr(piece, 2 * i + 1, 400)) AS win FROM (SELECT *, unnest(range(0, least(1000, n - 199 - o))) AS i FROM pieces)),
+twice AS (SELECT win FROM spots GROUP BY win HAVING count(*) > 1),
+marked AS (SELECT r, s, s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 200 AS joins FROM spots WHERE win IN (FROM twice)),
+runs AS (SELECT r, min(s) AS a, max(s) + 200 AS b FROM (SELECT r, s, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS g FROM marked) GROUP BY r, g),
+totals AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r),
+ends AS (SELECT r, a, b FROM runs UNION ALL SELECT r, n, n FROM d),
+kept AS (SELECT r, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a, b) AS k FROM (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS p FROM ends) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN totals USING (r)
+"""
+
 OP3 = f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -51,4 +65,4 @@ kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL = {"op3_chat_formatting": OP3, "op4_decontamination": OP4, "op5_warc": OP5, "op8_substring_dedup": OP8}
+ORACLE_SQL = {"op2_suffix_dedup": OP2, "op3_chat_formatting": OP3, "op4_decontamination": OP4, "op5_warc": OP5, "op8_substring_dedup": OP8}

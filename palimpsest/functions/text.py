@@ -222,6 +222,48 @@ def lesson_no_sort_key(c: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == 1, F.lit(9999)).when(kind == 0, n).otherwise(0).cast("long").alias("n"), s.alias("s"))
 
 
+# Titles of catalogue lines without a number and their places, and kinds of numbered activities and theirs.
+SPECIAL_PLACES = {"整理与提升": 10, "复习与提高": 20, "回顾与反思": 70, "复习题": 80}
+ACTIVITY_PLACES = {"实验活动": 30, "跨学科实践活动": 40, "综合实践活动": 50, "微项目": 60}
+READING = "读一读|数学活动|主题探究"
+
+
+def catalog_sort_key(c: Column) -> Column:
+    """A struct that sorts the lines of a unit: numbered lessons, then reviews, activities and the rest, then the summary."""
+    s = cell_str(c)
+    bare = _gone(_gone(s, r"(?:[·●…．._—-]+\s*|\s+)\d{1,3}\s*$"), rf"[{BLANK}]+")  # without the page number
+    number = lambda pattern, group=1: F.regexp_extract(s, pattern, group).try_cast("long")
+    key = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), s.alias("s"))
+    out = F.when(s.contains("单元小结"), key(3, F.lit(9999)))
+    for title, place in SPECIAL_PLACES.items():
+        out = out.when(bare == title, key(2, F.lit(place)))
+    for name, place in ACTIVITY_PLACES.items():
+        at = number(rf"^{name}\s*(\d+)")
+        out = out.when(at.isNotNull(), key(2, at + place))
+    out = out.when(s.rlike(f"^({READING})"), key(2, F.lit(65)))
+    for at in (number(r"^课题\s*(\d+)"), number(r"^(\d{1,2})\.(\d{1,2})\b") * 100 + number(r"^(\d{1,2})\.(\d{1,2})\b", 2), number(r"^(\d+)")):
+        out = out.when(at.isNotNull(), key(0, at))
+    return out.otherwise(key(2, F.lit(0)))
+
+
+def lesson_place(sort_order: Column, no: Column) -> Column:
+    """The sort order, else ten times the number; a number that isn't one comes last."""
+    t = stripped(no)
+    return F.coalesce(sort_order.cast("long"), F.when(t.rlike(r"^\d+$"), t.try_cast("long") * 10), F.lit(99990).cast("long"))
+
+
+def catalog_line_count(c: Column) -> Column:
+    """Lines of 4 to 90 characters with a Han character and a page number at the end."""
+    lines = F.transform(F.split(F.translate(_filled(c), "\r", "\n"), "\n"), stripped)
+    return F.size(F.filter(lines, lambda x: F.length(x).between(4, 90) & x.rlike(r"[\u4e00-\u9fff]") & x.rlike(r"\p{Nd}$")))
+
+
+def is_contents_page(c: Column, hits: Column, lines: Column) -> Column:
+    """hits: lessons named on the page; lines: its catalog_line_count."""
+    named = _filled(c).contains("目录") & ((hits >= 1) | (lines >= 2))
+    return (F.length(stripped(c)) >= 6) & (named | (lines >= 3) | ((hits >= 1) & (lines >= 2)))
+
+
 def _slug(c: Column) -> Column:
     t = stripped(c)
     return F.when(t == "", "unknown").otherwise(t)

@@ -16,6 +16,7 @@ from .functions import similarity as S
 from .functions import text as T
 from .operators import catalogue as C
 from .operators import matching as M
+from .operators import progress as P
 from .operators import rollup as R
 from .operators import sequence as Q
 
@@ -626,3 +627,142 @@ def decide_pictures(spark, sf_dir):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     old, new = F.when(k % 5 == 0, "").otherwise(F.col("c_mktsegment")), F.when(k % 7 == 0, "").otherwise(F.concat(F.substr("c_mktsegment", 1 + n % 2), n.cast("string")))
     return table(spark, sf_dir, "customer").select("c_custkey", C.theme_change(old, new, (k % 100) / 100, (n % 10) / 10).alias("theme"), C.caption_change(old, new, (k % 100) / 100).alias("caption"))
+
+
+@query(
+    "WITH l AS (SELECT s_suppkey, s_nationkey AS v, s_suppkey % 20 AS a, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 20 + s_suppkey % 7 - 2 END AS b FROM supplier), "
+    "c AS (SELECT p_partkey % 25 AS v, p_partkey // 25 AS page, CASE p_size % 5 WHEN 0 THEN '一致' WHEN 1 THEN '仅标点差异' WHEN 2 THEN '文字标点差异' WHEN 3 THEN '音标变动注意' END AS t, p_size - 10 AS n, CASE p_size % 3 WHEN 0 THEN '一致' WHEN 1 THEN '插图差异' END AS i, (p_size % 11 = 0)::INT AS k FROM part), "
+    "s AS (SELECT *, unnest(CASE WHEN a > 0 AND coalesce(b, a) >= a THEN range(a, coalesce(b, a) + 1) ELSE [NULL] END) AS page FROM l), "
+    "j AS (SELECT s.*, t, n, i, (t IS NOT NULL AND t IN ('文字标点差异', '音标变动注意')) OR (i IS NOT NULL AND (i = '插图差异' OR k > 0)) AS d FROM s LEFT JOIN c USING (v, page)) "
+    "SELECT s_suppkey, count(page) AS pages_total, count(*) FILTER (t IS NOT NULL OR i IS NOT NULL) AS pages_compared, count(*) FILTER (d) AS pages_changed, coalesce(sum(greatest(0, n)) FILTER (t IS NOT NULL), 0)::BIGINT AS changed_blocks, "
+    "count(*) FILTER (t = '音标变动注意') AS attention_pages, coalesce(string_agg(page, ',' ORDER BY page) FILTER (d), '') AS changed_pages FROM j GROUP BY 1"
+)
+def rollup_page_changes(spark, sf_dir):
+    k, z = F.col("s_suppkey"), F.col("p_size")
+    first = k % 20
+    lessons = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("v"), first.alias("a"), F.when(k % 7 > 0, first + k % 7 - 2).alias("b"))
+    text = F.when(z % 5 == 0, "一致").when(z % 5 == 1, "仅标点差异").when(z % 5 == 2, "文字标点差异").when(z % 5 == 3, "音标变动注意")
+    picture = F.when(z % 3 == 0, "一致").when(z % 3 == 1, "插图差异")
+    compares = table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("v"), F.floor(F.col("p_partkey") / 25).alias("page"), text.alias("t"), (z - 10).alias("n"), picture.alias("i"), (z % 11 == 0).cast("int").alias("k"))
+    out = P.page_changes(lessons, compares, ["s_suppkey"], "v", "a", "b", "page", "t", "n", "i", "k")
+    return out.withColumn("changed_pages", F.array_join(F.col("changed_pages").cast("array<string>"), ","))
+
+
+@query(
+    "WITH p AS (SELECT coalesce(nullif(trim(CASE WHEN l_linenumber < 3 THEN l_returnflag || l_linestatus WHEN l_linenumber = 3 THEN ' ' END), ''), '印刷页 ' || CASE WHEN l_quantity > 10 THEN l_suppkey END, '修订 p' || l_linenumber) AS label, "
+    "CASE l_suppkey % 5 WHEN 0 THEN '基本一致' WHEN 1 THEN '文字差异' WHEN 2 THEN '' WHEN 3 THEN '没变化' END AS c FROM lineitem), n AS (SELECT label, coalesce(nullif(c, ''), '未知') AS change, count(*) AS n FROM p GROUP BY 1, 2) "
+    "SELECT label, sum(n)::BIGINT AS page_count, coalesce(sum(n) FILTER (change NOT IN ('基本一致', '一致', '仅标点差异', '没变化')), 0)::BIGINT AS changed_pages, string_agg(change || ':' || n, ',' ORDER BY encode(change)) AS by_change FROM n GROUP BY 1"
+)
+def rollup_chapter_overview(spark, sf_dir):
+    no, s = F.col("l_linenumber"), F.col("l_suppkey")
+    label = F.when(no < 3, F.concat("l_returnflag", "l_linestatus")).when(no == 3, " ")
+    change = F.when(s % 5 == 0, "基本一致").when(s % 5 == 1, "文字差异").when(s % 5 == 2, "").when(s % 5 == 3, "没变化")
+    rows = table(spark, sf_dir, "lineitem").select(label.alias("label"), F.when(F.col("l_quantity") > 10, s).alias("printed"), no.alias("page"), change.alias("change"))
+    out = P.chapter_overview(rows, "label", "printed", "page", "change")
+    return out.withColumn("by_change", F.array_join(F.transform("by_change", lambda x: F.concat(x["change"], F.lit(":"), x["n"].cast("string"))), ","))
+
+
+@query(
+    "WITH p AS (SELECT o_custkey AS lesson, o_orderkey AS page, o_orderstatus = 'F' AS done, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 = 0 END AS pic FROM orders), "
+    "a AS (SELECT l_orderkey AS page, bool_or(coalesce(nullif(k, ''), 'text') IN ('text', 'title')) AS t, bool_or(coalesce(nullif(k, ''), 'text') = 'image') AS i, count(*) AS n FROM (SELECT l_orderkey, CASE WHEN l_suppkey % 4 = 0 THEN 'image' WHEN l_suppkey % 4 = 1 THEN 'title' WHEN l_suppkey % 4 = 2 THEN 'caption' WHEN l_tax > 0.04 THEN '' END AS k FROM lineitem WHERE l_quantity > 25) GROUP BY 1), "
+    "s AS (SELECT lesson, count(*) AS pages_total, count(*) FILTER (done) AS pages_done, count(*) FILTER (t OR done) AS text_pages, count(*) FILTER (i) AS image_pages, coalesce(sum(n), 0)::BIGINT AS atom_count, count(n) AS pages_with_atoms, bool_or(coalesce(i, false) OR (done AND coalesce(pic, false))) AS pics FROM p LEFT JOIN a USING (page) GROUP BY 1) "
+    "SELECT * EXCLUDE (pics), text_pages = pages_total AS text_complete, pages_done = pages_total OR (text_pages = pages_total AND (NOT pics OR image_pages = pages_total)) AS image_complete FROM s"
+)
+def rollup_recognition_status(spark, sf_dir):
+    key, s = F.col("o_orderkey"), F.col("l_suppkey")
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lesson"), key.alias("page"), (F.col("o_orderstatus") == "F").alias("done"), F.when(key % 5 > 0, key % 3 == 0).alias("pic"))
+    kind = F.when(s % 4 == 0, "image").when(s % 4 == 1, "title").when(s % 4 == 2, "caption").when(F.col("l_tax") > 0.04, "")
+    atoms = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("page"), kind.alias("kind")).join(pages.select("lesson", "page"), "page")
+    return P.recognition_status(pages, atoms, "lesson", "page", "done", "pic", "kind")
+
+
+@query(
+    "SELECT c_custkey, count(o_orderkey) AS lesson_count, count(o_orderkey) > 0 AS catalog_ok, count(o_orderkey) > 0 AND count(o_orderkey) = count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 4 > 0) AS parse_ok FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"
+)
+def rollup_readiness(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") != "P", 1).alias("a"), F.when(F.col("o_orderkey") % 4 > 0, 2).alias("b"))
+    return P.readiness(table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey", "a", "b")
+
+
+@query(
+    "WITH v AS (SELECT s_nationkey AS n_nationkey, s_suppkey % 8 AS grade, CASE WHEN s_suppkey % 3 = 0 THEN '上' ELSE '下' END AS term, s_suppkey % 9 AS lesson_count FROM supplier), h AS (SELECT n_nationkey, grade, term, sum(lesson_count)::BIGINT AS n FROM v GROUP BY 1, 2, 3) "
+    "SELECT n_nationkey, g.grade, t.term, h.n IS NOT NULL AS in_db, coalesce(h.n, 0) AS lesson_count FROM nation CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) g(grade) CROSS JOIN (VALUES ('上'), ('下')) t(term) LEFT JOIN h USING (n_nationkey, grade, term)"
+)
+def rollup_edition_grid(spark, sf_dir):
+    k = F.col("s_suppkey")
+    v = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), (k % 8).alias("grade"), F.when(k % 3 == 0, "上").otherwise("下").alias("term"), (k % 9).alias("lesson_count"))
+    return P.edition_grid(table(spark, sf_dir, "nation").select("n_nationkey"), v, "n_nationkey", "grade", "term", [1, 2, 3, 4, 5, 6], ["上", "下"])
+
+
+STAGES = ["await_prescan", "prescan_ok", "confirmed", "heavy_change", "no_old", "await_prescan_match", "else"]
+
+
+@query(
+    f"WITH s AS (SELECT user_id, value > 90 AS r, {STAGES}[1 + event_id % 7] AS g FROM events) SELECT user_id, count(*) AS lesson_count, count(*) FILTER (coalesce(r, false)) AS needs_review, count(*) FILTER (NOT coalesce(r, false) AND g IN ('await_prescan', 'await_prescan_match')) AS await_prescan, "
+    "count(*) FILTER (NOT coalesce(r, false) AND g = 'prescan_ok') AS prescan_ok_pending, count(*) FILTER (NOT coalesce(r, false) AND g = 'confirmed') AS confirmed, count(*) FILTER (NOT coalesce(r, false) AND g IN ('heavy_change', 'no_old')) AS other_done FROM s GROUP BY 1"
+)
+def rollup_stage_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    stage = F.get(F.array(*map(F.lit, STAGES)), (F.col("event_id") % 7).cast("int"))
+    return P.stage_counts(e.select("user_id", (F.col("value") > 90).alias("r"), stage.alias("g")), "user_id", "r", "g")
+
+
+@query(
+    "WITH m AS (SELECT l_orderkey AS lesson, 'n' || (l_partkey % 4) AS new_id, CASE WHEN l_tax > 0 THEN 'o' || (l_suppkey % 5) END AS old_id, l_linenumber AS p, l_discount, l_tax FROM lineitem), "
+    "nb AS (SELECT lesson, new_id, min(p) AS place, max(l_discount)::DOUBLE AS score, min(l_tax)::DOUBLE AS runner_up FROM m WHERE p <> 5 GROUP BY 1, 2), ob AS (SELECT lesson, old_id, max(p) AS place FROM m WHERE p <> 3 AND old_id IS NOT NULL GROUP BY 1, 2), "
+    "nx AS (SELECT *, row_number() OVER (PARTITION BY lesson ORDER BY place, new_id) - 1 AS nth FROM nb), ox AS (SELECT *, row_number() OVER (PARTITION BY lesson ORDER BY place, old_id) - 1 AS nth FROM ob), "
+    "pr AS (SELECT lesson, new_id, old_id, count(*) AS n FROM m WHERE old_id IS NOT NULL GROUP BY 1, 2, 3), st AS (SELECT pr.*, ox.place, ox.nth, ox.place - lag(ox.place) OVER (PARTITION BY pr.lesson, new_id ORDER BY ox.place NULLS FIRST) AS step FROM pr LEFT JOIN ox ON pr.lesson = ox.lesson AND pr.old_id = ox.old_id), "
+    "g AS (SELECT lesson, new_id, count(*) AS olds, sum(n) AS n, bool_or(place IS NULL OR coalesce(step > 1, false)) AS apart, min(coalesce(nth, 9999)) AS low, max(coalesce(nth, 9999)) AS high FROM st GROUP BY 1, 2), "
+    "t AS (SELECT g.*, max(high) OVER (PARTITION BY g.lesson ORDER BY coalesce(nx.nth, 9999), g.new_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g LEFT JOIN nx ON g.lesson = nx.lesson AND g.new_id = nx.new_id) "
+    "SELECT lesson, 'duplicate_anchor' AS flag, 'high' AS severity, old_id AS target FROM pr GROUP BY lesson, old_id HAVING count(*) > 1 UNION ALL SELECT lesson, 'non_contiguous_multi_anchor', 'high', new_id FROM g WHERE olds > 1 AND apart "
+    "UNION ALL SELECT lesson, 'duplicate_pair', 'medium', new_id FROM g WHERE olds = 1 AND n > 1 UNION ALL SELECT lesson, 'low_confidence', 'medium', new_id FROM nb WHERE score - runner_up < 0.1::DOUBLE UNION ALL SELECT lesson, 'order_inversion', 'high', new_id FROM t WHERE low < before"
+)
+def sequence_compare_flags(spark, sf_dir):
+    m = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("lesson"), F.concat(F.lit("n"), (F.col("l_partkey") % 4).cast("string")).alias("new_id"), F.when(F.col("l_tax") > 0, F.concat(F.lit("o"), (F.col("l_suppkey") % 5).cast("string"))).alias("old_id"),
+        F.col("l_linenumber").alias("p"), "l_discount", "l_tax",
+    )
+    new = m.filter("p <> 5").groupBy("lesson", "new_id").agg(F.min("p").alias("place"), F.max("l_discount").alias("score"), F.min("l_tax").alias("runner_up"))
+    old = m.filter("p <> 3 and old_id is not null").groupBy("lesson", "old_id").agg(F.max("p").alias("place"))
+    return P.compare_flags(m.select("lesson", "new_id", "old_id"), new, old, "lesson")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def sets_compare_queue(spark, sf_dir):
+    blocks = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return P.with_any(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), blocks, "c_custkey")
+
+
+# Catalogue lines and the keys by which they are sorted.
+LINES = [
+    ("3 水", 0, 3), ("课题 2 氧气", 0, 2), ("12.3 光", 0, 1203), ("整理与提升 45", 2, 10), ("复习题", 2, 80), ("实验活动 4 铁", 2, 34), ("跨学科实践活动2", 2, 42), ("综合实践活动 1", 2, 51), ("微项目3", 2, 63), ("读一读 山", 2, 65), ("单元小结", 3, 9999), ("其他", 2, 0),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', {k}, {n}::BIGINT)" for s, k, n in LINES) + ") AS t(line, kind, n)")
+def text_catalog_sort_keys(spark, sf_dir):
+    k = T.catalog_sort_key(F.col("line"))
+    return spark.createDataFrame([(s,) for s, _, _ in LINES], "line string").select("line", k["kind"].alias("kind"), k["n"].alias("n"))
+
+
+@query(
+    "SELECT p_partkey, coalesce(CASE WHEN p_size % 4 = 0 THEN p_size END, CASE WHEN regexp_full_match(no, '\\d+') THEN no::BIGINT * 10 END, 99990)::BIGINT AS place FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE (p_partkey % 40)::VARCHAR END AS no FROM part)"
+)
+def sequence_lesson_places(spark, sf_dir):
+    k = F.col("p_partkey")
+    no = F.when(k % 3 == 0, F.col("p_brand")).otherwise(F.concat(F.lit(" "), (k % 40).cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.lesson_place(F.when(F.col("p_size") % 4 == 0, F.col("p_size")), no).alias("place"))
+
+
+@query(
+    "WITH p AS (SELECT doc_id // 10 AS book, doc_id % 10 AS page, CASE WHEN doc_id % 10 < 1 + doc_id // 10 % 5 THEN '目录' || chr(10) || '第1课 水 ' || (doc_id % 90) || chr(13) || ' 第2课 光 12 ' || chr(10) ELSE '' END || coalesce(text, '') AS t, doc_id % 7 = 3 AS body FROM documents), "
+    r"l AS (SELECT *, len(list_filter(list_transform(string_split(replace(t, chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^[\s\x{00a0}\x{3000}]+|[\s\x{00a0}\x{3000}]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 90 AND regexp_matches(x, '[\x{4e00}-\x{9fff}]') AND regexp_matches(x, '\p{Nd}$'))) AS n FROM p), "
+    "c AS (SELECT *, n >= 3 OR (contains(t, '目录') AND n >= 2) AS c FROM l), e AS (SELECT *, min(page) FILTER (body AND NOT c) OVER (PARTITION BY book) AS stop FROM c WHERE page < 8) "
+    "SELECT book, coalesce(max(page) FILTER (c AND (stop IS NULL OR page < stop)), -1)::BIGINT AS last_page FROM e GROUP BY 1"
+)
+def sequence_last_contents_page(spark, sf_dir):
+    i = F.col("doc_id")
+    head = F.concat(F.lit("目录\n第1课 水 "), (i % 90).cast("string"), F.lit("\r 第2课 光 12 \n"))
+    t = F.concat(F.when(i % 10 < 1 + F.floor(i / 10) % 5, head).otherwise(""), F.coalesce("text", F.lit("")))
+    pages = table(spark, sf_dir, "documents").select(F.floor(i / 10).alias("book"), (i % 10).alias("page"), t.alias("t"), (i % 7 == 3).alias("body")).withColumn("n", T.catalog_line_count(F.col("t")))
+    return P.last_contents_page(pages, "book", "page", T.is_contents_page(F.col("t"), F.lit(0), F.col("n")), F.col("body"), 8)

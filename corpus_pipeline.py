@@ -1,4 +1,4 @@
-"""documents -> quality rules -> SimHash near-dedup -> substring dedup -> benchmark decontamination -> BPE ids.
+"""documents -> quality rules -> near-dedup (five-word shingles, Jaccard 0.8) -> substring dedup -> benchmark decontamination -> BPE ids.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents,
 but for the last, which returns the ids.
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.bpe import bpe_digests
 from palimpsest.llm.common import materialise, table
 from palimpsest.llm.decontam import contamination
+from palimpsest.llm.near_copies import near_dedup as jaccard_dedup
 from palimpsest.llm.quality import quality_filter
 from palimpsest.llm.queries import tokenizer_path
-from palimpsest.llm.simhash import simhash_dedup
 from palimpsest.llm.substring_dedup import substring_dedup
 
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    return simhash_dedup(docs)
+    """Of each component of near copies (Jaccard 0.8 of five-word shingles) the document with the smallest id stays."""
+    return jaccard_dedup(docs, shingle=5, least=0.8)
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("shared_passages", shared_passages), ("decontaminate", decontaminate), ("encode", encode)]
 
-#: SQL has no SimHash of XXH64 and no BPE; tests/llm holds run() against a brute-force version.
+#: SQL has no MinHash and no BPE; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,8 @@
 """License scans with a positional index of rare template words, all in DataFrame functions.
 
-The index has a posting (template, place) for each occurrence of a word in a template. Of each file the licence words with
-the highest inverse document frequency are looked up; a posting and a place in the file fix where the template would
-begin, and the begins that most of the looked-up words agree on are candidates. A candidate counts if a mandatory key
+The index has a posting (template, place) for each occurrence of a word in a template. Of each file and template the
+template's words with the highest inverse document frequency are looked up; a posting and a place in the file fix where
+the template would begin, and the begins that most of the template's looked-up words agree on are candidates. A candidate counts if a mandatory key
 phrase of its template stands where the template has it.
 """
 
@@ -40,7 +40,7 @@ TEMPLATES = [
 ]
 # Words too common in prose to be looked up.
 COMMON = "a all an and any are as be by can for free from in is it its law met not of on or that the this to under use with without you".split()
-#: Licence words of a file that are looked up, the rarest first.
+#: Words of each template that are looked up in a file, of those that are there the rarest first.
 LOOKED_UP = 12
 
 
@@ -64,7 +64,7 @@ def postings(spark) -> DataFrame:
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text, with n_words, n_base, first_word, last_word, base_labels, labels and score, under names that df doesn't have.
 
-    score: the share of the looked-up words of the best verified template that agree on its place, 1 if only base phrases
+    score: the share of the best verified template's own looked-up words that agree on its place, 1 if only base phrases
     are there, 0 without any label. A null or empty text has no words and no labels. Overlapping phrases all count;
     repeated rows stay; an empty table gives an empty one.
     """
@@ -86,14 +86,16 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     has = some.select("rid", "w", F.array_intersect("w", F.array(*map(F.lit, vocabulary))).alias("has")).filter(F.size("has") > 0)
     counts = has.select(F.explode("has").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
     ranked = materialise(counts, "licence-word-counts").agg(F.sort_array(F.collect_list(F.struct("files", "word"))).alias("rarity"))  # one row, as long as the vocabulary
-    chosen = has.crossJoin(F.broadcast(ranked)).withColumn("look", F.slice(F.transform(F.filter("rarity", lambda r: F.array_contains(F.col("has"), r["word"])), lambda r: r["word"]), 1, LOOKED_UP))
+    own = F.array(*[F.struct(F.lit(n).alias("template"), F.array(*map(F.lit, sorted(set(t.split()) - set(COMMON)))).alias("words")) for n, (_, t, _) in enumerate(TEMPLATES)])
+    chosen = has.crossJoin(F.broadcast(ranked)).withColumn("ordered", F.array_intersect(F.transform("rarity", lambda r: r["word"]), "has"))
+    chosen = chosen.withColumn("looks", F.filter(F.transform(own, lambda t: F.struct(t["template"].alias("template"), F.slice(F.array_intersect(F.col("ordered"), t["words"]), 1, LOOKED_UP).alias("words"))), lambda t: F.size(t["words"]) > 0))
+    chosen = chosen.withColumn("look", F.array_distinct(F.flatten(F.transform("looks", lambda t: t["words"]))))
     # where each looked-up word stands, and where its templates would begin
-    at = chosen.select("rid", F.size("look").alias("looked"), F.explode(F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(F.col("look"), x), F.struct(x.alias("word"), i.alias("p")))), lambda x: x.isNotNull())).alias("x"))
-    begins = at.join(F.broadcast(postings(spark)), F.col("x.word") == F.col("word")).select("rid", "looked", "template", (F.col("x.p") - F.col("offset")).alias("begin"), F.col("x.word").alias("word"))
+    at = chosen.select("rid", "looks", F.explode(F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(F.col("look"), x), F.struct(x.alias("word"), i.alias("p")))), lambda x: x.isNotNull())).alias("x"))
+    mine = F.filter("looks", lambda t: (t["template"] == F.col("template")) & F.array_contains(t["words"], F.col("word")))
+    begins = at.join(F.broadcast(postings(spark)), F.col("x.word") == F.col("word")).select("rid", "template", (F.col("x.p") - F.col("offset")).alias("begin"), F.size(F.get(mine, F.lit(0))["words"]).alias("looked")).filter("looked > 0")
     votes = begins.groupBy("rid", "template", "begin").agg(F.count("*").alias("agree"), F.max("looked").alias("looked"))
-    possible = {n: len({x for x in t.split() if x not in COMMON}) for n, (_, t, _) in enumerate(TEMPLATES)}
-    best = F.create_map(*[F.lit(x) for kv in possible.items() for x in kv])
-    votes = votes.withColumn("share", F.least(F.lit(1.0), F.col("agree") / F.least(F.col("looked"), best[F.col("template")]))).filter((F.col("agree") >= 2) & (F.col("share") >= 0.5))
+    votes = votes.withColumn("share", F.least(F.lit(1.0), F.col("agree") / F.col("looked"))).filter((F.col("agree") >= 2) & (F.col("share") >= 0.5))
     candidates = votes.groupBy("rid").agg(F.collect_list(F.struct("template", "begin", "share")).alias("candidates"))
     # the mandatory key phrases, where the template has them
     checks = []

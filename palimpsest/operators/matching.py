@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import indel_ratio
+
+#: New and old keys that one row of a whole-pool comparison holds.
+NEW_BLOCK, OLD_CHUNK = 256, 1024
 #: Exact hits that a new row may have.
 EXACT_HITS = 25
 
 
-def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str, new_id: str, old_id: str, score, threshold: float, rank: list, cap: int = EXACT_HITS) -> DataFrame:
+def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str | None, new_id: str, old_id: str, score, threshold: float, rank: list, cap: int = EXACT_HITS) -> DataFrame:
     """new_id, old_id, tier (exact, similar or none), score, rank.
 
     Rows with equal keys match exactly, the first `cap` by `rank` (columns over both sides: n_* and o_*). The others meet
     old rows that share the blocking column, so no pair outside a block is ever made, and keep their best above the
     threshold; what is left has one row of tier none. The blocking column must bound its groups (SURVEY: a volume).
+    Without a blocking column they meet the whole pool, and the score is the indel ratio of the keys (see pool_best).
     """
     n = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
     o = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns])
@@ -27,7 +35,10 @@ def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str, new_id: s
     exact = exact.withColumn("rank", F.row_number().over(Window.partitionBy(nid).orderBy(*rank, oid))).filter(F.col("rank") <= cap)
     exact = exact.select(nid.alias(new_id), oid.alias(old_id), F.lit("exact").alias("tier"), F.lit(1.0).alias("score"), "rank")
     rest = n.join(o.select(F.col(f"o_{key}").alias("k")).distinct(), F.col(f"n_{key}") == F.col("k"), "left_anti")
-    pairs = rest.join(o, F.col(f"n_{block}") == F.col(f"o_{block}")).withColumn("score", score).filter(F.col("score") >= threshold)
+    if block is None:
+        pairs = pool_best(rest.select(nid, F.col(f"n_{key}").alias("n")), o.select(oid, F.col(f"o_{key}").alias("o")), threshold)
+    else:
+        pairs = rest.join(o, F.col(f"n_{block}") == F.col(f"o_{block}")).withColumn("score", score).filter(F.col("score") >= threshold)
     similar = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(nid).orderBy(F.desc("score"), oid))).filter("rank = 1")
     similar = similar.select(nid.alias(new_id), oid.alias(old_id), F.lit("similar").alias("tier"), "score", "rank")
     hits = exact.unionByName(similar)
@@ -36,6 +47,67 @@ def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str, new_id: s
     return hits.unionByName(none)
 
 
+def _best(batches: Iterator[pa.RecordBatch], threshold: float, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (block, its new rows, old rows) come sorted by block. An old key is scored unless the characters it shares with the new one can't reach the best so far."""
+    last, best = None, {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(n, o, s) for n, (s, o) in best.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)], names=names)
+
+    for b in batches:
+        for block, news, olds in zip(*(c.to_pylist() for c in b.columns)):
+            if block != last and best:
+                yield out()
+                best = {}
+            last = block
+            letters = {ch: i for i, ch in enumerate(sorted({ch for n in news for ch in n["k"]}))}
+            counts = np.zeros((len(olds), len(letters)), np.int32)
+            for row, old in zip(counts, olds):
+                for ch, times in Counter(old["k"]).items():
+                    if ch in letters:
+                        row[letters[ch]] = times
+            lengths = np.array([len(old["k"]) for old in olds])
+            for new in news:
+                mine = Counter(new["k"])
+                shared = np.minimum(counts[:, [letters[ch] for ch in mine]], list(mine.values())).sum(axis=1)
+                bound = 2 * shared / (lengths + len(new["k"]))
+                for i in np.argsort(-bound, kind="stable").tolist():
+                    least, whose = best.get(new["id"], (threshold, None))
+                    if bound[i] < least:
+                        break
+                    score, old = indel_ratio(new["k"], olds[i]["k"]), olds[i]["id"]
+                    if score > least or score == least and (whose is None or old < whose):
+                        best[new["id"]] = score, old
+    if best:
+        yield out()
+
+
+def pool_best(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
+    """new (id, key) and old (id, key), under any different names -> new id, old id, score: candidates among which is the old row with the best indel ratio of the whole pool (of equals the smallest id), if it reaches the threshold.
+
+    Every pair is scored or excluded by a bound on its score; empty keys match nothing. Old keys are grouped into chunks
+    and met with blocks of new rows, so neither side is gathered in one place and no row stands for a single pair.
+    """
+    (nid, nk), (oid, ok) = new.columns, old.columns
+    spark = new.sparkSession
+    kinds = dict(new.dtypes)[nid], dict(old.dtypes)[oid]
+    pool = old.filter(F.col(ok) != "").groupBy(F.col(ok).alias("k")).agg(F.min(oid).alias("id"))
+    wanted = new.filter(F.col(nk) != "").select(F.col(nid).alias("id"), F.col(nk).alias("k"))
+    dealt = lambda df, size, by: df.withColumn("at", F.pmod(F.xxhash64(by), F.lit(max(1, -(-df.count() // size))))).groupBy("at").agg(F.collect_list(F.struct("id", "k")).alias("rows"))
+    blocks = dealt(wanted, NEW_BLOCK, "id").select(F.col("at").alias("block"), F.col("rows").alias("news"))
+    chunks = dealt(pool, OLD_CHUNK, "k").select(F.col("at").alias("chunk"), F.col("rows").alias("olds"))
+    met = chunks.crossJoin(blocks).repartition(4 * spark.sparkContext.defaultParallelism, "block", "chunk").sortWithinPartitions("block").select("block", "news", "olds")
+    names, shape = [nid, oid, "score"], spark.createDataFrame([], f"a {kinds[0]}, b {kinds[1]}, c double")
+    return met.mapInArrow(partial(_best, threshold=threshold, names=names, schema=_arrow(shape)), f"`{nid}` {kinds[0]}, `{oid}` {kinds[1]}, score double")
+
+
+def _arrow(df: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.schema)
+
+
 def by_group(df: DataFrame, group: str, order: list, choose: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
     """df's rows that `choose` keeps of each group's rows in order. Groups stream through their task one at a time; a group must fit in memory."""
 

@@ -375,11 +375,11 @@ def match_tiers(spark, sf_dir):
 
 @query()
 def match_edition_titles(spark, sf_dir):
-    """The flagship: new passages of the benchmark against documents' first lines, exact on the reuse key, else by raw similarity within the same first letter."""
-    new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("t"))
-    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("old_id"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("t"))
-    keyed = lambda d: d.withColumns({"k": T.lesson_reuse_match_key(F.col("t"), False), "block": F.lower(F.substring("t", 1, 2))})
-    return M.tiered_match(keyed(new), keyed(old), "k", "block", "id", "old_id", S.ratio(F.col("n_k"), F.col("o_k")), 0.405, [F.col("o_t")])
+    """The flagship: new passages of the benchmark against documents' first lines, both whole: exact on the reuse key, else the best indel ratio among all lines."""
+    new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("t"))
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("old_id"), F.substring_index("text", "\n", 1).alias("t"))
+    keyed = lambda d: d.withColumn("k", T.lesson_reuse_match_key(F.col("t"), False))
+    return M.tiered_match(keyed(new), keyed(old), "k", None, "id", "old_id", None, 0.405, [F.col("o_t")])
 
 
 @query()

@@ -1,89 +1,69 @@
-"""A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix, all in DataFrame functions.
+"""A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix, the rows in DataFrame functions.
 
 How many rows each partition sends to each shard is drawn before any row moves: a multivariate hypergeometric draw with
 the partitions' row counts and the shards' sizes as margins. Each partition permutes its rows and deals them out by its
 row of the matrix; each shard then permutes what came. Partitions and the parts of shards that are permuted together are
-made by hashes of a row number, so none holds more than about ROWS rows, whatever the keys are.
+made by hashes of a row number, so none holds more than about ROWS rows, whatever the keys are. Only the matrix, bounded by
+CELLS, is made on the driver; rows are only touched by DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, plain
+from .common import fresh, materialise, plain, small
 
 #: Rows of a partition, and of a part of a shard, that are permuted together, about.
 ROWS = 500_000
-#: Partitions: a power of two between these.
-LEAST, MOST = 64, 8192
+#: Partitions: a power of two, at least LEAST, with at most CELLS cells of the matrix (beyond, partitions grow and are sorted with spilling).
+LEAST, CELLS = 64, 1 << 20
 
 
-def uniform(seed: int, *cols) -> Column:
-    """In (0, 1), set by the seed and the columns."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / F.lit(2.0**53)
+def hypergeometric(u: float, good: int, bad: int, drawn: int) -> int:
+    """How many good ones there are among `drawn` without replacement, for a uniform u, by inversion.
 
-
-def log_factorial(n: Column) -> Column:
-    """Exact to about 1e-12: the product itself up to 20, Stirling's series beyond."""
-    x = n.cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(2 * F.pi() * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
-    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
-
-
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+    The chances come from the ratios of neighbours, from the mode outwards, and are divided by their own sum, so they
+    add up to one at any size; beyond 15 standard deviations of the mode they are below the smallest step of u.
+    """
+    low, high = max(0, drawn - bad), min(drawn, good)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    reach = int(15 * (drawn * (good / total) * (bad / total) * ((total - drawn) / max(1, total - 1))) ** 0.5) + 60
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    more = np.cumprod((good - up) / (up + 1) * ((drawn - up) / (bad - drawn + up + 1)))
+    less = np.cumprod(down / (good - down + 1) * ((bad - drawn + down) / (drawn - down + 1)))
+    heap = np.cumsum(np.concatenate([less[::-1], [1.0], more]))
+    return mode - len(down) + int(np.searchsorted(heap, u * heap[-1], "right"))
 
 
-def hypergeometric(u: Column, good: Column, bad: Column, drawn: Column) -> Column:
-    """How many good ones there are among `drawn` without replacement, for a uniform u, by inversion within 14 standard deviations."""
-    zero = F.lit(0).cast("long")
-    total = good + bad
-    mean = drawn.cast("double") * good / F.greatest(total, F.lit(1))
-    sd = F.sqrt(mean * bad / F.greatest(total, F.lit(1)) * (total - drawn) / F.greatest(total - 1, F.lit(1)))
-    low = F.greatest(zero, drawn - bad, (mean - 14 * sd - 14).cast("long"))
-    high = F.least(drawn, good, (mean + 14 * sd + 14).cast("long"))
-    whole = log_choose(total, drawn)
-    chance = lambda k: F.exp(log_choose(good, k) + log_choose(bad, drawn - k) - whole)
-    walk = F.aggregate(
-        F.sequence(low, high),
-        F.struct(F.lit(0.0).alias("sum"), low.alias("x")),
-        lambda acc, k: F.when(acc["sum"] < u, F.struct((acc["sum"] + chance(k)).alias("sum"), k.alias("x"))).otherwise(acc),
-        lambda acc: acc["x"],
-    )
-    return F.when(low == high, low).otherwise(walk)
-
-
-def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """counts: one row with `rows`, an array of a power of two of row counts -> part, sends (array of `shards` longs).
+def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
+    """How many rows each partition (of a power of two) sends to each shard; the margins are `rows` and the shards' sizes.
 
     Drawn by halving: a node's rows for each shard are dealt to its two halves, until each node is a partition.
+    It is made on the driver: partitions x shards numbers, whatever the number of rows (see CELLS).
     """
-    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    total = add(F.col("rows"))
-    quota = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.floor(total / shards).cast("long") + (s < total % shards).cast("long"))
-    nodes = counts.select(F.lit(0).cast("long").alias("node"), "rows", quota.alias("sends"))
-    size = counts.select(F.size("rows")).first()[0]
-    level = 0
-    while size > 1:
-        half = F.lit(size // 2)
-        nodes = nodes.withColumn("left", add(F.slice("rows", F.lit(1), half)))
-        # each shard in turn: how many of its rows are in the left half, given what the shards before took of it
-        for s in range(shards):
-            before = [F.col(f"d{i}") for i in range(s)]
-            drawn = F.col("left") - sum(before, F.lit(0).cast("long"))
-            rest = add(F.slice("sends", s + 2, shards)) if s + 1 < shards else F.lit(0).cast("long")
-            nodes = nodes.withColumn(f"d{s}", hypergeometric(uniform(seed + level, F.col("node"), F.lit(s)), F.col("sends")[s], rest, drawn))
-        got = F.array(*[F.col(f"d{s}") for s in range(shards)])
-        halves = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.slice("rows", F.lit(1), half).alias("rows"), got.alias("sends")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.slice("rows", half + 1, half).alias("rows"), F.zip_with("sends", got, lambda a, b: a - b).alias("sends")),
-        )
-        nodes = nodes.select(F.explode(halves).alias("x")).select("x.*")
-        nodes = materialise(nodes, f"matrix-{level}")  # each level is a small table; together they would be one vast plan
-        size //= 2
-        level += 1
-    return nodes.select(F.col("node").alias("part"), "sends")
+    chance = np.random.default_rng(seed)
+    out = np.zeros((len(rows), shards), np.int64)
+    total = sum(rows)
+    nodes = [(0, len(rows), [total // shards + (s < total % shards) for s in range(shards)])]
+    while nodes:
+        first, end, sends = nodes.pop()
+        if end - first == 1:
+            out[first] = sends
+            continue
+        half = (first + end) // 2
+        drawn, rest, left = sum(rows[first:half]), sum(sends), []
+        for n in sends:  # each shard in turn: how many of its rows are in the left half, given what the shards before took of it
+            rest -= n
+            left.append(hypergeometric(chance.random(), n, rest, drawn))
+            drawn -= left[-1]
+        nodes += [(first, half, left), (half, end, [n - m for n, m in zip(sends, left)])]
+    return out
 
 
 def shard_rows(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
@@ -100,17 +80,15 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
     rows = materialise(df.withColumn(rid, F.monotonically_increasing_id()), "rows")
     n = rows.count()
     parts = LEAST
-    while parts < MOST and n > parts * ROWS:
+    while n > parts * ROWS and 2 * parts * shards <= CELLS:
         parts *= 2
-    number = F.pmod(F.xxhash64(F.lit(seed), F.col(rid)), F.lit(parts))
-    rows = rows.withColumn(part, number)
-    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
-    counts = sizes.agg(F.map_from_entries(F.collect_list(F.struct(part, "n"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("rows"))
-    matrix = materialise(communication_matrix(counts, shards, seed), "matrix")
-    matrix = matrix.select(F.col("part").alias("of"), F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.aggregate(F.slice("sends", F.lit(1), s), F.lit(0).cast("long"), lambda a, b: a + b)).alias("until"))
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), F.col(rid)), F.lit(parts)))
+    sizes = {r[0]: r[1] for r in rows.groupBy(part).agg(F.count("*")).collect()}  # one row a partition
+    drawn = communication_matrix([sizes.get(p, 0) for p in range(parts)], shards, seed)
+    matrix = df.sparkSession.createDataFrame([(p, x) for p, x in enumerate(np.cumsum(drawn, axis=1).tolist())], "of long, until array<long>")
     # permute in each partition and deal out
     order = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + 101), F.col(rid)), rid)
-    dealt = rows.withColumn("place", F.row_number().over(order)).join(F.broadcast(matrix), F.col(part) == F.col("of"))  # MOST rows at most
+    dealt = rows.withColumn("place", F.row_number().over(order)).join(small(matrix, parts, 8 * shards + 32), F.col(part) == F.col("of"))
     dealt = dealt.withColumn(shard, F.size(F.filter("until", lambda u: u < F.col("place")))).drop("of", "until", "place", part)
     # permute in each shard: by a random number whose leading bits name the part
     many = max(1, -(-n // (shards * ROWS)))
@@ -119,7 +97,7 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
     offsets = dealt.groupBy(shard, part).agg(F.count("*").alias("n"))
     offsets = offsets.select(F.col(shard).alias("of"), F.col(part).alias("in"), (F.sum("n").over(Window.partitionBy(shard).orderBy(part)) - F.col("n")).alias("before"))
     inner = Window.partitionBy(shard, part).orderBy(key, rid)
-    placed = dealt.withColumn("place", F.row_number().over(inner)).join(F.broadcast(offsets), (F.col(shard) == F.col("of")) & (F.col(part) == F.col("in")))  # shards * many rows
+    placed = dealt.withColumn("place", F.row_number().over(inner)).join(small(offsets, shards * many, 32), (F.col(shard) == F.col("of")) & (F.col(part) == F.col("in")))
     return placed.select(*df.columns, shard, (F.col("before") + F.col("place") - 1).cast("long").alias(slot)).toDF(*named)
 
 

@@ -134,8 +134,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(8)
 def _powers(bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    base = (seed * seed + 2 * seed) & (2**64 - 1) | 5
+    """Powers of a number that is 5 modulo 8, and of its inverse, modulo 2**64."""
+    base = int(mix(np.array([seed], np.uint64))[0]) & ~7 | 5
     out = []
     for b in (base, pow(base, -1, 2**64)):
         p = np.full(1 << bits, b, np.uint64)
@@ -150,7 +150,11 @@ def byte_codes(seed: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of any ranges [start, end) of a sequence of 64-bit units, from one pass of prefix sums."""
+    """Hashes of any ranges [start, end) of a sequence of 64-bit units, from one pass of prefix sums.
+
+    Equal ranges have equal hashes. Long ranges that differ can be made to collide (a polynomial modulo 2**64), so hashes
+    only choose, sort and deal out; what counts as equal is settled by digests() or by the bytes themselves.
+    """
 
     def __init__(self, units: np.ndarray, seed: int = SEEDS[0]):
         up, self.down = _powers(max(16, int(len(units)).bit_length()), seed)
@@ -166,6 +170,22 @@ class RangeHash:
         return mix((self.sums[m:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests (XXH3) of ranges of bytes."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    return np.fromiter((digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of words in data: short ones by RangeHash, which tells them apart, long ones by digests()."""
+    out = RangeHash(byte_codes(SEEDS[0])[data])(starts, ends)
+    long = np.flatnonzero(ends - starts > 32)
+    if len(long):
+        out[long] = digests(data.tobytes(), starts[long], ends[long])
+    return out
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string or binary column end to end, and where each row begins, and the end."""
     import pyarrow as pa

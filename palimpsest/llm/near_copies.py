@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEEDS, RangeHash, byte_codes, fresh, materialise, mix, short_batches, small, text_bytes, with_key, word_spans
+from .common import SEEDS, RangeHash, fresh, materialise, mix, short_batches, small, text_bytes, with_key, word_hashes, word_spans
 from .components import components
 
 #: Bands and MinHash values in each: of pairs with similarity s, 1 - (1 - s**WIDTH)**BANDS share a band (0.8: 0.99993).
@@ -34,7 +34,7 @@ def shingles(texts: pa.Array, length: int) -> list[np.ndarray]:
     if not len(texts):
         return []
     starts, ends, first = word_spans(data, at)
-    words = RangeHash(byte_codes(SEEDS[0])[_LOWER[data]])(starts, ends)
+    words = word_hashes(_LOWER[data], starts, ends)
     runs = RangeHash(words, SEEDS[1])
     grams = runs.grams(length)
     out = []

@@ -1,12 +1,12 @@
-"""Finds every window of k units that starts more than once in a corpus, exactly and without sending the corpus.
+"""Lets equal windows of k units meet, exactly and without sending the corpus.
 
 A text's windows are cut into runs of consecutive windows with the same minimiser (the least hash of m units in a window,
 the leftmost of equals). Equal windows have equal minimisers, so a run whose minimiser is nowhere else holds no repeat and
 goes no further. The others travel as one packed string per different run to the bucket of their minimiser, where
 `judge` says which of their windows repeat; the answers go back to all texts that have the run.
 
-Texts are known by 128 bits (with_key), so copies are counted but handled once. Runs, windows and texts are compared by
-digests of 128 bits or more.
+Texts are known by 128 bits (with_key) and runs by their minimiser and 64 bits of their bytes, so copies are counted but
+sent once. In a bucket bytes are compared. Only windows of crowded minimisers meet by digests of 128 bits.
 """
 
 from __future__ import annotations
@@ -20,23 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEEDS, RangeHash, byte_codes, materialise, short_batches, slices, text_bytes, with_key, word_spans
+from .common import SEEDS, RangeHash, byte_codes, digests, materialise, short_batches, slices, text_bytes, with_key, word_hashes, word_spans
 
 #: Bytes of text that one step of numpy takes.
 STEP = 1 << 20
 #: Different runs with one minimiser beyond which their windows are dealt out by their own digests instead.
-CROWD = 20_000
-PACKED = "bucket long, f int, mz long, pk long, copies long, pack binary, d1 long"
+CROWD = 4096
+PACKED = "bucket long, batch int, f int, mz long, pk long, copies long, pack binary, d1 long"
 FOUND = "mz long, pk long, f int, t int"
 KEYS = ["k1", "k2"]
+#: Batches that texts are dealt into, by their keys.
+BATCHES = 8
 
 
 def runs(hashed: RangeHash, begins: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end (begins: where each starts, and the end): text, start in it, windows, minimiser and digest of each run."""
+    """Of texts laid end to end (begins: where each starts, and the end): text, place among all units, windows and minimiser of each run."""
     n = len(hashed.sums) - 1
     none = np.zeros(0, np.int64)
     if n < k:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     grams = hashed.grams(m)
     least, have, want = grams, 1, k - m + 1
     while 2 * have <= want:
@@ -55,87 +57,110 @@ def runs(hashed: RangeHash, begins: np.ndarray, k: int, m: int) -> tuple[np.ndar
     at = np.flatnonzero(new & (np.cumsum(change[:-1], dtype=np.int8) > 0))
     text = np.searchsorted(begins, at, "right") - 1
     end = np.minimum(np.append(at[1:], n), until[text])
-    return text, at - begins[text], end - at, least[at], hashed(at, end + (k - 1))
+    return text, at, end - at, least[at]
 
 
-def unit_hash(data: np.ndarray, offsets: np.ndarray, words: bool, seed: int = SEEDS[0]) -> tuple[RangeHash, np.ndarray, tuple]:
-    """The hash over the bytes or words of texts, where each text's units begin, and the words' spans."""
-    hashed = RangeHash(byte_codes(seed)[data], seed)
-    if not words:
-        return hashed, offsets, ()
-    starts, ends, begins = word_spans(data, offsets)
-    return RangeHash(hashed(starts, ends), seed), begins, (starts, ends)
+class Units:
+    """The bytes or words of texts: a hash of their ranges, where each text's units begin, and their spans in `raw`, in which words are joined by one byte."""
+
+    def __init__(self, texts: list[bytes], words: bool):
+        if not words:
+            self.raw = b"".join(texts)
+            self.begins = np.zeros(len(texts) + 1, np.int64)
+            np.cumsum([len(t) for t in texts], out=self.begins[1:])
+            self.hashed = RangeHash(byte_codes(SEEDS[0])[np.frombuffer(self.raw, np.uint8)])
+            self.starts = np.arange(len(self.raw))
+            self.ends = self.starts + 1
+            return
+        split = [t.split() for t in texts]
+        self.begins = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(w) for w in split], out=self.begins[1:])
+        flat = list(chain.from_iterable(split))
+        self.raw = b" ".join(flat)
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.ends = np.cumsum(lengths + 1) - 1
+        self.starts = self.ends - lengths
+        self.hashed = RangeHash(word_hashes(np.frombuffer(self.raw, np.uint8), self.starts, self.ends), SEEDS[1])
+
+    def windows(self, k: int) -> tuple[np.ndarray, ...]:
+        """Where each text's windows begin in the list of windows, and the end; each window's text, first unit, and span in raw."""
+        counts = np.maximum(np.diff(self.begins) - (k - 1), 0)
+        wins = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=wins[1:])
+        text = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(wins[-1]) - wins[text] + self.begins[text]
+        return wins, text, at, self.starts[at], self.ends[at + k - 1]
+
+
+def _texts(column) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], k: int, m: int, words: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, offsets = text_bytes(b.column(2))
+        _, offsets = text_bytes(b.column(2))
         k1, k2 = (b.column(i).to_numpy() for i in (0, 1))
         for i, j in slices(offsets, STEP):
-            lo = offsets[i]
-            hashed, begins, _ = unit_hash(data[lo : offsets[j]], offsets[i : j + 1] - lo, words)
-            text, start, n, least, digest = runs(hashed, begins, k, m)
+            units = Units(_texts(b.column(2).slice(i, j - i)), words)
+            text, at, n, least = runs(units.hashed, units.begins, k, m)
             if len(text):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i + text], k2[i + text], start.astype(np.int32), n.astype(np.int32), least.view(np.int64), digest.view(np.int64))], names=["k1", "k2", "start", "n", "mz", "pk"])
+                pk = digests(units.raw, units.starts[at], units.ends[at + n + k - 2])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i + text], k2[i + text], (at - units.begins[text]).astype(np.int32), n.astype(np.int32), least.view(np.int64), pk.view(np.int64))], names=["k1", "k2", "start", "n", "mz", "pk"])
+
+
+def _window_digests(packs: list[bytes], k: int, words: bool) -> tuple[np.ndarray, ...]:
+    """Each window's pack and place in it, and 128 bits of its bytes."""
+    from xxhash import xxh3_128_digest as digest
 
+    units = Units(packs, words)
+    wins, pack, _, first, end = units.windows(k)
+    raw = units.raw
+    both = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip(first.tolist(), end.tolist())]), np.int64).reshape(-1, 2)
+    return pack, np.arange(len(pack)) - wins[pack], both[:, 0], both[:, 1]
 
-def _packs(batches: Iterator[pa.RecordBatch], k: int, words: bool) -> Iterator[pa.RecordBatch]:
-    """The runs asked for as packed strings, or if their minimiser is crowded, their windows' digests; of copies in a task, the first answers."""
-    seen: set = set()
-    names = ["bucket", "f", "mz", "pk", "copies", "pack", "d1"]
+
+def _packs(batches: Iterator[pa.RecordBatch], k: int, words: bool, families: int) -> Iterator[pa.RecordBatch]:
+    """The runs asked for as packed strings, or if their minimiser is crowded, their windows' digests. Copies come one after the other; the first answers."""
+    last = None
+    names = ["bucket", "batch", "f", "mz", "pk", "copies", "pack", "d1"]
     for b in batches:
-        data, offsets = text_bytes(b.column(2))
         k1, k2 = (b.column(i).to_pylist() for i in (0, 1))
         for i in range(b.num_rows):
-            if (k1[i], k2[i]) in seen:
+            if (k1[i], k2[i]) == last:
                 continue
-            seen.add((k1[i], k2[i]))
-            raw = data[offsets[i] : offsets[i + 1]]
+            last = k1[i], k2[i]
+            units = Units(_texts(b.column(2).slice(i, 1)), words)
+            whole, batch = units.raw, k1[i] % BATCHES
             asked = b.column(3).slice(i, 1).flatten()
             mz, pk, start, n, copies, crowded = (asked.field(f).to_numpy(zero_copy_only=False) for f in range(6))
-            s = start.astype(np.int64)
-            e = s + n + (k - 1)
-            whole = raw.tobytes()
-            if words:
-                w0, w1, _ = word_spans(raw, np.array([0, len(raw)]))
-                packed = b" ".join([whole[x:y] for x, y in zip(w0.tolist(), w1.tolist())])
-                ends = np.cumsum(w1 - w0 + 1)
-                s, e = ends[s] - (w1 - w0 + 1)[s], ends[e - 1] - 1
-                whole = packed
+            s, e = units.starts[start], units.ends[start + n.astype(np.int64) + (k - 2)]
             calm, hot = np.flatnonzero(~crowded), np.flatnonzero(crowded)
             for lo in range(0, len(calm), 2048):
                 j = calm[lo : lo + 2048]
                 packs = [whole[x:y] for x, y in zip(s[j].tolist(), e[j].tolist())]
-                none = np.full(len(j), -1, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(mz[j]), pa.array(none), pa.array(mz[j]), pa.array(pk[j]), pa.array(copies[j]), pa.array(packs, pa.binary()), pa.array(pk[j])], names=names)
+                bucket = mz[j] % families if families else mz[j]
+                fixed = (np.full(len(j), x, np.int32) for x in (batch, -1))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *map(pa.array, fixed), pa.array(mz[j]), pa.array(pk[j]), pa.array(copies[j]), pa.array(packs, pa.binary()), pa.array(pk[j])], names=names)
             for lo in range(0, len(hot), 256):
                 j = hot[lo : lo + 256]
-                wins, pack, _, d0, d1, _ = window_digests([whole[x:y] for x, y in zip(s[j].tolist(), e[j].tolist())], k, words)
-                f = (np.arange(len(pack)) - wins[pack]).astype(np.int32)
+                pack, f, d0, d1 = _window_digests([whole[x:y] for x, y in zip(s[j].tolist(), e[j].tolist())], k, words)
                 j = j[pack]
-                yield pa.RecordBatch.from_arrays([pa.array(d0.view(np.int64)), pa.array(f), pa.array(mz[j]), pa.array(pk[j]), pa.array(copies[j]), pa.nulls(len(j), pa.binary()), pa.array(d1.view(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(d0), pa.array(np.zeros(len(j), np.int32)), pa.array(f.astype(np.int32)), pa.array(mz[j]), pa.array(pk[j]), pa.array(copies[j]), pa.nulls(len(j), pa.binary()), pa.array(d1)], names=names)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """Packs in batches of at least `most` bytes, minimisers whole: minimisers, digests, copies, packs."""
-    held: list[tuple] = []
-    size = 0
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """bucket, batch, minimiser, digest, copies, pack; a run that two tasks sent comes once."""
     last = None
     for b in batches:
-        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            if size >= most and row[0] != last[0]:
-                yield _columns(held)
-                held, size = [], 0
-            if last != row[:2]:  # the same run from two tasks
-                held.append(row)
-                size += len(row[3])
-                last = row[:2]
-    if held:
-        yield _columns(held)
-
-
-def _columns(held: list[tuple]) -> tuple:
-    mz, pk, copies, packs = zip(*held)
+        for row in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))):
+            if (row[2], row[3], len(row[5])) != last:
+                last = row[2], row[3], len(row[5])
+                yield row
+
+
+def columns(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Minimisers, digests, copies and packs of rows."""
+    _, _, mz, pk, copies, packs = zip(*held)
     return np.array(mz, np.int64), np.array(pk, np.int64), np.array(copies, np.int64), list(packs)
 
 
@@ -150,27 +175,27 @@ def ranges(hit: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text, first - begins[text], end - begins[text]
 
 
-def _judged(batches: Iterator[pa.RecordBatch], judge: Callable, most: int) -> Iterator[pa.RecordBatch]:
-    """Packs come first, sorted by minimiser, then single windows, sorted by digest."""
+def _judged(batches: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[pa.RecordBatch]:
+    """Packs come first, sorted by bucket and batch, then single windows, sorted by digest."""
     names = ["mz", "pk", "f", "t"]
     rest: list[pa.RecordBatch] = []
 
     def packs():
         for b in batches:
-            single = np.flatnonzero(b.column(1).to_numpy() >= 0)
+            single = np.flatnonzero(b.column(2).to_numpy() >= 0)
             if not len(single):
-                yield b.select([2, 3, 4, 5])
+                yield b
                 continue
             if single[0]:
-                yield b.slice(0, single[0]).select([2, 3, 4, 5])
+                yield b.slice(0, single[0])
             rest.append(b.slice(single[0]))
             return
 
-    for mz, pk, first, end in judge(_batches(packs(), most)):
+    for mz, pk, first, end in judge(rows_of(packs())):
         yield pa.RecordBatch.from_arrays([pa.array(mz), pa.array(pk), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names=names)
     held = told = None
     for b in chain(rest, batches):
-        d0, f, mz, pk, copies, d1 = (b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))
+        d0, f, mz, pk, copies, d1 = (b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 7))
         out = []
         for key, row, many in zip(zip(d0, d1), zip(mz, pk, f), copies):
             if held is None or key != held[0]:
@@ -187,28 +212,12 @@ def _judged(batches: Iterator[pa.RecordBatch], judge: Callable, most: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(p), pa.array(f.astype(np.int32)), pa.array((f + 1).astype(np.int32))], names=names)
 
 
-def window_digests(packs: list[bytes], k: int, words: bool) -> tuple[np.ndarray, ...]:
-    """Of packs: where each one's windows begin, and the end; each window's pack, first byte and two digests; the bytes."""
-    data = np.frombuffer(b"".join(packs), np.uint8)
-    offsets = np.zeros(len(packs) + 1, np.int64)
-    np.cumsum([len(x) for x in packs], out=offsets[1:])
-    digests = []
-    for seed in SEEDS:
-        hashed, begins, spans = unit_hash(data, offsets, words, seed)
-        counts = np.diff(begins) - (k - 1)
-        wins = np.zeros(len(packs) + 1, np.int64)
-        np.cumsum(counts, out=wins[1:])
-        pack = np.repeat(np.arange(len(packs)), counts)
-        at = np.arange(wins[-1]) - wins[pack] + begins[pack]
-        digests.append(hashed(at, at + k))
-    return wins, pack, spans[0][at] if words else at, *digests, data
-
-
-def repeated(docs: DataFrame, text: str, k: int, m: int, words: bool, judge: Callable, most: int) -> DataFrame:
+def repeated(docs: DataFrame, text: str, k: int, m: int, words: bool, judge: Callable, family: int | None = None) -> DataFrame:
     """k1, k2, spans: for each text with repeats, the stretches [s, e) of units under windows that start more than once, sorted, maybe overlapping.
 
-    judge takes batches of packs and yields arrays (mz, pk, f, t): windows f to t - 1 of a run repeat. Texts without
-    repeats have no row. The text itself is read twice and only shuffled for the runs that are asked for.
+    judge takes rows (see rows_of), sorted by bucket and batch, and yields arrays (mz, pk, f, t): windows f to
+    t - 1 of a run repeat. A bucket is a minimiser, or with `family` as many minimisers as have about so many bytes.
+    Texts without repeats have no row. The text itself is read twice and only shuffled for the runs that are asked for.
     """
     short_batches(docs.sparkSession)
     keyed = with_key(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
@@ -218,12 +227,14 @@ def repeated(docs: DataFrame, text: str, k: int, m: int, words: bool, judge: Cal
     some = materialise(occ.join(often, "mz"), "shared-runs", occ, often)
     once = materialise(some.groupBy("k1", "k2", "start", "n", "mz", "pk").agg(F.count("*").alias("copies")), "shared-runs-once", some)
     packs = materialise(once.groupBy("mz", "pk").agg(F.sum("copies").alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at")), "packs")
+    families = max(1, -(-(packs.agg(F.sum(F.col("at.n") + (k - 1)).alias("bytes")).first()[0] or 0) // family)) if family else 0
     crowd = packs.groupBy("mz").agg(F.count("*").alias("different")).filter(F.col("different") > CROWD).select(F.col("mz").alias("crowd"))
     marked = packs.join(crowd, F.col("mz") == F.col("crowd"), "left")
     asked = marked.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("mz", "pk", "at.start", "at.n", "copies", F.col("crowd").isNotNull().alias("crowded"))).alias("asked"))
-    sent = long_enough.join(asked, KEYS).select("k1", "k2", "text", "asked").mapInArrow(partial(_packs, k=k, words=words), PACKED)
-    order = [F.col("f") >= 0, "bucket", "d1", "mz", "pk", "f"]
-    found = sent.repartition("bucket").sortWithinPartitions(*order).mapInArrow(partial(_judged, judge=judge, most=most), FOUND)
+    # a merge join, so that copies of a text come to _packs one after the other
+    sent = long_enough.join(asked.hint("merge"), KEYS).select("k1", "k2", "text", "asked").mapInArrow(partial(_packs, k=k, words=words, families=families), PACKED)
+    order = [F.col("f") >= 0, "bucket", "batch", "d1", "mz", "pk", "f"]
+    found = sent.repartition("bucket").sortWithinPartitions(*order).mapInArrow(partial(_judged, judge=judge), FOUND)
     found = materialise(found, "found", packs)
     spans = once.join(found, ["mz", "pk"]).select("k1", "k2", F.struct((F.col("start") + F.col("f")).alias("s"), (F.col("start") + F.col("t") + F.lit(k - 1)).alias("e")).alias("span"))
     return materialise(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans", once, found)

@@ -1,4 +1,4 @@
-"""Substring dedup over words: windows that share a minimiser travel together, and sorting counts them in their bucket."""
+"""Substring dedup over words: windows that share a minimiser travel together, and sorting counts them in their bucket, byte by byte where hashes agree."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, with_key, word_spans
-from .repeats import merged, ranges, repeated, window_digests
+from .repeats import Units, columns, merged, ranges, repeated
 
 #: Words in a minimiser; fewer give longer runs, more give rarer minimisers.
 M = 6
@@ -20,18 +20,46 @@ M = 6
 BATCH = 1 << 20
 
 
-def by_sorting(batches: Iterator[tuple], k: int) -> Iterator[tuple]:
-    """Windows whose words are in two runs or in a run with copies."""
-    for mz, pk, copies, packs in batches:
-        wins, pack, _, d0, d1, _ = window_digests(packs, k, True)
-        order = np.lexsort((d1, d0))
-        new = np.ones(len(order), bool)
-        new[1:] = (d0[order[1:]] != d0[order[:-1]]) | (d1[order[1:]] != d1[order[:-1]])
-        times = np.add.reduceat(copies[pack[order]], np.flatnonzero(new))
-        hit = np.empty(len(order), bool)
-        hit[order] = times[np.cumsum(new) - 1] > 1
+def classes(raw: bytes, first: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each range of raw; equal numbers stand for equal bytes. Sorted by hashes, neighbours are compared byte by byte."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    label = np.cumsum(new) - 1
+    f, e = first[order].tolist(), end[order].tolist()
+    wrong = {label[i] for i in np.flatnonzero(~new).tolist() if raw[f[i] : e[i]] != raw[f[i - 1] : e[i - 1]]}
+    for w in wrong:  # different bytes with one hash
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(label == w).tolist():
+            label[i] = seen.setdefault(raw[f[i] : e[i]], len(order) * (1 + len(seen)) + w)
+    out = np.empty(len(order), np.int64)
+    out[order] = label
+    return out
+
+
+def by_sorting(rows: Iterator[tuple], k: int, most: int) -> Iterator[tuple]:
+    """Windows whose words are in two runs or in a run with copies. Buckets are taken together up to so many bytes."""
+    held: list[tuple] = []
+    size = 0
+
+    def judged():
+        mz, pk, copies, packs = columns(held)
+        units = Units(packs, True)
+        wins, pack, at, first, end = units.windows(k)
+        label = classes(units.raw, first, end, units.hashed(at, at + k))
+        _, place = np.unique(label, return_inverse=True)
+        hit = np.bincount(place, weights=copies[pack])[place] > 1
         at, first, end = ranges(hit, wins)
-        yield mz[at], pk[at], first, end
+        return mz[at], pk[at], first, end
+
+    for row in rows:
+        if size >= most and row[0] != held[-1][0]:
+            yield judged()
+            held, size = [], 0
+        held.append(row)
+        size += len(row[5])
+    if held:
+        yield judged()
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -65,7 +93,7 @@ def _applied(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Rec
 
 
 def _with_spans(df: DataFrame, text: str, carry: list[str], k: int, names: list[str], digest: bool) -> DataFrame:
-    found = repeated(df, text, k, M, True, partial(by_sorting, k=k), BATCH)
+    found = repeated(df, text, k, M, True, partial(by_sorting, k=k, most=BATCH))
     keyed = with_key(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(text), F.lit("")).alias("text")))
     joined = keyed.join(found, ["k1", "k2"], "left").select(*[f"c{i}" for i in range(len(carry))], "text", "spans")
     types = dict(df.dtypes)

@@ -1,8 +1,10 @@
-"""Substring dedup over bytes: suffix arrays in levels that grow geometrically.
+"""Substring dedup over bytes: a logarithmic family of suffix arrays.
 
-The suffixes that can matter are those of runs whose minimiser occurs twice (see repeats). In the minimiser's bucket they
-come in batches; a batch gets a suffix array, is merge-scanned against the levels that are there, and joins them; levels
-of equal size merge. A suffix array is ordered by the suffixes' first eight bytes, then by a digest of the first k.
+The suffixes of a text that begin a string of k bytes are indexed. To meet their equals they travel together: those whose
+strings share a least word of M bytes go as one string to the family that has this word (see repeats). A family gets the
+texts' strings in batches, over the whole table. Each batch gets a suffix array in byte order, which is merge-scanned
+with the arrays that are there; neighbours whose common prefix has k bytes mark each other; arrays of like size become
+one, so there are logarithmically many.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,58 +20,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, text_bytes, with_key
-from .repeats import merged, ranges, repeated, window_digests
-
-#: Bytes in a minimiser.
-M = 20
-#: Bytes of packed strings that are judged together, and those in one batch of the index.
-GROUP, BATCH = 1 << 20, 1 << 19
-
-
-class Levels:
-    """Suffix arrays, each at least twice as large as the next. `flags` tells which suffixes have an equal one."""
-
-    def __init__(self, n: int):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.flags = np.zeros(n, bool)
-
-    def add(self, first: np.ndarray, d0: np.ndarray, d1: np.ndarray, ids: np.ndarray) -> None:
-        order = np.lexsort((d1, d0, first))
-        keys = np.empty((len(ids), 3), ">u8")
-        for i, x in enumerate((first, d0, d1)):
-            keys[:, i] = x[order]
-        keys, ids = keys.view("S24").ravel(), ids[order]
-        same = keys[1:] == keys[:-1]
-        self.flags[ids[1:][same]] = self.flags[ids[:-1][same]] = True
-        for old, old_ids in self.levels:
-            at = np.minimum(np.searchsorted(old, keys), len(old) - 1)
-            hit = old[at] == keys
-            self.flags[ids[hit]] = self.flags[old_ids[at[hit]]] = True
-        while self.levels and len(self.levels[-1][0]) < 2 * len(keys):
-            old, old_ids = self.levels.pop()
-            at = np.searchsorted(old, keys, "right")
-            keys, ids = np.insert(old, at, keys), np.insert(old_ids, at, ids)
-        self.levels.append((keys, ids))
-
-
-def by_suffixes(batches: Iterator[tuple], k: int) -> Iterator[tuple]:
-    for mz, pk, copies, packs in batches:
-        sizes = np.cumsum([len(x) for x in packs])
-        cuts = [0, *np.searchsorted(sizes, np.arange(BATCH, sizes[-1], BATCH)).tolist(), len(packs)]
-        wins = np.zeros(len(packs) + 1, np.int64)
-        np.cumsum([len(x) - k + 1 for x in packs], out=wins[1:])
-        index = Levels(int(wins[-1]))
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            _, _, at, d0, d1, data = window_digests(packs[lo:hi], k, False)
-            first = np.zeros(len(at), np.uint64)
-            for j in range(8):
-                first = first << np.uint64(8) | data[at + j]
-            index.add(first, d0, d1, np.arange(wins[lo], wins[hi]))
-        index.flags |= np.repeat(copies > 1, np.diff(wins))
-        at, first, end = ranges(index.flags, wins)
-        yield mz[at], pk[at], first, end
+from .repeats import columns, merged, ranges, repeated
+
+#: Bytes of the word that strings travel by, and bytes of strings in a family, about.
+M, FAMILY = 20, 4 << 20
+#: Bytes of the suffixes that one round of sorting compares.
+DEPTH = 24
+
+
+def arrange(data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (by where they begin in data) in the byte order of their first k bytes, and which have all k bytes in common with the one before.
+
+    Rounds of DEPTH bytes: each sorts only what is still tied. Of arrays end to end the first round is a linear merge.
+    """
+    ids = ids.copy()
+    same = np.ones(len(ids), bool)
+    same[:1] = False
+    tied, group = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    for depth in range(0, k, DEPTH):
+        n = min(DEPTH, k - depth)
+        part = np.lib.stride_tricks.sliding_window_view(data, n)[ids[tied] + depth].view(f"S{n}").ravel()
+        order = np.lexsort((part, group)) if depth else np.argsort(part, kind="stable")
+        ids[tied], part = ids[tied][order], part[order]
+        equal = np.zeros(len(tied), bool)
+        equal[1:] = (part[1:] == part[:-1]) & (group[1:] == group[:-1])
+        same[tied] = equal
+        going = equal.copy()
+        going[:-1] |= equal[1:]
+        tied, group = tied[going], np.cumsum(~equal)[going]
+        if not len(tied):
+            break
+    return ids, same
+
+
+class Family:
+    """Suffix arrays over strings that are laid end to end, each at least twice as large as the next. `flags` tells which suffixes have an equal one."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.data = np.zeros(0, np.uint8)
+        self.levels: list[np.ndarray] = []
+        self.flags = np.zeros(0, bool)
+        self.scans = 0
+
+    def _mark(self, ids: np.ndarray, same: np.ndarray) -> None:
+        self.flags[ids[1:][same[1:]]] = self.flags[ids[:-1][same[1:]]] = True
+
+    def add(self, strings: list[bytes]) -> np.ndarray:
+        """Takes a batch of strings of k bytes or more; gives where each one's suffixes begin, and the end of the last string."""
+        lengths = np.array([len(x) for x in strings], np.int64)
+        begins = np.zeros(len(strings) + 1, np.int64)
+        np.cumsum(lengths, out=begins[1:])
+        begins += len(self.data)
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(strings), np.uint8)])
+        self.flags = np.append(self.flags, np.zeros(len(self.data) - len(self.flags), bool))
+        counts = lengths - (self.k - 1)
+        before = np.cumsum(counts) - counts
+        new, same = arrange(self.data, np.arange(counts.sum()) + np.repeat(begins[:-1] - before, counts), self.k)
+        self._mark(new, same)
+        joined = new
+        for i in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[i]
+            both, same = arrange(self.data, np.concatenate([level, joined if i == len(self.levels) - 1 else new]), self.k)
+            self._mark(both, same)
+            self.scans += 1
+            if i == len(self.levels) - 1 and len(level) < 2 * len(joined):
+                joined = both  # the scan has merged them
+                self.levels.pop()
+        self.levels.append(joined)
+        return begins
+
+
+def by_suffixes(rows: Iterator[tuple], k: int) -> Iterator[tuple]:
+    """Rows come by bucket (a family) and batch."""
+    for _, of in groupby(rows, key=lambda row: row[0]):
+        family, parts = Family(k), []
+        for _, batch in groupby(of, key=lambda row: row[1]):
+            mz, pk, copies, packs = columns(list(batch))
+            parts.append((mz, pk, copies, family.add(packs)))
+        for mz, pk, copies, begins in parts:
+            flags = family.flags[begins[0] : begins[-1]]
+            begins = begins - begins[0]
+            flags = flags | np.repeat(copies > 1, np.diff(begins))
+            flags[(begins[1:, None] - np.arange(1, k)).ravel()] = False  # no string of k bytes begins there
+            at, first, end = ranges(flags, begins)
+            yield mz[at], pk[at], first, end
 
 
 def _applied(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
@@ -85,7 +121,7 @@ def _applied(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Rec
 
 
 def _with_spans(df: DataFrame, text: str, carry: list[str], k: int, names: list[str], digest: bool) -> DataFrame:
-    found = repeated(df, text, k, M, False, partial(by_suffixes, k=k), GROUP)
+    found = repeated(df, text, k, M, False, partial(by_suffixes, k=k), FAMILY)
     keyed = with_key(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(text), F.lit("")).alias("text")))
     joined = keyed.join(found, ["k1", "k2"], "left").select(*[f"c{i}" for i in range(len(carry))], "text", "spans")
     types = dict(df.dtypes)

@@ -1,11 +1,18 @@
-"""Byte-level BPE: batched merge rounds in numpy over the symbols of many words at once."""
+"""Byte-level BPE: batched merge rounds in numpy over the symbols of many words at once.
+
+A round finds every word's pair of the lowest rank by binary search over the sorted pair keys and merges it wherever it
+stands; words without such a pair leave. Merging other pairs in the same round would not be right: a pair of a higher
+rank may lose a symbol to a merge that the round only makes possible.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh, short_batches
 
-#: Words whose ids a task remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 200_000
+#: Words whose ids a task remembers, of so many characters at most; beyond that it forgets all and starts anew.
+REMEMBERED, SHORT = 200_000, 64
+#: Bytes of a word beyond which it is merged by itself with a heap: rounds would cost its length times its different merges.
+LONG = 1024
 #: Words that are merged at once.
 AT_ONCE = 50_000
 
@@ -56,44 +65,82 @@ class ByteBPE:
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else lambda t: [t]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.rule: dict[int, tuple[int, int]] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Merges all words at once: in each round every word merges its pair of the lowest rank, wherever it stands."""
+    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """Merges all words at once: in each round every word merges its pair of the lowest rank, wherever it stands; finished words leave."""
         raw = [w.encode() for w in words]
+        out = {w: tuple(self._long(r)) for w, r in zip(words, raw) if len(r) > LONG}
+        words, raw = ([x for x, r in zip(xs, raw) if len(r) <= LONG] for xs in (words, raw))
+        if not raw:
+            return out
         symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
         done = np.int64(len(self.pairs))
-        while True:
+        finished: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
             # which symbols begin a pair that can merge, and its rank
             key = (symbols[:-1] << 32) | symbols[1:]
             at = np.minimum(np.searchsorted(self.pairs, key), done - 1)
-            rank = np.where((self.pairs[at] == key) & (word[:-1] == word[1:]), self.ranks[at], done)
-            least = np.full(len(raw), done)
-            np.minimum.at(least, word[:-1], rank)
-            pick = np.flatnonzero((rank == least[word[:-1]]) & (rank < done))
-            if not len(pick):
-                break
+            rank = np.append(np.where((self.pairs[at] == key) & (word[:-1] == word[1:]), self.ranks[at], done), done)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(word))))
+            going = least < done
+            if np.count_nonzero(going) < 0.9 * len(going):
+                finished.append((word[~going], symbols[~going]))
+                symbols, word, rank, least = symbols[going], word[going], rank[going], least[going]
+                if not len(symbols):
+                    break
+            pick = np.flatnonzero((rank == least) & (rank < done))
             # of overlapping equal pairs (a a a) the leftmost merge: every other one of a stretch
             stretch = np.cumsum(np.append(True, np.diff(pick) > 1)) - 1
-            first = np.searchsorted(stretch, stretch)
-            pick = pick[(np.arange(len(pick)) - first) % 2 == 0]
+            begin = np.searchsorted(stretch, stretch)
+            pick = pick[(np.arange(len(pick)) - begin) % 2 == 0]
             symbols[pick] = self.merged[rank[pick]]
             keep = np.ones(len(symbols), bool)
             keep[pick + 1] = False
             symbols, word = symbols[keep], word[keep]
-        ends = np.searchsorted(word, np.arange(len(raw) + 1)).tolist()
-        ids = symbols.tolist()
-        for w, s, e in zip(words, ends, ends[1:]):
-            self.known[w] = tuple(ids[s:e])
+        word, symbols = (np.concatenate(x) for x in zip(*finished))
+        order = np.argsort(word, kind="stable")
+        ends = np.searchsorted(word[order], np.arange(len(raw) + 1)).tolist()
+        ids = symbols[order].tolist()
+        out.update((w, tuple(ids[s:e])) for w, s, e in zip(words, ends, ends[1:]))
+        return out
+
+    def _long(self, raw: bytes) -> list[int]:
+        """The same merges for one long word: the pair of the lowest rank, of equals the leftmost, from a heap."""
+        if not self.rule:
+            self.rule = {p: (r, m) for p, r, m in zip(self.pairs.tolist(), self.ranks.tolist(), self.merged[self.ranks].tolist())}
+        rule, ids = self.rule, self.byte_ids[np.frombuffer(raw, np.uint8)].tolist()
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(rule[p][0], i) for i in range(n - 1) if (p := ids[i] << 32 | ids[i + 1]) in rule]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = right[i]
+            if ids[i] < 0 or j == n or (found := rule.get(ids[i] << 32 | ids[j])) is None or found[0] != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], k = found[1], -1, right[j]
+            right[i] = k
+            if k < n:
+                left[k] = i
+                if (p := ids[i] << 32 | ids[k]) in rule:
+                    heappush(heap, (rule[p][0], i))
+            if (h := left[i]) >= 0 and (p := ids[h] << 32 | ids[i]) in rule:
+                heappush(heap, (rule[p][0], h))
+        return [x for x in ids if x >= 0]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         cut = [[(p, None) if p in self.added else (p, self.split(p)) for p in self.cut(t) if p] for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for parts in cut for _, words in parts if words for w in words if w not in known})
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        here: dict[str, tuple[int, ...]] = {}
+        new = list({w for parts in cut for _, words in parts if words for w in words if w not in self.known})
         for lo in range(0, len(new), AT_ONCE):
-            self._learn(new[lo : lo + AT_ONCE])
+            here |= self._learn(new[lo : lo + AT_ONCE])
+        self.known.update((w, ids) for w, ids in here.items() if len(w) <= SHORT)
+        known = ChainMap(self.known, here) if any(len(w) > SHORT for w in here) else self.known
         for parts in cut:
             out: list[int] = []
             for p, words in parts:

@@ -3,7 +3,7 @@
 Different fingerprints (copies count once) are dealt into buckets so that any two within the radius meet: their 64 bits
 are cut into blocks, and with `radius` differing bits all but `radius` blocks are equal, so each choice of that many
 blocks is a table of buckets. In a bucket the fingerprints are kept as 64 vertical bit planes; one bitwise step updates
-64 distances at once in three carry-save counters, and a block of comparisons ends as soon as all exceed the radius.
+64 distances at once in carry-save counters, and a block of 64 comparisons ends as soon as all exceed the radius.
 A bucket passes on a spanning forest of its links, never all pairs.
 """
 
@@ -65,42 +65,55 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, keep: int) ->
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
-    """64 bit planes of the fingerprints, 64 of them to a word."""
-    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    wide = np.zeros((64, -(-len(prints) // 64) * 64), np.uint8)
+    """Bit planes of the fingerprints (rows of one or more 64-bit words), 64 of them to a word."""
+    bits = np.unpackbits(prints.astype(">u8").reshape(len(prints), -1).view(np.uint8), axis=1)
+    wide = np.zeros((bits.shape[1], -(-len(prints) // 64) * 64), np.uint8)
     wide[:, : len(prints)] = bits.T
     return np.packbits(wide, axis=1, bitorder="little").view("<u8")
 
 
-def near(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int) -> np.ndarray:
-    """For each query a row of words whose bits tell which of the n fingerprints are within the radius (at most 7)."""
-    ones, twos, fours, over = (np.zeros((len(queries), vertical.shape[1]), np.uint64) for _ in range(4))
-    want = planes(queries)
-    flip = np.zeros((64, len(queries)), np.uint64)
-    for p in range(64):
-        flip[p] = np.where(np.unpackbits(want[p].view(np.uint8), bitorder="little")[: len(queries)], FULL, np.uint64(0))
-    for p in range(64):
-        carry = vertical[p][None, :] ^ flip[p][:, None]
-        for counter in (ones, twos, fours):
+def near(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int, compared: list[int] | None = None) -> np.ndarray:
+    """For each query a row of words whose bits tell which of the n fingerprints are within the radius.
+
+    queries: bit planes of the queries; vertical: those of the fingerprints. A cell is one query against 64 fingerprints;
+    it is abandoned as soon as all 64 exceed the radius. compared gets the number of cells that each plane still met.
+    """
+    count, words = queries.shape[1] * 64, vertical.shape[1]
+    bits = np.unpackbits(queries.view(np.uint8), axis=1, bitorder="little").astype(bool)
+    rows, columns = np.divmod(np.arange(count * words), words)
+    out = np.zeros((count, words), np.uint64)
+    counters = np.zeros(((radius + 1).bit_length() + 1, len(rows)), np.uint64)  # the last: beyond what the others count
+    whole = True
+    for p in range(len(vertical)):
+        if compared is not None:
+            compared.append(len(rows))
+        if whole:
+            carry = (vertical[p][None, :] ^ np.where(bits[p], FULL, np.uint64(0))[:, None]).ravel()
+        else:
+            carry = vertical[p][columns] ^ np.where(bits[p][rows], FULL, np.uint64(0))
+        for counter in counters[:-1]:
             both = counter & carry
             counter ^= carry
             carry = both
-        over |= carry
-        if p % 8 == 7 and p > 30 and np.all(beyond(ones, twos, fours, over, radius) == FULL):
-            break
-    out = ~beyond(ones, twos, fours, over, radius)
+        counters[-1] |= carry
+        if p % 8 == 7 and p > 2 * radius and p + 1 < len(vertical):
+            going = beyond(counters, radius) != FULL
+            if np.count_nonzero(going) < 0.75 * len(rows):
+                rows, columns, counters, whole = rows[going], columns[going], np.ascontiguousarray(counters[:, going]), False
+                if not len(rows):
+                    break
+    out[rows, columns] = ~beyond(counters, radius)
     if n % 64:
         out[:, -1] &= np.uint64((1 << n % 64) - 1)
     return out
 
 
-def beyond(ones, twos, fours, over, radius: int) -> np.ndarray:
-    """Bits of the counts (0 to 7, or over) that exceed the radius."""
-    r = radius + 1
-    out = np.full_like(ones, FULL if r < 8 else 0)
-    for bit, counter in ((1, ones), (2, twos), (4, fours)):  # count >= r, from the low bit up
-        out = (counter & out) if r & bit else (counter | out)
-    return over | (out if r < 8 else np.uint64(0))
+def beyond(counters: np.ndarray, radius: int) -> np.ndarray:
+    """Bits of the counts that exceed the radius."""
+    out = np.full_like(counters[0], FULL)
+    for i, counter in enumerate(counters[:-1]):  # count >= radius + 1, from the low bit up
+        out = (counter & out) if (radius + 1) >> i & 1 else (counter | out)
+    return counters[-1] | out
 
 
 def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +126,7 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     other, shift = (left, 0) if right is None else (right, len(left))
     vertical = planes(other)
     for lo in range(0, len(left), QUERIES):
-        hits = near(left[lo : lo + QUERIES], vertical, len(other), radius)
+        hits = near(planes(left[lo : lo + QUERIES]), vertical, len(other), radius)[: len(left) - lo]
         if right is None:
             own = np.arange(lo, min(lo + QUERIES, len(left)))
             hits[np.arange(len(own)), own // 64] &= ~(np.uint64(1) << (own % 64).astype(np.uint64))

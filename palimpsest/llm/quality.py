@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled thresholds, all in DataFrame functions.
 
-A rule rejects a text whose measure exceeds a cutoff. The labelled rows are dealt by a hash of the text: one half gives
-the candidate cutoffs of each stratum (quantiles of its good texts), the other half, the holdout, tests them. A cutoff is
-safe if so few good texts of the holdout exceed it that, were the true rate of false rejections above `risk`, so few
-would have a chance of at most `delta` / number of tests (the exact binomial bound of Clopper and Pearson, corrected
-after Bonferroni over strata, measures and candidates). Of the safe cutoffs of a measure the lowest is taken.
+A rule rejects a text whose measure exceeds a cutoff; a stratum's rule set has one cutoff for each measure. The different
+labelled texts are dealt by a hash: one half gives each stratum's candidate rule sets (quantiles of its good texts, some
+with a margin), the other half, the holdout, tests them. A rule set is safe if so few good texts of the holdout break any
+of its rules that, were the true rate of false rejections above `risk`, so few would have a chance of at most `delta` /
+number of tests (the exact binomial bound of Clopper and Pearson, corrected after Bonferroni over strata and candidates).
+Of the safe rule sets of a stratum the tightest is taken. A text counts once, however many copies of it are labelled.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Measures with a learnt cutoff; a text is rejected if one exceeds it.
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "capital_rate", "mark_rate")
-#: Shares of the good calibration texts that a candidate cutoff leaves behind.
-LEVELS = (1.0, 0.999, 0.998, 0.995, 0.99)
+#: Candidate rule sets from loose to tight: the share of the good calibration texts up to each cutoff, and the cutoffs' margin.
+CANDIDATES = ((1.0, 2.0), (1.0, 1.5), (1.0, 1.25), (1.0, 1.0), (0.999, 1.0), (0.998, 1.0), (0.995, 1.0), (0.99, 1.0))
 
 
 def words_of(text: Column) -> Column:
@@ -105,28 +106,34 @@ def at_most(k: Column, n: Column, p: float) -> Column:
 
 
 def safe_cutoffs(scored: DataFrame, risk: float, delta: float) -> DataFrame:
-    """scored: stratum, good (boolean), k1, rates -> stratum, measure, cutoff, n, rejected, chance for each safe cutoff that is the lowest of its measure.
+    """scored: stratum, good (boolean), k1, rates -> stratum, candidate, cutoffs (by measure), n, rejected, chance: the tightest safe rule set of each stratum that has one.
 
-    Every candidate's count over the holdout comes from one aggregation with map-side combining; no row is collected.
+    Quantiles are merged sketches (exact below 10,000 texts; the test doesn't depend on them), counts one aggregation with
+    map-side combining; nothing is gathered and no row is collected.
     """
-    long = scored.filter("good").select("stratum", (F.pmod(F.shiftright("k1", 7), F.lit(2)) == 0).alias("held"), F.explode(F.array(*[F.struct(F.lit(r).alias("measure"), F.col("rates")[r].alias("value")) for r in RATES])).alias("x")).select("stratum", "held", "x.*")
-    grid = long.filter("not held").groupBy("stratum", "measure").agg(F.percentile("value", F.lit(list(LEVELS))).alias("cutoffs"))
-    grid = grid.select("stratum", "measure", F.explode(F.array_distinct("cutoffs")).alias("cutoff"))
-    grid = materialise(grid, "candidates")
-    tests = max(1, grid.count())  # strata x measures x candidates
-    held = long.filter("held").join(small(grid.groupBy("stratum", "measure").agg(F.collect_list("cutoff").alias("cutoffs")), tests, 64), ["stratum", "measure"])
-    counts = held.select("stratum", "measure", F.explode("cutoffs").alias("cutoff"), "value").groupBy("stratum", "measure", "cutoff").agg(F.count("*").alias("n"), F.sum((F.col("value") > F.col("cutoff")).cast("long")).alias("rejected"))
+    texts = scored.groupBy("stratum", "k1").agg(F.min("good").alias("low"), F.first("rates").alias("rates"))
+    texts = materialise(texts.filter("low").select("stratum", (F.pmod(F.shiftright("k1", 7), F.lit(2)) == 0).alias("held"), "rates"), "good-texts")
+    levels = sorted({level for level, _ in CANDIDATES})
+    grid = texts.filter("not held").groupBy("stratum").agg(*[F.percentile_approx(F.col("rates")[r], F.lit(levels), F.lit(10_000)).alias(r) for r in RATES])
+    sets = [F.struct(F.lit(i).alias("candidate"), F.struct(*[(F.col(r)[levels.index(level)] * margin).alias(r) for r in RATES]).alias("cutoffs")) for i, (level, margin) in enumerate(CANDIDATES)]
+    grid = materialise(grid.select("stratum", F.array(*sets).alias("sets")), "candidates")
+    strata = grid.count()
+    tests = max(1, strata * len(CANDIDATES))
+    held = texts.filter("held").join(small(grid, strata, 1024), "stratum").select("stratum", "rates", F.explode("sets").alias("x")).select("stratum", "rates", "x.*")
+    breaks = F.greatest(*[(F.col("rates")[r] > F.col("cutoffs")[r]).cast("long") for r in RATES])
+    counts = held.groupBy("stratum", "candidate").agg(F.first("cutoffs").alias("cutoffs"), F.count("*").alias("n"), F.sum(breaks).alias("rejected"))
     tested = counts.withColumn("chance", at_most(F.col("rejected"), F.col("n"), risk)).filter(F.col("chance") <= F.lit(delta / tests))
-    return tested.groupBy("stratum", "measure").agg(F.min(F.struct("cutoff", "n", "rejected", "chance")).alias("x")).select("stratum", "measure", "x.*")
+    return tested.groupBy("stratum").agg(F.max(F.struct("candidate", "cutoffs", "n", "rejected", "chance")).alias("x")).select("stratum", "x.*")
 
 
 def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", id_col: str = "doc_id", risk: float = 0.02, delta: float = 0.05, drop_text: bool = False) -> DataFrame:
     """df with, under names that it doesn't have, `measured`, `rates`, `base_failed`, `failed` (names of the measures beyond their cutoff) and `kept`.
 
-    labels: id_col and quality (1: good). With chance 1 - delta at least, in every stratum each rule rejects at most a
-    share `risk` of good texts. A stratum with too few labelled texts to show that has no rules, so its texts are kept if
-    they pass the base. Labels that contradict each other or are null don't count; null strata form one stratum; null
-    texts have no words and fail the base; repeated rows are judged alike; empty tables give empty results.
+    labels: id_col and quality (1: good). With chance 1 - delta at least, in every stratum the rules together reject at
+    most a share `risk` of the different good texts that pass the base. A stratum with too few labelled texts to show that
+    has no rules, so its texts are kept if they pass the base. Labels that contradict each other (of a row or of copies of
+    a text) or are null don't count; null strata form one stratum; null texts have no words and fail the base; repeated
+    rows are judged alike; empty tables give empty results.
     """
     named = [*(c for c in df.columns if not (drop_text and c == text)), *fresh(df, "measured", "rates", "base_failed", "failed", "kept")]
     df, at = plain(df)
@@ -136,15 +143,12 @@ def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "
     one = labels.filter("quality is not null").groupBy(F.col(label_id).alias("labelled")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     scored = rows.filter(~base_failed(F.col("measured"))).join(one, F.col(id_col) == F.col("labelled")).select(name.alias("stratum"), (F.col("high") == 1).alias("good"), "k1", "rates")
-    cutoffs = safe_cutoffs(scored, risk, delta)
-    rules = cutoffs.groupBy(F.col("stratum").alias("of")).agg(F.collect_list(F.struct("measure", "cutoff")).alias("rules"))
-    rules = materialise(rules, "rules")
+    rules = materialise(safe_cutoffs(scored, risk, delta).select(F.col("stratum").alias("of"), "cutoffs"), "rules")
     strata = rules.count()
     judged = rows.join(small(rules, strata, 1024), name == F.col("of"), "left")
-    value = lambda r: F.coalesce(*[F.when(r["measure"] == m, F.col("rates")[m]) for m in RATES])
-    broken = F.transform(F.filter(F.coalesce(F.col("rules"), F.array().cast("array<struct<measure:string,cutoff:double>>")), lambda r: value(r) > r["cutoff"]), lambda r: r["measure"])
+    broken = F.array_compact(F.array(*[F.when(F.col("rates")[r] > F.col("cutoffs")[r], F.lit(r)) for r in RATES]))
     judged = judged.withColumns({"base_failed": base_failed(F.col("measured")), "failed": F.array_sort(broken)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("of", "rules", "k1").toDF(*named)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("of", "cutoffs", "k1").toDF(*named)
 
 
 def quality_filter(df: DataFrame, labels: DataFrame, **options) -> DataFrame:

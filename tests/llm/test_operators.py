@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, decontam, license_scan, quality, repeats, sharding, simhash, substring_dedup, suffix_dedup, warc
+from palimpsest.llm import bpe, chat, common, decontam, license_scan, quality, repeats, sharding, simhash, substring_dedup, suffix_dedup, warc
 from palimpsest.llm.components import components
 from palimpsest.llm.template import Template, TemplateError
 
@@ -78,18 +79,68 @@ def test_suffix_dedup(docs, texts, monkeypatch, crowd):
     assert {r[0]: tuple(r[1:]) for r in suffix_dedup.suffix_digests(docs).collect()} == want
 
 
-def test_suffix_levels_merge():
+def test_suffix_family_spans_batches():
+    """All pairs of equal strings are found, within and across batches, the arrays are in byte order and grow geometrically."""
     import numpy as np
 
-    r = np.random.default_rng(1)
-    d = r.integers(0, 400, 3000).astype(np.uint64)
-    index = suffix_dedup.Levels(3000)
-    for lo in range(0, 3000, 100):
-        index.add(d[lo : lo + 100] % np.uint64(7), d[lo : lo + 100], d[lo : lo + 100], np.arange(lo, lo + 100))
-    many = Counter(d.tolist())
-    assert index.flags.tolist() == [many[x] > 1 for x in d.tolist()]
-    sizes = [len(k) for k, _ in index.levels]
-    assert sum(sizes) == 3000 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    r, k = np.random.default_rng(1), 40
+    source = r.integers(97, 99, 3000, dtype=np.uint8).tobytes() + b"\0" * 60 + b"\xff" * 60
+    strings = [source[s : s + n] for s, n in zip(r.integers(0, 3000, 60).tolist(), r.integers(k, 120, 60).tolist())]
+    family, begins = suffix_dedup.Family(k), []
+    for lo in range(0, 60, 5):
+        begins += family.add(strings[lo : lo + 5])[:-1].tolist()
+    many = Counter(s[i : i + k] for s in strings for i in range(len(s) - k + 1))
+    for s, at in zip(strings, begins):
+        assert [bool(family.flags[at + i]) for i in range(len(s) - k + 1)] == [many[s[i : i + k]] > 1 for i in range(len(s) - k + 1)]
+    sizes = [len(level) for level in family.levels]
+    assert sum(sizes) == sum(len(s) - k + 1 for s in strings) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) <= 6 and family.scans >= 11
+    data = family.data.tobytes()
+    for level in family.levels:
+        assert all(data[a : a + k] <= data[b : b + k] for a, b in zip(level.tolist(), level[1:].tolist()))
+
+
+def test_families_get_every_batch_of_the_table(spark, monkeypatch):
+    """With one family for all strings, its batches are those of the whole table, and repeats across batches are found."""
+    seen = []
+    real = suffix_dedup.Family.add
+    monkeypatch.setattr(suffix_dedup.Family, "add", lambda self, strings: (seen.append((id(self), len(strings))), real(self, strings))[1])
+    r = random.Random(4)
+    shared = "".join(r.choice("abcdefghij") for _ in range(700)).encode()
+    rows = []
+    for t in range(64):
+        text = bytes(r.choice(b"klmnop") for _ in range(150)) + shared
+        rows += [(0, t % 8, 5, (t << 8) + i, 1, text[i : i + 260]) for i in range(0, 500, 61)]
+    rows.sort(key=lambda x: x[:2])
+    found = {}
+    for mz, pk, f, t in suffix_dedup.by_suffixes(iter(rows), 200):
+        for p, a, b in zip(pk.tolist(), f.tolist(), t.tolist()):
+            found.setdefault(p, set()).update(range(a, b))
+    assert len(seen) == 8 and len({x for x, _ in seen}) == 1
+    many = Counter(x[5][i : i + 200] for x in rows for i in range(61))
+    assert found == {x[3]: s for x in rows if (s := {i for i in range(61) if many[x[5][i : i + 200]] > 1})}
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_and_bytes_that_polynomials_confuse(spark):
+    """Different words and strings with equal polynomial hashes modulo 2**64 are not repeats."""
+    a, b = thue_morse(1024)
+    lead = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(0, f"{lead} {a}"), (1, f"{lead} {b}"), (2, "x" * 300 + a), (3, "x" * 300 + b), (4, a + "y" * 90), (5, b + "y" * 90)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_digests(df).collect()} == dict.fromkeys(range(6), 0)
+    units = [r.text.encode() for r in df.orderBy("doc_id").collect()]
+    assert [r.n_removed for r in suffix_dedup.suffix_digests(df).orderBy("doc_id").collect()] == [sum(f) for f in covered(units, 200)]
+
+
+def test_equal_hashes_are_told_apart_by_bytes():
+    import numpy as np
+
+    raw = b"abcabdabcxabd"
+    first = np.array([0, 3, 6, 10])
+    label = substring_dedup.classes(raw, first, first + 3, np.zeros(4, np.uint64))
+    assert label[0] == label[2] and label[1] == label[3] and label[0] != label[1]
 
 
 def test_empty_tables(spark, empty):
@@ -134,10 +185,26 @@ def test_near_is_exact():
     r = np.random.default_rng(3)
     a = r.integers(0, 2**64, 130, dtype=np.uint64)
     b = np.concatenate([a ^ (np.uint64(1) << r.integers(0, 64, 130).astype(np.uint64)) for _ in range(3)])
-    for radius in (0, 1, 4, 7):
-        hits = simhash.near(a, simhash.planes(b), len(b), radius)
-        got = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : len(b)].astype(bool)
+    for radius in (0, 1, 4, 7, 20):
+        hits = simhash.near(simhash.planes(a), simhash.planes(b), len(b), radius)
+        got = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[: len(a), : len(b)].astype(bool)
         assert (got == (np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)).all()
+    wide = r.integers(0, 2**64, (100, 4), dtype=np.uint64)
+    wide[50:] = wide[:50] ^ (r.integers(0, 2**64, (50, 4), dtype=np.uint64) & r.integers(0, 2**64, (50, 4), dtype=np.uint64) & r.integers(0, 2**64, (50, 4), dtype=np.uint64))
+    got = np.unpackbits(simhash.near(simhash.planes(wide), simhash.planes(wide), 100, 40).view(np.uint8), axis=1, bitorder="little")[:100, :100]
+    assert (got == (np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2) <= 40)).all()
+
+
+def test_near_abandons_blocks():
+    """Of unrelated fingerprints, compared with themselves, few blocks are met by all planes, and no link is lost by it."""
+    import numpy as np
+
+    prints = np.random.default_rng(4).integers(0, 2**64, 4096, dtype=np.uint64)
+    met: list[int] = []
+    vertical = simhash.planes(prints)
+    hits = simhash.near(vertical[:, :4], vertical, 4096, 4, met)
+    assert met[0] == 256 * 64 and met[-1] < met[0] / 20 and sum(met) < 0.6 * met[0] * 64
+    assert np.bitwise_count(hits).sum() == 256  # each finds itself
 
 
 def test_components_of_a_long_path(spark):
@@ -149,8 +216,9 @@ def item_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
 
 
-def test_decontamination(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK", 8)  # several blocks
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_decontamination(spark, docs, texts, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)  # 0: nothing is broadcast
     items = [(1, " ".join(texts[0].split()[:25])), (2, texts[20]), (3, "w1 w2"), (4, "CAFÉ"), (5, None), (6, "!!"), (10, texts[25]), (11, "tab tab tab")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     wins = {}
@@ -171,6 +239,17 @@ def test_decontamination(spark, docs, texts, monkeypatch):
     assert {r[0]: (r[6], r[7], r[9], r[10]) for r in out.collect()} == want
 
 
+def test_decontamination_of_many_equal_items(spark):
+    """2,000 items and a text of 3,000 words that all are the same word: the rows are places and items, not their product."""
+    bench = spark.range(2000).selectExpr("id AS item_id", "'yes' AS text")
+    df = spark.createDataFrame([(1, "Yes! " * 3000), (2, "no")], "doc_id long, text string")
+    wins = decontam.item_windows(bench, "item_id", "text", 10)
+    keyed = df.select(F.xxhash64("text").alias("k1"), F.lit(0).cast("long").alias("k2"), "text")
+    assert decontam.occurrences(keyed, wins.select("id1", "id2", "win").distinct()).count() == 3000
+    r = {r.doc_id: r for r in decontam.contamination(df, bench).collect()}
+    assert (r[1].n_words, r[1].n_hit, r[1].n_items, r[2].n_hit) == (3000, 3000, 2000, 0)
+
+
 def test_quality_measures(spark, docs, texts):
     labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(len(texts))] + [(1, 0), (2, None)], "doc_id long, quality int")
     out = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
@@ -188,13 +267,46 @@ def test_quality_measures(spark, docs, texts):
 
 
 def test_safe_cutoffs_hold_their_bound(spark):
+    """The bound is for all rules of a stratum together, over different texts: copies of a labelled text count once."""
     from math import comb
 
-    rows = [("s", True, i * 128, (float(i % 2000), 0.0, 0.0, 0.0, 0.0, 0.0)) for i in range(4000)]
+    rows = [("s", True, i * 128, (float(i % 2000), 0.0, float(i * 7 % 1999), 0.0, 0.0, 0.0)) for i in range(4000)] * 3
+    rows += [("few", True, i * 128, (0.0,) * 6) for i in range(100)] + [("s", False, 256, (9e9,) * 6)]
     scored = spark.createDataFrame(rows, "stratum string, good boolean, k1 long, rates struct<symbol_rate:double,dup_line_rate:double,repeat_rate:double,word_length:double,capital_rate:double,mark_rate:double>")
-    for r in quality.safe_cutoffs(scored, 0.02, 0.05).collect():
-        exact = sum(comb(r.n, k) * 0.02**k * 0.98 ** (r.n - k) for k in range(r.rejected + 1))
-        assert abs(exact - r.chance) < 1e-9 and r.chance <= 0.05
+    out = quality.safe_cutoffs(scored, 0.02, 0.05).collect()
+    assert [r.stratum for r in out] == ["s"]
+    r = out[0]
+    exact = sum(comb(r.n, k) * 0.02**k * 0.98 ** (r.n - k) for k in range(r.rejected + 1))
+    assert abs(exact - r.chance) < 1e-9 and r.chance <= 0.05 / 16 and 1900 < r.n < 2100
+    held = [x[3] for x in rows[:4000] if (x[2] >> 7) % 2 == 0 and x[2] != 256]  # that text has contradicting labels
+    assert r.n == len(held) and r.rejected == sum(any(a > b for a, b in zip(x, r.cutoffs)) for x in held)
+
+
+def test_kept_like_brute_force(spark):
+    """A learnt rule rejects: base, rule set and verdict, all from the rule as it is stated."""
+    import math
+    from fractions import Fraction
+
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(12)) + (" #" * r.choice([0, 0, 0, 1])) for _ in range(1500)]
+    texts += [t + " # $ % & # $ % &" for t in texts[:60]] + texts[:200] + ["x", None]
+    df = spark.createDataFrame([(i, t, "en", "a", "b", 0) for i, t in enumerate(texts)], SCHEMA)
+    labels = {i: 0 if 1500 <= i < 1560 else 1 for i in range(len(texts))}
+    out = {x.doc_id: x for x in quality.judge(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    keys = {x.doc_id: x.k for x in df.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS k").collect()}
+    good = {keys[i]: tuple(out[i].rates) for i in out if labels[i] and not out[i].base_failed}
+    calm, held = ([v for k, v in good.items() if (k >> 7) % 2 == side] for side in (1, 0))
+    choice = None
+    for level, margin in quality.CANDIDATES:
+        cut = [sorted(x[m] for x in calm)[max(0, math.ceil(Fraction(str(level)) * len(calm)) - 1)] * margin for m in range(6)]
+        k, n = sum(any(a > b for a, b in zip(x, cut)) for x in held), len(held)
+        if sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) <= 0.05 / len(quality.CANDIDATES):
+            choice = cut
+    assert choice
+    for i, x in out.items():
+        assert x.kept == (not x.base_failed and not any(a > b for a, b in zip(x.rates, choice)))
+    assert not any(out[i].kept for i in range(1500, 1560)) and sum(out[i].kept for i in range(1500)) > 1450
+    assert sorted(x.doc_id for x in quality.quality_filter(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()) == sorted(i for i in out if out[i].kept)
 
 
 def path():
@@ -213,6 +325,13 @@ def test_bpe_like_the_library(docs, texts):
         want = library.encode(t or "", add_special_tokens=False).ids
         got = next(mine.encode([t or ""]))
         assert got == want and mine.decode(got) == library.decode(want, skip_special_tokens=False) == (t or "")
+    r = random.Random(8)
+    for n in (1, 2, 3, 500, 1024, 1025, 5000):  # rounds and the heap agree, with each other and with the library
+        w = "".join(r.choice("etaoinsh") for _ in range(n))
+        assert tuple(mine._long(w.encode())) == mine._learn([w])[w] == tuple(library.encode(w, add_special_tokens=False).ids)
+    began = time.process_time()
+    assert next(mine.encode(["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80_000))]))
+    assert time.process_time() - began < 2 and max(map(len, mine.known)) <= bpe.SHORT
     out = bpe.bpe_encode(docs, path())
     assert {r.doc_id: r.token_ids for r in out.collect()} == {i: next(mine.encode([t or ""])) for i, t in enumerate(texts)}
 
@@ -227,15 +346,39 @@ def test_sharding(spark, docs, texts):
     assert got == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
 
 
-def test_hypergeometric_draws(spark):
-    """Mean and variance over many draws, and the margins of a matrix."""
-    long = lambda n: F.lit(n).cast("long")
-    d = spark.range(4000).select(sharding.hypergeometric(sharding.uniform(5, F.col("id")), long(30), long(70), long(20)).alias("x"))
-    mean, var, low, high = d.agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
-    assert abs(mean - 6) < 0.15 and abs(var - 20 * 0.3 * 0.7 * 80 / 99) < 0.3 and low >= 0 and high <= 20
+def test_hypergeometric_draws():
+    """Mean and variance over many draws, exact chances at the ends, sizes beyond 10^10, and the margins of a matrix."""
+    from math import comb
+
+    import numpy as np
+
+    u = np.random.default_rng(5).random(20_000)
+    d = np.array([sharding.hypergeometric(x, 30, 70, 20) for x in u])
+    assert abs(d.mean() - 6) < 0.06 and abs(d.var() - 20 * 0.3 * 0.7 * 80 / 99) < 0.12
+    heap = 0.0
+    for k in range(21):  # the draw steps from k to k + 1 where the exact chances say
+        heap += comb(30, k) * comb(70, 20 - k) / comb(100, 20)
+        if 1e-12 < heap < 1 - 1e-12:
+            assert sharding.hypergeometric(heap - 1e-13, 30, 70, 20) <= k < sharding.hypergeometric(heap + 1e-9, 30, 70, 20) + (heap > 1 - 1e-9)
+    big = [(sharding.hypergeometric(x, 10**11, 7 * 10**11, 4 * 10**11) - 5 * 10**10) / (4e11 * 0.125 * 0.875 * 0.5) ** 0.5 for x in u[:200]]
+    assert abs(np.mean(big)) < 0.3 and 0.8 < np.std(big) < 1.2
     rows = [3, 0, 50, 7]
-    m = sharding.communication_matrix(spark.createDataFrame([(rows,)], "rows array<long>"), 3, 9).orderBy("part").collect()
-    assert [sum(r.sends) for r in m] == rows and [sum(c) for c in zip(*(r.sends for r in m))] == [20, 20, 20]
+    m = sharding.communication_matrix(rows, 3, 9)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == [20, 20, 20] and m.min() >= 0
+
+
+def test_shards_and_slots_are_uniform(spark):
+    """Chi-square tests of shard and slot against where a row came from, and of neighbours in a shard."""
+    n = 24_000
+    out = sharding.shard_rows(spark.range(n).withColumnRenamed("id", "shard"), 8).collect()
+    assert out[0].asDict().keys() == {"shard", "shard_", "slot"}
+    chi = lambda table, rows, cols: sum((table[i, j] - n / rows / cols) ** 2 / (n / rows / cols) for i in range(rows) for j in range(cols))
+    by_shard = chi(Counter((r[0] * 10 // n, r[1]) for r in out), 10, 8)
+    by_slot = chi(Counter((r[0] * 10 // n, r[2] * 10 * 8 // n) for r in out), 10, 10)
+    assert by_shard < 63 + 5 * 126**0.5 and by_slot < 81 + 5 * 162**0.5  # five standard deviations
+    place = {r[0]: (r[1], r[2]) for r in out}
+    near = sum(place[i][0] == place[i + 1][0] and abs(place[i][1] - place[i + 1][1]) < 100 for i in range(n - 1))
+    assert abs(near - n / 8 * 2 * 100 / 3000) < 5 * 200**0.5
 
 
 def test_chat(spark):
@@ -270,15 +413,32 @@ def test_warc(spark):
     out = warc.read_pages(archive).collect()
     assert len(out) == len(rows)
     kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in out)
-    assert kinds == [(0, "revisit", "2"), (1, "revisit", "2"), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "revisit", "7"), (7, "response", None), (7, "response", None)]
+    assert kinds == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "revisit", 7), (7, "response", None), (7, "response", None)]
     by = {r.page_id: r for r in out}
-    assert by[7].payload_bytes == 1400 and by[7].payload_digest == hashlib.sha1(huge.encode()).hexdigest() and by[7].url == "é" and by[5].payload_bytes == 0
+    assert by[7].payload_bytes == 1400 and by[7].payload_digest == hashlib.sha1(huge.encode()).hexdigest() and by[7].url == "é" and by[5].payload_bytes == 0 and by[5].url is None and by[None].url == "x\r\nWARC-Type: revisit"
     for r in warc.read_records(archive).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert head.startswith(b"WARC/1.1\r\n") and rest[size:] == b"\r\n\r\n"
 
 
+def test_warc_of_string_ids_long_payloads_and_clashing_names(spark):
+    big = "é long " * 200_000
+    rows = [("b", "u1", big, "x", 1), ("a", "u2", big, "y", 2), (None, "u3", big, "z", 3), ("c", "", "short\r\n\r\nbody", "w", 4)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, digest string, record int")
+    out = {r.page_id: r for r in warc.read_pages(warc.write_archive(df)).collect()}
+    assert {k: (r.record_type, r.refers_to, r.url) for k, r in out.items()} == {"b": ("response", None, "u1"), "a": ("revisit", "b", "u2"), None: ("revisit", "b", "u3"), "c": ("response", None, "")}
+    for page, _, html, _, _ in rows:
+        assert (out[page].payload_bytes, out[page].payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
+
+
+def test_a_changed_payload_is_noticed(spark):
+    archive = warc.write_archive(spark.createDataFrame([(1, "u", "x" * 2000)], "page_id long, url string, html string"))
+    archive.payloads = archive.payloads.withColumn("payload", F.lit(b"y" * 2000))
+    with pytest.raises(Exception, match="digest"):
+        warc.read_pages(archive).collect()
+
+
 def test_license_scan(docs, texts):
     out = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     for i, t in enumerate(texts):

@@ -1,12 +1,16 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates by MinHash bands, every link checked on the whole sets.
-
-Different texts (exact copies meet on the map side) are dealt into one bucket per band of MinHash values; buckets with
-the same members count once. A task holds the shingle sets of one bucket and passes on a spanning forest of the pairs
-whose exact similarity reaches the threshold, never all pairs. A bucket beyond TILE is cut into pairs of tiles.
+"""SimHash near-dedup at a threshold of similarity: what simhash_dedup does if it is given one.
+
+Fingerprints of 256 bits over the texts' different word shingles are compared by bit planes, as in simhash; a pair within
+RADIUS is a candidate, and a link if the Jaccard similarity of the whole shingle sets reaches the threshold. At a
+similarity of 0.8 some 39 of 256 bits differ, so no blocks of equal bits can bring such pairs together; texts meet in one
+bucket per band of MinHash values instead. Different texts (exact copies meet on the map side) are dealt, buckets with the
+same members count once. A task holds the shingle sets of one bucket and passes on a spanning forest of its links, never
+all pairs. A bucket beyond TILE is cut into pairs of tiles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -17,11 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import SEEDS, RangeHash, fresh, materialise, mix, short_batches, small, text_bytes, with_key, word_hashes, word_spans
 from .components import components
+from .simhash import QUERIES, near, planes
 
 #: Bands and MinHash values in each: of pairs with similarity s, 1 - (1 - s**WIDTH)**BANDS share a band (0.8: 0.99993).
 BANDS, WIDTH = 24, 5
+#: 64-bit words in a fingerprint.
+WORDS = 4
 #: Different texts in a tile pair; a larger bucket is cut.
 TILE = 1024
+#: Texts, and shingles, of buckets that are compared together.
+BATCH, SHINGLES = 512, 1 << 22
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,50 +94,77 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return shared >= least * (len(both) - shared) - 1e-9
 
 
+def wide_print(shingled: np.ndarray) -> np.ndarray:
+    """64 * WORDS bits: bit i is set if it is in over half of the shingles' mixed hashes."""
+    salts = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(SEEDS[1]))
+    counts = np.zeros(64 * WORDS, np.int64)
+    for lo in range(0, len(shingled), 16_384):
+        mixed = mix(shingled[lo : lo + 16_384, None] ^ salts[None, :]).astype(">u8").view(np.uint8)
+        counts += np.unpackbits(mixed, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingled)).view(">u8").astype(np.uint64)
+
+
+def radius(least: float) -> int:
+    """Bits in which fingerprints of texts with that similarity differ, and six standard deviations more.
+
+    The share of differing bits is the angle of the sets over pi; of sets with similarity s its cosine is 2s / (1 + s) at
+    least. About one pair in a billion is beyond.
+    """
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(64 * WORDS * share + 6 * (64 * WORDS * share * (1 - share)) ** 0.5)
+
+
 def forest(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links among the alike whose components are those of all alike pairs: each set meets the members of a component until one is alike."""
-    groups: list[list[int]] = []
+    """Links among the alike whose components are those of all alike pairs within the radius."""
+    vertical = planes(np.stack([wide_print(s) for s in sets]))
+    root = list(range(len(ids)))
     out = []
-    for x in range(len(ids)):
-        mine, rest = [x], []
-        for g in groups:
-            y = next((y for y in g if alike(sets[x], sets[y], least)), None)
-            if y is None:
-                rest.append(g)
-            else:
-                out.append((ids[x], ids[y]))
-                mine = g + mine
-        groups = [*rest, mine]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for lo in range(0, len(ids), QUERIES):
+        hits = near(np.ascontiguousarray(vertical[:, lo // 64 : (lo + QUERIES) // 64]), vertical, len(ids), radius(least))
+        for x in range(lo, min(lo + QUERIES, len(ids))):
+            for y in np.flatnonzero(np.unpackbits(hits[x - lo].view(np.uint8), bitorder="little")[:x]).tolist():
+                a, b = find(x), find(y)
+                if a != b and alike(sets[x], sets[y], least):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[x], ids[y]))
     return out
 
 
 def _links(batches: Iterator[pa.RecordBatch], length: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, tile, tile, id, text) come sorted by bucket and tiles."""
-    last, ids, sets = None, [], []
+    """Rows (bucket, tile, tile, id, text) come sorted by bucket and tiles. Whole buckets are compared together, up to BATCH texts or so: what they link is alike anyhow."""
+    last, held, size = None, {}, 0
 
     def out() -> pa.RecordBatch:
-        found = forest(ids, sets, least)
+        found = forest(list(held), list(held.values()), least)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for b in batches:
         keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
         of = b.column(3).to_pylist()
         for n in range(b.num_rows):
-            if keys[n] != last:
-                if len(ids) > 1:
-                    yield out()
-                last, ids, sets = keys[n], [], []
-            ids.append(of[n])
-            sets += shingles(b.column(4).slice(n, 1), length)
-    if len(ids) > 1:
+            if keys[n] != last and (len(held) >= BATCH or size >= SHINGLES):
+                yield out()
+                held, size = {}, 0
+            last = keys[n]
+            if of[n] not in held:
+                held[of[n]] = shingles(b.column(4).slice(n, 1), length)[0]
+                size += len(held[of[n]])
+    if len(held) > 1:
         yield out()
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of df that stay: of each component of texts with similarity `least` or more, one row with its smallest id (rows with null ids come last; of rows alike in id, any one).
 
-    Texts without words are alike. Every link is exact; a pair of texts is missed if it shares no band (see BANDS) and
-    no path of other links joins it.
+    Null and empty texts and texts without words are alike; fewer words than a shingle are one shingle; repeated rows are
+    copies; texts of any length are hashed whole; extra columns stay. Every link is exact; a pair of texts is missed if it
+    shares no band (see BANDS) or is beyond the radius, and no path of other links joins it. An empty table gives an empty one.
     """
     short_batches(df.sparkSession)
     (rid,) = fresh(df, "rid")

@@ -253,8 +253,16 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of df that stay: of each component, one row with its smallest id (rows with null ids come last; of rows that are alike in id, any one)."""
+def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
+    """The rows of df that stay: of each component, one row with its smallest id (rows with null ids come last; of rows that are alike in id, any one).
+
+    Links are fingerprints within the radius, or with `similarity` texts whose shingle sets have that Jaccard similarity
+    or more, found through wider fingerprints (see near_copies).
+    """
+    if similarity is not None:
+        from .near_copies import near_dedup
+
+        return near_dedup(df, id_col, text, shingle, similarity)
     short_batches(df.sparkSession)
     (fp, rid) = fresh(df, "fp", "rid")
     read = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)], F.coalesce(F.col(text), F.lit("")).alias("text"))

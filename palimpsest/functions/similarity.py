@@ -25,6 +25,22 @@ def char_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(chars(a), chars(b))) / union)
 
 
+def char_sets(c: Column) -> Column:
+    """The different characters as two words of ASCII bits and the list of all others: made once per row, before rows are paired."""
+    ascii_ = F.filter(chars(c), lambda x: F.ascii(x) < 128)
+    word = lambda lo: F.aggregate(F.filter(ascii_, lambda x: (F.ascii(x) >= lo) & (F.ascii(x) < lo + 64)), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x) - lo)))
+    return F.struct(word(0).alias("low"), word(64).alias("high"), F.array_sort(F.filter(chars(c), lambda x: F.ascii(x) >= 128)).alias("rest"))
+
+
+def char_sets_jaccard(a: Column, b: Column) -> Column:
+    """char_jaccard of two char_sets: bit counts, and lists only where both have other characters."""
+    count = lambda f: F.bit_count(f(a["low"], b["low"])) + F.bit_count(f(a["high"], b["high"]))
+    shared = F.when((F.size(a["rest"]) > 0) & (F.size(b["rest"]) > 0), F.size(F.array_intersect(a["rest"], b["rest"]))).otherwise(0)
+    both = count(lambda x, y: x.bitwiseAND(y)) + shared
+    union = count(lambda x, y: x.bitwiseOR(y)) + F.size(a["rest"]) + F.size(b["rest"]) - shared
+    return F.when(union == 0, F.lit(0.0)).otherwise(both / union)
+
+
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence, by bit-parallel rows (Hyyrö 2004)."""
     if not a or not b:
@@ -45,6 +61,34 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / n if n else 1.0
 
 
+def lcs_lengths(a: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """lcs_length of one string with many at once, all as numbers for characters (others: a row for each, filled up with any).
+
+    The same rows of bits, 64 to a word, kept for all strings side by side; the strings are taken in order of length, so
+    that those that have ended drop out.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    columns, left = np.ascontiguousarray(others[order].T), lengths[order]
+    words = -(-len(a) // 64)
+    where = np.zeros((words, int(max(a.max(initial=0), others.max(initial=0))) + 1), np.uint64)
+    for i, ch in enumerate(a.tolist()):
+        where[i // 64, ch] |= np.uint64(1) << np.uint64(i % 64)
+    row = np.full((words, len(left)), np.uint64(2**64 - 1))
+    for t in range(int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(-left, -t))  # those longer than t
+        ch, carry = columns[t, :n], np.zeros(n, np.uint64)
+        for w in range(words):
+            mask, now = where[w][ch], row[w, :n]
+            part = now + (now & mask)
+            whole = part + carry
+            carry = ((part < now) | (whole < part)).astype(np.uint64)
+            row[w, :n] = whole | (now & ~mask)
+    kept = sum(np.bitwise_count(row[w] & np.uint64((1 << min(64, len(a) - 64 * w)) - 1)).astype(np.int64) for w in range(words))
+    out = np.zeros(len(left), np.int64)
+    out[order] = len(a) - kept
+    return out
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter with any stretch of the longer as long at most, its ends included."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_ratio
+from ..functions.similarity import lcs_lengths
 
 #: New and old keys that one row of a whole-pool comparison holds.
-NEW_BLOCK, OLD_CHUNK = 256, 1024
+NEW_BLOCK, OLD_CHUNK = 32, 4096
+#: Old keys, those with the highest bounds, that are scored before the others.
+FIRST = 128
 #: Exact hits that a new row may have.
 EXACT_HITS = 25
 
@@ -25,7 +25,7 @@ def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str | None, ne
 
     Rows with equal keys match exactly, the first `cap` by `rank` (columns over both sides: n_* and o_*). The others meet
     old rows that share the blocking column, so no pair outside a block is ever made, and keep their best above the
-    threshold; what is left has one row of tier none. The blocking column must bound its groups (SURVEY: a volume).
+    threshold; a new id without any has one row of tier none. The blocking column must bound its groups (SURVEY: a volume).
     Without a blocking column they meet the whole pool, and the score is the indel ratio of the keys (see pool_best).
     """
     n = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
@@ -42,9 +42,9 @@ def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str | None, ne
     similar = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(nid).orderBy(F.desc("score"), oid))).filter("rank = 1")
     similar = similar.select(nid.alias(new_id), oid.alias(old_id), F.lit("similar").alias("tier"), "score", "rank")
     hits = exact.unionByName(similar)
-    none = new.select(new_id).join(hits.select(new_id).distinct(), new_id, "left_anti")
-    none = none.select(new_id, F.lit(None).cast(dict(old.dtypes)[old_id]).alias(old_id), F.lit("none").alias("tier"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("rank"))
-    return hits.unionByName(none)
+    # every new id once, with its hits or with none
+    out = new.select(new_id).distinct().join(hits, new_id, "left")
+    return out.select(new_id, old_id, F.coalesce("tier", F.lit("none")).alias("tier"), "score", F.coalesce("rank", F.lit(1)).alias("rank"))
 
 
 def _best(batches: Iterator[pa.RecordBatch], threshold: float, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -61,24 +61,33 @@ def _best(batches: Iterator[pa.RecordBatch], threshold: float, names: list[str],
                 yield out()
                 best = {}
             last = block
-            letters = {ch: i for i, ch in enumerate(sorted({ch for n in news for ch in n["k"]}))}
-            counts = np.zeros((len(olds), len(letters)), np.int32)
-            for row, old in zip(counts, olds):
-                for ch, times in Counter(old["k"]).items():
-                    if ch in letters:
-                        row[letters[ch]] = times
+            longest = max(len(new["k"]) for new in news) * (2 / threshold - 1)  # a longer one reaches the threshold with none
+            olds = [old for old in olds if len(old["k"]) <= longest]
+            if not olds:
+                continue
+            codes = {ch: i for i, ch in enumerate(sorted({ch for x in (*news, *olds) for ch in x["k"]}))}
             lengths = np.array([len(old["k"]) for old in olds])
+            text = np.zeros((len(olds), lengths.max()), np.int32)
+            counts = np.zeros((len(olds), len(codes)), np.int32)
+            for row, times, old in zip(text, counts, olds):
+                row[: len(old["k"])] = [codes[ch] for ch in old["k"]]
+                times += np.bincount(row[: len(old["k"])], minlength=len(codes)).astype(np.int32)
             for new in news:
-                mine = Counter(new["k"])
-                shared = np.minimum(counts[:, [letters[ch] for ch in mine]], list(mine.values())).sum(axis=1)
-                bound = 2 * shared / (lengths + len(new["k"]))
-                for i in np.argsort(-bound, kind="stable").tolist():
+                mine = np.array([codes[ch] for ch in new["k"]], np.int32)
+                own = np.bincount(mine, minlength=len(codes))
+                bound = 2 * np.minimum(counts, own).sum(axis=1) / (lengths + len(mine))
+                order = np.argsort(-bound, kind="stable")
+                for some in (order[:FIRST], order[FIRST:]):
                     least, whose = best.get(new["id"], (threshold, None))
-                    if bound[i] < least:
+                    some = some[bound[some] >= least]
+                    if not len(some):
                         break
-                    score, old = indel_ratio(new["k"], olds[i]["k"]), olds[i]["id"]
-                    if score > least or score == least and (whose is None or old < whose):
-                        best[new["id"]] = score, old
+                    scores = 2 * lcs_lengths(mine, text[some, : lengths[some].max()], lengths[some]) / (lengths[some] + len(mine))
+                    top = scores.max()
+                    if top >= least:
+                        old = min(olds[i]["id"] for i in some[scores == top].tolist())
+                        if top > least or whose is None or old < whose:
+                            best[new["id"]] = float(top), old
     if best:
         yield out()
 
@@ -86,18 +95,20 @@ def _best(batches: Iterator[pa.RecordBatch], threshold: float, names: list[str],
 def pool_best(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
     """new (id, key) and old (id, key), under any different names -> new id, old id, score: candidates among which is the old row with the best indel ratio of the whole pool (of equals the smallest id), if it reaches the threshold.
 
-    Every pair is scored or excluded by a bound on its score; empty keys match nothing. Old keys are grouped into chunks
-    and met with blocks of new rows, so neither side is gathered in one place and no row stands for a single pair.
+    The new rows are a query set against the whole pool: every pair is scored or excluded by a bound on its score; empty
+    keys match nothing. Old keys are grouped into chunks and met with blocks of new rows by an equi-join on the block, so
+    neither side is gathered in one place and no row stands for a single pair.
     """
     (nid, nk), (oid, ok) = new.columns, old.columns
     spark = new.sparkSession
     kinds = dict(new.dtypes)[nid], dict(old.dtypes)[oid]
     pool = old.filter(F.col(ok) != "").groupBy(F.col(ok).alias("k")).agg(F.min(oid).alias("id"))
     wanted = new.filter(F.col(nk) != "").select(F.col(nid).alias("id"), F.col(nk).alias("k"))
-    dealt = lambda df, size, by: df.withColumn("at", F.pmod(F.xxhash64(by), F.lit(max(1, -(-df.count() // size))))).groupBy("at").agg(F.collect_list(F.struct("id", "k")).alias("rows"))
-    blocks = dealt(wanted, NEW_BLOCK, "id").select(F.col("at").alias("block"), F.col("rows").alias("news"))
-    chunks = dealt(pool, OLD_CHUNK, "k").select(F.col("at").alias("chunk"), F.col("rows").alias("olds"))
-    met = chunks.crossJoin(blocks).repartition(4 * spark.sparkContext.defaultParallelism, "block", "chunk").sortWithinPartitions("block").select("block", "news", "olds")
+    dealt = lambda df, many, by: df.withColumn("at", F.pmod(F.xxhash64(by), F.lit(many))).groupBy("at").agg(F.collect_list(F.struct("id", "k")).alias("rows"))
+    some = max(1, -(-wanted.count() // NEW_BLOCK))
+    blocks = dealt(wanted, some, "id").select(F.col("at").alias("block"), F.col("rows").alias("news"))
+    chunks = dealt(pool, max(1, -(-pool.count() // OLD_CHUNK)), "k").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(some - 1).cast("long"))).alias("block"), F.col("at").alias("chunk"), F.col("rows").alias("olds"))
+    met = chunks.repartition(4 * spark.sparkContext.defaultParallelism, "block", "chunk").join(blocks, "block").sortWithinPartitions("block").select("block", "news", "olds")
     names, shape = [nid, oid, "score"], spark.createDataFrame([], f"a {kinds[0]}, b {kinds[1]}, c double")
     return met.mapInArrow(partial(_best, threshold=threshold, names=names, schema=_arrow(shape)), f"`{nid}` {kinds[0]}, `{oid}` {kinds[1]}, score double")
 
@@ -202,8 +213,3 @@ def content_store(blobs: DataFrame, stored: DataFrame, content: str) -> DataFram
 
 def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     return rows.join(matches.select(key).filter(F.col(key).isNotNull()), key, "left_anti")
-
-
-def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The hook for outside enrichment (recognition, remote judgement): passes batches on as they are."""
-    yield from rows

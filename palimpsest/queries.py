@@ -133,9 +133,9 @@ JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0 ELSE
     "FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey"
 )
 def similarity_char_jaccard(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
-    a, b = p.select(F.col("p_partkey").alias("new_id"), "p_brand", F.col("p_name").alias("x")), p.select(F.col("p_partkey").alias("old_id"), "p_brand", F.col("p_name").alias("y"))
-    return a.join(b, "p_brand").filter("new_id < old_id").select("new_id", "old_id", F.round(S.char_jaccard(F.col("x"), F.col("y")), 6).alias("score"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", S.char_sets(F.col("p_name")).alias("c"))
+    a, b = p.select(F.col("p_partkey").alias("new_id"), "p_brand", F.col("c").alias("x")), p.select(F.col("p_partkey").alias("old_id"), "p_brand", F.col("c").alias("y"))
+    return a.join(b, "p_brand").filter("new_id < old_id").select("new_id", "old_id", F.round(S.char_sets_jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 
 @query()

@@ -6,8 +6,6 @@ are dated steps, documents and benchmark are old and new texts, part and custome
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +17,7 @@ from .operators import matching as M
 from .operators import progress as P
 from .operators import rollup as R
 from .operators import sequence as Q
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query, table
 
 # Lines of an invented catalogue.
 TITLES = [
@@ -766,3 +747,8 @@ def sequence_last_contents_page(spark, sf_dir):
     t = F.concat(F.when(i % 10 < 1 + F.floor(i / 10) % 5, head).otherwise(""), F.coalesce("text", F.lit("")))
     pages = table(spark, sf_dir, "documents").select(F.floor(i / 10).alias("book"), (i % 10).alias("page"), t.alias("t"), (i % 7 == 3).alias("body")).withColumn("n", T.catalog_line_count(F.col("t")))
     return P.last_contents_page(pages, "book", "page", T.is_contents_page(F.col("t"), F.lit(0), F.col("n")), F.col("body"), 8)
+
+
+from . import match_queries, page_queries  # noqa: E402, F401 - they register theirs
+
+__all__ = ["QUERIES", "SQL"]

@@ -749,6 +749,6 @@ def sequence_last_contents_page(spark, sf_dir):
     return P.last_contents_page(pages, "book", "page", T.is_contents_page(F.col("t"), F.lit(0), F.col("n")), F.col("body"), 8)
 
 
-from . import match_queries, page_queries  # noqa: E402, F401 - they register theirs
+from . import match_queries, page_queries, record_queries  # noqa: E402, F401 - they register theirs
 
 __all__ = ["QUERIES", "SQL"]

@@ -43,7 +43,7 @@ def _udf(form: str):
 
 
 def nfkc(c: Column) -> Column:
-    """No built-in does this. Pure ASCII goes by: the engine need not call it for that."""
+    """No built-in does this."""
     return _udf("NFKC")(c)
 
 

@@ -175,7 +175,7 @@ def drop_overlapping(boxes: DataFrame, group: str, limit: float = 0.38, containe
         return stay
 
     size = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
-    return by_group(boxes.select(group, "id", "x0", "y0", "x1", "y1"), group, [size.desc(), "id"], choose)
+    return by_group(boxes.select(group, "id", "x0", "y0", "x1", "y1"), group, [size.desc(), "id", "x0", "y0", "x1", "y1"], choose)
 
 
 def interval_lookup(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str, end: str, order: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .operators import matching as M
 from .operators import progress as P
 from .operators import rollup as R
 from .operators import sequence as Q
-from .registry import QUERIES, SQL, query, table
+from .registry import QUERIES, SQL, golden, query, table
 
 # Lines of an invented catalogue.
 TITLES = [
@@ -48,7 +48,16 @@ def text_lesson_keys(spark, sf_dir):
     return titles(spark).select("id", T.lesson_reuse_match_key(F.col("lesson"), False).alias("reuse_key"), T.lesson_match_key(F.col("lesson"), False).alias("match_key"))
 
 
-@query()
+# Id, norm, norm_title, unit_key and line of TITLES, worked out by hand.
+NORMS = [
+    (1, "1水的变化", "1水的变化", "水", "第一单元 水 水变化"), (2, "水变化", "水变化", "水", "第一单元 水 水变化"), (3, "课题2空气的成分", "课题2空气的成分", "空气", "第二单元 空气 课题2空气成分"),
+    (4, "单元小结", "单元小结", "复习", "第十二单元 复习 单元小结"), (5, "12.走进科学", "12.走进科学", "绪论", "绪论 走进科学"), (6, "第3课月相", "第3课月相", "大师课一", "大师课 一 月相(yuèxiàng)"),
+    (7, "8.1", "8.1", "第二十三章光", "第二十三章 光 81"), (8, "0", "0", "固液气", "固液气 0"), (9, "", "", "", ""), (10, "前言", "前言", "水", "第一单元 水 前言"), (11, "出版说明", "出版说明", "x", "x 出版说明"),
+    (12, "03、从垃圾说起一资源", "03、从垃圾说起资源", "", "第三单元 从垃圾说起一资源"),
+]
+
+
+@query(golden("id, norm, norm_title, unit_key, line", NORMS))
 def text_norm_unicode(spark, sf_dir):
     t = titles(spark)
     return t.select("id", T.norm_text(F.col("lesson")).alias("norm"), T.norm_lesson_title(F.col("lesson")).alias("norm_title"), T.unit_theme_match_key(F.col("unit")).alias("unit_key"), T.merge_unit_lesson(F.col("unit"), F.col("lesson")).alias("line"))
@@ -119,6 +128,17 @@ def similarity_char_jaccard(spark, sf_dir):
     return a.join(b, "p_brand").filter("new_id < old_id").select("new_id", "old_id", F.round(S.char_sets_jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 
+RATIOS = [("abcd", "abcf", 0.75, 0.857143, 0.75, 0.822857), ("", "a", 0.0, 0.0, 0.0, 0.0), ("水变化", "水变化", 1.0, 1.0, 1.0, 1.0), ("a b", "b a", 0.333333, 0.5, 1.0, 0.88)]
+
+
+@query(golden("a, b, ratio, partial, token_set, raw", RATIOS))
+def similarity_ratios(spark, sf_dir):
+    """Values worked out by hand: common subsequence, best stretch, tokens, and the blend of them."""
+    t = spark.createDataFrame([x[:2] for x in RATIOS], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    return t.select("a", "b", *[F.round(f(a, b), 6).alias(n) for n, f in (("ratio", S.ratio), ("partial", S.partial), ("token_set", S.token_set), ("raw", S.raw))])
+
+
 @query()
 def similarity_raw_titles(spark, sf_dir):
     """Each pair of catalogue titles: ratio, partial and token-set ratios, the raw score, paths and tier."""
@@ -158,7 +178,12 @@ def layout_overlaps(spark, sf_dir):
     return p.select("page", "a_id", "b_id", F.round(S.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(S.containment(F.col("a"), F.col("b")), 6).alias("inside"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE b AS ({BOX_SQL}), e AS (SELECT *, greatest(0.0, x1 - x0) * greatest(0.0, y1 - y0) AS area, row_number() OVER (PARTITION BY page ORDER BY greatest(0.0, x1 - x0) * greatest(0.0, y1 - y0) DESC, id, x0, y0, x1, y1) AS n FROM b), "
+    "g AS (SELECT page, id, x0, y0, x1, y1, n, true AS ok, [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS kept FROM e WHERE n = 1 UNION ALL SELECT page, id, x0, y0, x1, y1, n, ok, CASE WHEN ok THEN list_append(kept, {'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) ELSE kept END FROM ("
+    "SELECT e.page, e.id, e.x0, e.y0, e.x1, e.y1, e.n, g.kept, len(list_filter(list_transform(g.kept, lambda k: {'o': greatest(0.0, least(e.x1, k.x1) - greatest(e.x0, k.x0)) * greatest(0.0, least(e.y1, k.y1) - greatest(e.y0, k.y0)), 'a': greatest(0.0, k.x1 - k.x0) * greatest(0.0, k.y1 - k.y0)}), "
+    "lambda v: (e.area + v.a - v.o > 0 AND v.o / (e.area + v.a - v.o) >= 0.38) OR (e.area > 0 AND v.o / e.area > 0.7))) = 0 AS ok FROM g JOIN e ON e.page = g.page AND e.n = g.n + 1)) SELECT page, id, x0, y0, x1, y1 FROM g WHERE ok"
+)
 def layout_drop_overlapping(spark, sf_dir):
     return M.drop_overlapping(boxes(spark, sf_dir), "page")
 
@@ -363,7 +388,14 @@ def match_edition_titles(spark, sf_dir):
     return M.tiered_match(keyed(new), keyed(old), "k", None, "id", "old_id", None, 0.405, [F.col("o_t")])
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT l_orderkey, l_suppkey, l_partkey, round(l_discount * 10, 2) AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount * 10, 2) DESC, l_suppkey, l_partkey) AS n FROM lineitem WHERE round(l_discount * 10, 2) >= 0.38), "
+    "g AS (SELECT l_orderkey, l_suppkey, l_partkey, score, n, true AS ok, [l_suppkey] AS used_l, [l_partkey] AS used_r FROM e WHERE n = 1 UNION ALL "
+    "SELECT e.l_orderkey, e.l_suppkey, e.l_partkey, e.score, e.n, NOT list_contains(used_l, e.l_suppkey) AND NOT list_contains(used_r, e.l_partkey), "
+    "CASE WHEN NOT list_contains(used_l, e.l_suppkey) AND NOT list_contains(used_r, e.l_partkey) THEN list_append(used_l, e.l_suppkey) ELSE used_l END, "
+    "CASE WHEN NOT list_contains(used_l, e.l_suppkey) AND NOT list_contains(used_r, e.l_partkey) THEN list_append(used_r, e.l_partkey) ELSE used_r END FROM g JOIN e ON e.l_orderkey = g.l_orderkey AND e.n = g.n + 1) "
+    "SELECT l_orderkey, l_suppkey, l_partkey, score FROM g WHERE ok"
+)
 def match_greedy_assignment(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", F.round(F.col("l_discount") * 10, 2).alias("score"))
     return M.greedy_assignment(l, "l_orderkey", "l_suppkey", "l_partkey", "score", 0.38)

@@ -122,7 +122,7 @@ def same_but_quotes(a: Column, b: Column) -> Column:
 
 def quoted(c: Column) -> Column:
     """What stands between Chinese double quotes."""
-    return F.transform(F.regexp_extract_all(_filled(c), F.lit("[“\"]([^”\"]*)[”\"]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(_filled(c), F.lit("[“\"]([^”\"]*)[”\"]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def quote_move(a: Column, b: Column) -> Column:

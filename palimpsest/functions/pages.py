@@ -21,7 +21,7 @@ def _filled(c: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(_filled(text), "[\r\n]"), F.trim)
+    return F.transform(F.split(_filled(text), "[\r\n]"), lambda x: F.trim(x))
 
 
 def is_front_matter(text: Column) -> Column:

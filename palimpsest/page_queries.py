@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .functions import compare as C
 from .functions import pages as G
 from .operators import alignment as A
+from .operators import pictures as I
+from .operators import preview as V
 from .registry import golden, query, table
 
 # Pairs of texts with the verdict and kinds of edits that the rules give, worked out by hand.
@@ -194,3 +196,79 @@ def layout_boxes_inside(spark, sf_dir):
     q = F.col("l_quantity") / 100
     b = lines(spark, sf_dir).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), (F.col("l_discount") * 5).alias("x0"), (F.col("l_tax") * 5).alias("y0"), (F.col("l_discount") * 5 + q).alias("x1"), (F.col("l_tax") * 5 + q).alias("y1"))
     return A.boxes_inside(b, b, "page").select("page", F.col("outer").alias("outer_id"), F.array_join("ids", ",").alias("ids"))
+
+
+BOXES = [(1, 0.52, 0.56, 0.2, 0.6, 1.15), (2, 0.2, 0.28, 0.2, 0.6, 1.272857), (3, 0.36, 0.44, 0.65, 0.9, 0.55), (4, 0.52, 0.56, 0.9, 1.0, 0.05), (5, 0.9, 0.95, 0.2, 0.6, 0.091), (6, 0.9, 0.95, 0.7, 0.9, 0.0)]
+
+
+@query(golden("id, near", [(x[0], x[-1]) for x in BOXES]))
+def pictures_proximity(spark, sf_dir):
+    """Below, above, at the side, below but apart, far below, far away, of a picture from 0.3 to 0.5 and 0.2 to 0.6."""
+    t = spark.createDataFrame([x[:5] for x in BOXES], "id int, y0 double, y1 double, x0 double, x1 double")
+    image = F.struct(F.lit(0.3).alias("y0"), F.lit(0.5).alias("y1"), F.lit(0.2).alias("x0"), F.lit(0.6).alias("x1"))
+    return t.select("id", F.round(I.proximity(image, F.struct("y0", "y1", "x0", "x1")), 6).alias("near"))
+
+
+PICTURES = [(1, 1, 0.3, 0.5, 0.2, 0.6, "豌豆花"), (1, 2, 0.8, 0.9, 0.2, 0.6, None), (2, 1, 0.1, 0.2, 0.1, 0.9, None)]
+TEXTS = [
+    (1, 1, 0.52, 0.54, 0.2, 0.6, "窗台下的豌豆花", "text"), (1, 2, 0.1, 0.2, 0.2, 0.6, "春天来了。小草在田野里发芽。", "text"), (1, 3, 0.91, 0.93, 0.2, 0.6, "图2 豌豆", "caption"), (1, 4, 0.6, 0.62, 0.2, 0.6, "豌豆的花开在窗台下面，很好看。", "text"), (2, 1, 0.9, 0.95, 0.1, 0.9, "远处的一句话。", "text"),
+]
+
+
+def pictures_and_texts(spark):
+    return spark.createDataFrame(PICTURES, "page int, image int, y0 double, y1 double, x0 double, x1 double, label string"), spark.createDataFrame(TEXTS, "page int, id int, y0 double, y1 double, x0 double, x1 double, text string, kind string")
+
+
+@query(golden("page, image, caption, nearest, phrase, theme", [(1, 1, "窗台下的豌豆花", "窗台下的豌豆花", "窗台下的豌豆花", "豌豆花"), (1, 2, "图2 豌豆", "图2 豌豆", "图2豌豆", "图2豌豆"), (2, 1, None, None, None, None)]))
+def pictures_captions(spark, sf_dir):
+    """Captions, nearest texts and phrases of pictures; a picture far from all texts has none."""
+    i, t = pictures_and_texts(spark)
+    named = I.captions(i, t, "page").withColumnRenamed("text", "caption")
+    near = I.nearest_texts(i, t, "page").withColumnRenamed("text", "nearest")
+    phrase = I.matched_phrases(i, t, "page").drop("score")
+    return I.picture_rows(i.select("page", "image"), named, near, ["page", "image"]).join(phrase, ["page", "image"], "left")
+
+
+@query(
+    "WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings), p AS (SELECT x.vec_id, x.a, y.a AS b FROM h x LEFT JOIN h y ON y.vec_id = x.vec_id + 1), "
+    "v AS (SELECT vec_id, unnest(a) AS s, unnest(b) AS t FROM p WHERE b IS NOT NULL) SELECT p.vec_id, coalesce(round((c + 1) / 2, 6), 0) AS score FROM p LEFT JOIN (SELECT vec_id, corr(s, t) AS c FROM v GROUP BY 1) USING (vec_id)"
+)
+def pictures_histograms(spark, sf_dir):
+    """The correlation of histograms, over the vectors of the table and their followers."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(nxt, "vec_id", "left").select("vec_id", F.round(I.histogram_similarity(F.col("embedding"), F.col("b")), 6).alias("score"))
+
+
+FOOTERS = [(1, "正文\n172 第七单元 能源的合理利用与开发", 172), (2, "课题1 我们周围的空气31", 31), (3, "正文\n复习与提高79", 79), (4, "6绪论 化学\n正文很长的一行", 6), (5, "正文\n128", 128), (6, "没有页码的一页", None), (7, None, None), (8, "12\nTLPC0001", 12)]
+
+
+@query(golden("id, printed", [(i, n) for i, _, n in FOOTERS]))
+def preview_footers(spark, sf_dir):
+    return spark.createDataFrame([x[:2] for x in FOOTERS], "id int, t string").select("id", V.footer_page(F.col("t")).alias("printed"))
+
+
+OLD_PAGES = [("b", 1, "封面"), ("b", 2, "目录\n课题1 水 3"), ("b", 3, "课题1 水\n水是生命之源人人都要节约用水"), ("b", 4, "小草在春天里发芽花儿在春天里开放"), ("b", 5, "abcdefghijklmnopqrstuvwxyz")]
+NEW_PAGES = [("b", 1, None, "封面新"), ("b", 2, "k1", "课题1 水\n水是生命之源人人都要节约用水"), ("b", 3, None, "小草在春天里发芽花儿在春天里盛开"), ("b", 4, None, "abcdefghijklmnopqrstuvwxyz\n3"), ("b", 6, None, "日月星辰")]
+
+
+@query(golden("page, old_page, method", [(1, 1, "position"), (2, 3, "toc"), (3, 4, "content"), (4, 4, "footer"), (6, 5, "position")]))
+def preview_pages(spark, sf_dir):
+    """A page with a footer, one with a contents entry, one by content, and two by position, within the book's pages."""
+    new, old = spark.createDataFrame(NEW_PAGES, "book string, page int, key string, text string"), spark.createDataFrame(OLD_PAGES, "book string, page int, text string")
+    toc, offset = spark.createDataFrame([("b", "k1", 2), ("b", "k1", 9)], "book string, key string, page int"), spark.createDataFrame([("b", 1)], "book string, offset int")
+    return V.resolved_pages(new, old, toc, offset, "book").select("page", "old_page", "method")
+
+
+@query(
+    "WITH p AS (SELECT l_suppkey, l_orderkey AS page, l_returnflag <> 'R' AS c, CASE WHEN l_discount < 0.03 THEN '基本一致' WHEN l_discount < 0.08 THEN '局部改写' END AS ch, CASE WHEN l_tax > 0 THEN 1 - l_tax * 5 END AS s FROM lineitem), "
+    "n AS (SELECT l_suppkey, coalesce(ch, '未知') AS ch, count(*) AS n FROM p WHERE c GROUP BY 1, 2), b AS (SELECT l_suppkey, string_agg(ch || '=' || n, ',' ORDER BY ch) AS levels FROM n GROUP BY 1), "
+    "r AS (SELECT l_suppkey, page, row_number() OVER (PARTITION BY l_suppkey ORDER BY s, page) AS k FROM p WHERE c AND coalesce(s, 1.0) < 0.75), f AS (SELECT l_suppkey, string_agg(page, ',' ORDER BY k) AS focus FROM r WHERE k <= 10 GROUP BY 1) "
+    "SELECT l_suppkey, count(*) FILTER (c) AS comparable, count(*) FILTER (NOT c) AS skipped, any_value(levels) AS levels, any_value(focus) AS focus FROM p LEFT JOIN b USING (l_suppkey) LEFT JOIN f USING (l_suppkey) GROUP BY 1"
+)
+def preview_summary(spark, sf_dir):
+    d = F.col("l_discount")
+    p = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("page"), (F.col("l_returnflag") != "R").alias("comparable"), F.when(d < 0.03, "基本一致").when(d < 0.08, "局部改写").alias("change"), F.when(F.col("l_tax") > 0, 1 - F.col("l_tax") * 5).alias("similarity"))
+    s = V.pair_summary(p, "l_suppkey")
+    levels = F.array_join(F.transform(F.map_entries("by_change"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.select("l_suppkey", "comparable", "skipped", levels.alias("levels"), F.array_join("focus", ",").alias("focus"))

@@ -30,7 +30,7 @@ PACKED = "bucket long, batch int, f int, mz long, pk long, copies long, pack bin
 FOUND = "mz long, pk long, f int, t int"
 KEYS = ["k1", "k2"]
 #: Batches that texts are dealt into, by their keys.
-BATCHES = 8
+BATCHES = 4
 
 
 def runs(hashed: RangeHash, begins: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:

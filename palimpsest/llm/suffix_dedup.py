@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import groupby
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +24,56 @@ from .repeats import columns, merged, ranges, repeated
 
 #: Bytes of the word that strings travel by, and bytes of strings in a family, about.
 M, FAMILY = 20, 4 << 20
-#: Bytes of the suffixes that one round of sorting compares.
-DEPTH = 24
+#: Bytes of the suffixes that the rounds of sorting compare: few at first, since few suffixes are tied then; LATER in each further round.
+FIRST, LATER = (8, 4, 4), 96
 
 
-def arrange(data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _numbers(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n (4 or 8) bytes from each place, as numbers in byte order."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, n)[at]).view(f">u{n}").ravel().astype(np.uint64)
+
+
+def arrange(data: np.ndarray, ids: np.ndarray, k: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (by where they begin in data) in the byte order of their first k bytes, and which have all k bytes in common with the one before.
 
-    Rounds of DEPTH bytes: each sorts only what is still tied. Of arrays end to end the first round is a linear merge.
+    Each round sorts only what is still tied, by the next bytes. With `first`, ids are two arrays in order, the first so long: a sort that finds runs merges them, and
+    what is tied in one of them alone is in its place, and stays unmarked.
     """
     ids = ids.copy()
     same = np.ones(len(ids), bool)
     same[:1] = False
-    tied, group = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-    for depth in range(0, k, DEPTH):
-        n = min(DEPTH, k - depth)
-        part = np.lib.stride_tricks.sliding_window_view(data, n)[ids[tied] + depth].view(f"S{n}").ravel()
-        order = np.lexsort((part, group)) if depth else np.argsort(part, kind="stable")
+    tied, group, depth = np.arange(len(ids)), np.zeros(len(ids), np.uint64), 0
+    steps = chain(FIRST, repeat(LATER))
+    kind, side = "stable" if first else None, np.arange(len(ids)) < first
+    while depth < k and len(tied):
+        n = next(steps)
+        n = n if depth + n <= k else LATER
+        if n == 8:
+            part = _numbers(data, ids[tied] + depth, 8)
+            order = np.argsort(part, kind=kind)
+        elif n == 4:
+            part = group << np.uint64(32) | _numbers(data, ids[tied] + depth, 4)
+            order = np.argsort(part, kind=kind)
+        else:
+            n = min(n, k - depth)
+            part = np.lib.stride_tricks.sliding_window_view(data, n)[ids[tied] + depth].view(f"S{n}").ravel()
+            order = np.lexsort((part, group))
         ids[tied], part = ids[tied][order], part[order]
         equal = np.zeros(len(tied), bool)
         equal[1:] = (part[1:] == part[:-1]) & (group[1:] == group[:-1])
-        same[tied] = equal
         going = equal.copy()
         going[:-1] |= equal[1:]
-        tied, group = tied[going], np.cumsum(~equal)[going]
-        if not len(tied):
-            break
+        number = np.cumsum(~equal) - 1
+        if first:
+            side = side[order]
+            ours = np.bincount(number, weights=side)
+            both = ((ours > 0) & (ours < np.bincount(number)))[number]
+            equal &= both
+            going &= both
+            side = side[going]
+        same[tied] = equal
+        tied, group = tied[going], number[going].astype(np.uint64)
+        depth += n
     return ids, same
 
 
@@ -81,7 +105,7 @@ class Family:
         joined = new
         for i in range(len(self.levels) - 1, -1, -1):
             level = self.levels[i]
-            both, same = arrange(self.data, np.concatenate([level, joined if i == len(self.levels) - 1 else new]), self.k)
+            both, same = arrange(self.data, np.concatenate([level, joined if i == len(self.levels) - 1 else new]), self.k, first=len(level))
             self._mark(both, same)
             self.scans += 1
             if i == len(self.levels) - 1 and len(level) < 2 * len(joined):

@@ -109,13 +109,13 @@ def test_families_get_every_batch_of_the_table(spark, monkeypatch):
     rows = []
     for t in range(64):
         text = bytes(r.choice(b"klmnop") for _ in range(150)) + shared
-        rows += [(0, t % 8, 5, (t << 8) + i, 1, text[i : i + 260]) for i in range(0, 500, 61)]
+        rows += [(0, t % repeats.BATCHES, 5, (t << 8) + i, 1, text[i : i + 260]) for i in range(0, 500, 61)]
     rows.sort(key=lambda x: x[:2])
     found = {}
     for mz, pk, f, t in suffix_dedup.by_suffixes(iter(rows), 200):
         for p, a, b in zip(pk.tolist(), f.tolist(), t.tolist()):
             found.setdefault(p, set()).update(range(a, b))
-    assert len(seen) == 8 and len({x for x, _ in seen}) == 1
+    assert len(seen) == repeats.BATCHES and len({x for x, _ in seen}) == 1
     many = Counter(x[5][i : i + 200] for x in rows for i in range(61))
     assert found == {x[3]: s for x in rows if (s := {i for i in range(61) if many[x[5][i : i + 200]] > 1})}
 

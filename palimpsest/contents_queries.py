@@ -104,3 +104,37 @@ TOKENS = [("1", "古诗三首（题西林壁；雪梅、卢沟）", False, "卢
 def contents_title_tokens(spark, sf_dir):
     t = spark.createDataFrame([x[:2] for x in TOKENS], "no string, name string")
     return t.select("no", "name", C.is_recurring(F.col("no"), F.col("name")).alias("recurring"), F.array_join(C.title_tokens(F.col("no"), F.col("name")), ",").alias("tokens"))
+
+
+LINES = ["目录", "第一单元 水……1", "1 水的变化……2", "2 云和雨 5", "单元小结 9", "第二单元 空气", "3 混合与分离   12", "没有页码的行", "课题1 氧气·····20", "第九课  900", None]
+
+
+@query(golden("pos, unit, title, page, match_key", [(3, "第一单元水", "1水的变化", 2, "水的变化"), (4, "第一单元水", "2云和雨", 5, "云和雨"), (5, "第一单元水", "单元小结", 9, "单元小结"), (7, "第二单元空气", "3混合与分离", 12, "混合与分离"), (9, "第二单元空气", "课题1氧气", 20, "氧气")]))
+def contents_entries(spark, sf_dir):
+    """Lines with leaders, a number and a page, a summary, a gap; headings are carried on; the rest is none."""
+    l = spark.createDataFrame([("v", i + 1, x) for i, x in enumerate(LINES)], "volume string, pos int, line string")
+    return C.contents_entries(l, "volume").drop("volume")
+
+
+CATALOGUE_LINES = ["目 录", "第一单元 光与色彩 1", "1光的传播 2 13弹 力 40", "2 光的反射……9", "绪论", "3 走进科学 1", "单元小结 12", "附录 99", "第二单元 声第三单元 力", "4 力的作用"]
+
+
+@query(golden("pos, n, unit, lesson", [(3, 0, "第一单元光与色彩", "1 光的传播"), (3, 1, "第一单元光与色彩", "13 弹力"), (4, 0, "第一单元光与色彩", "2 光的反射"), (6, 0, "绪论", "3 走进科学"), (10, 0, "第三单元力", "4 力的作用")]))
+def contents_catalogue_lines(spark, sf_dir):
+    """Two columns on a line, blanks between Han characters, an introduction, two units on a line."""
+    l = spark.createDataFrame([("v", i + 1, x) for i, x in enumerate(CATALOGUE_LINES)], "volume string, pos int, line string")
+    return C.catalogue_lines(l, "volume").select("pos", "n", "unit", "lesson")
+
+
+SPAN_PAGES = [("v", 1, "封面"), ("v", 2, "目 录\n1 水"), ("v", 3, "2 云\n3 雨"), ("v", 4, "第二单元\n4 风\n5 霜\n6 雪"), ("v", 5, "正文"), ("v", 6, "目录里说过"), ("w", 1, "正文"), ("x", 30, "目录")]
+
+
+@query(golden("volume, first, last", [("v", 2, 4)]))
+def contents_spans(spark, sf_dir):
+    return C.contents_span(spark.createDataFrame(SPAN_PAGES, "volume string, page int, text string"), "volume")
+
+
+@query("SELECT l_orderkey, count(*) < 12 OR count(DISTINCT l_linestatus) < 3 OR max(l_linenumber) < count(*) * 0.6 AS suspect FROM lineitem GROUP BY 1")
+def contents_suspects(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_linestatus").alias("u"), F.count("*").alias("n"), F.max("l_linenumber").alias("m"))
+    return l.select("l_orderkey", C.is_suspect(F.col("u"), F.col("n"), F.col("m")).alias("suspect"))

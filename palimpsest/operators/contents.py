@@ -105,3 +105,100 @@ def title_tokens(no: Column, name: Column) -> Column:
     parts = F.concat(inner, F.array(T.stripped(F.regexp_replace(n, "（[^）]*）", ""))), F.when(T.has_any(F.coalesce(no, F.lit("")), RECURRING), F.array(no)).otherwise(F.array().cast("array<string>")))
     keys = F.transform(parts, lambda x: T.norm_text(x, normal=False))
     return F.array_sort(F.array_distinct(F.filter(keys, lambda x: F.length(x) >= 2)))
+
+
+# Lines ----------------------------------------------------------------------------------------------
+
+# Headings of contents pages as they are read, words of lines that are none of a catalogue, bounds of page numbers.
+HEADINGS = ["目录", "誉目", "眷目", "脊目", "着目", "目次", "日录"]
+NOT_LISTED = [
+    "前言", "编者的话", "版权", "图书在版编目", "定价", "出版社", "附录", "后记", "索引", "词汇表", "义务教育", "教科书", "ISBN", "CIP", "科学探究", "问题情境", "拓展延伸", "拓展迁移", "拓展活动", "课堂练习", "课后练习", "活动手册",
+    "指南车信箱", "安全警示", "思想与方法", "工程实践", "责任编辑",
+]
+LAST_PAGE, TITLE_CHARS, SCANNED, FEW_LESSONS, FEW_UNITS = 400, 48, 22, 12, 3
+NUMERALS = "一二三四五六七八九十百千"
+LEADER = r"\.{2,}|…{2,}|·{3,}"
+
+
+def close_up(text: Column) -> Column:
+    """Han characters set apart by blanks together; other blanks single."""
+    t = F.coalesce(text, F.lit(""))
+    spaced = t.rlike(rf"[{T.HAN}][{T.BLANK}]+[{T.HAN}]")
+    return F.when(spaced, F.trim(F.regexp_replace(F.regexp_replace(t, rf"(?<=[{T.HAN}])[{T.BLANK}]+(?=[{T.HAN}])", ""), r"\s+", " "))).otherwise(t)
+
+
+def clean_line(line: Column) -> Column:
+    """A catalogue line without leaders and page number, its lesson number set apart."""
+    t = F.regexp_replace(close_up(F.trim(F.coalesce(line, F.lit("")))), rf"^(\d{{1,2}})([{T.HAN}])", "$1 $2")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[·●…．._—\-]+", " "), r"\s+", " "), r"\s+\d{1,3}\s*$", ""))
+
+
+def unit_title(line: Column) -> Column:
+    """绪论, 第N单元 with its name, or N单元 with its name; null for other lines."""
+    s = F.trim(F.regexp_replace(F.regexp_replace(close_up(F.trim(F.coalesce(line, F.lit("")))), r"[·●…．._—\-]+", " "), r"\s+\d{1,3}\s*$", ""))
+    named = clean_line(F.regexp_extract(s, rf"(第[{NUMERALS}\d]+单元[^0-9]{{0,{TITLE_CHARS}}})", 1))
+    arabic = F.trim(F.regexp_replace(clean_line(F.regexp_extract(s, rf"^(\d{{1,2}}\s*单元\s*[^\d]{{0,{TITLE_CHARS}}})", 1)), r"^(\d{1,2})\s*单元\s*", "$1单元 "))
+    return F.when(s == "绪论", s).otherwise(F.coalesce(F.nullif(named, F.lit("")), F.nullif(arabic, F.lit(""))))
+
+
+def is_unlisted(line: Column) -> Column:
+    t = F.trim(F.coalesce(line, F.lit("")))
+    return (t == "") | t.isin("目录", "单元小结", "誉目", "眷目", "目次") | T.has_any(t, NOT_LISTED) | t.rlike(r"^\d+$")
+
+
+def title_and_page(line: Column) -> Column:
+    """title (normalised) and page of a contents line with leaders, a lesson number, a gap or a unit's summary; null for other lines."""
+    s = F.trim(F.coalesce(line, F.lit("")))
+
+    def form(pattern: str, least_page: int = 1) -> Column:
+        title, page = T.norm_text(F.regexp_extract(s, pattern, 1), normal=False), F.regexp_extract(s, pattern, 2).try_cast("int")
+        return F.when((F.length(title) >= 3) & page.between(least_page, LAST_PAGE), F.struct(title.alias("title"), page.alias("page")))
+
+    summary = F.regexp_extract(s, r"(\d{1,3})\s*$", 1).try_cast("int")
+    found = F.coalesce(
+        form(rf"^(.+?)\s*(?:{LEADER})\s*(\d{{1,3}})\s*$"), form(rf"^\s*(\d{{1,2}}\s*[{T.HAN}（][^\n]{{1,48}}?)\s+(\d{{1,3}})\s*$"), form(r"^(.{4,48}?)\s{2,}(\d{1,3})\s*$", 3), form(r"^(\d{1,2}\s+.+?)\s+(\d{1,3})\s*$"),
+        F.when(s.contains("单元小结") & summary.between(1, LAST_PAGE), F.struct(F.lit("单元小结").alias("title"), summary.alias("page"))),
+    )
+    return F.when((F.length(s) >= 4) & s.rlike(f"[{T.HAN}]"), found)
+
+
+def contents_entries(lines: DataFrame, volume: str) -> DataFrame:
+    """volume, pos, unit, title, page, match_key out of lines (volume, pos, line): lessons with their page, under the last unit heading before them."""
+    s = F.trim(F.coalesce("line", F.lit("")))
+    head = s.rlike(rf"^第[{NUMERALS}\d]+(单元|章)")
+    parsed = title_and_page(F.col("line"))
+    heading = F.when(head, F.substring(F.coalesce(parsed["title"], T.norm_text(s, normal=False)), 1, TITLE_CHARS))
+    carried = F.last("heading", ignorenulls=True).over(Window.partitionBy(volume).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    out = lines.withColumns({"heading": heading, "parsed": parsed}).withColumn("unit", F.coalesce(carried, F.lit("")))
+    key = T.norm_text(T.strip_lesson_seq(F.col("parsed.title")), normal=False)
+    key = F.when(F.length(key) >= 2, key).when(F.col("parsed.title").contains("小结"), "单元小结")
+    entries = out.filter("heading IS NULL AND parsed IS NOT NULL").withColumn("match_key", key).filter("match_key IS NOT NULL")
+    return entries.select(volume, "pos", "unit", F.col("parsed.title").alias("title"), F.col("parsed.page").alias("page"), "match_key")
+
+
+def catalogue_lines(lines: DataFrame, volume: str) -> DataFrame:
+    """volume, pos, part, unit, lesson: numbered lessons of a catalogue's lines, several to a line too, under the last unit before them."""
+    cut = F.filter(F.split(F.coalesce("line", F.lit("")), rf"(?=第[{NUMERALS}\d]+单元)"), lambda x: F.trim(x) != "")
+    parts = lines.select(volume, "pos", F.posexplode(cut).alias("part", "s")).withColumn("unit_here", unit_title(F.col("s")))
+    w = Window.partitionBy(volume).orderBy("pos", "part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("unit", F.coalesce(F.last("unit_here", ignorenulls=True).over(w), F.lit(""))).filter("unit_here IS NULL")
+    found = F.regexp_extract_all(close_up(F.col("s")), F.lit(rf"\d{{1,2}}\s*[{T.HAN}][^\d]{{1,36}}"), F.lit(0))
+    lessons = parts.select(volume, "pos", "part", "unit", F.posexplode(found).alias("n", "x")).withColumn("lesson", clean_line(F.col("x")))
+    return lessons.filter(~is_unlisted(F.col("lesson")) & ~F.col("lesson").contains("单元小结") & F.length("lesson").between(2, 120)).select(volume, "pos", "part", "n", "unit", "lesson")
+
+
+def contents_span(pages: DataFrame, volume: str) -> DataFrame:
+    """volume, first, last: the run of pages with a contents heading or a unit and three numbered lessons, among the first SCANNED; it ends at a page without lessons."""
+    heading = T.has_any(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""), HEADINGS)
+    numbered = F.filter(F.split(F.coalesce("text", F.lit("")), "[\r\n]"), lambda x: ~F.trim(x).rlike(r"^\d{1,2}[.．、]") & F.trim(x).rlike(rf"^\d{{1,2}}\s*[{T.HAN}]"))
+    p = pages.filter(F.col("page") <= SCANNED).withColumns({"n": F.size(numbered), "heading": heading})
+    strong = F.col("heading") | ((F.col("n") >= 3) & F.col("text").contains("单元"))
+    p = p.withColumn("strong", F.coalesce(strong, F.lit(False)))
+    w = Window.partitionBy(volume).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("begun", F.max("strong").over(w)).withColumn("ended", F.max(F.col("begun") & ~F.col("strong") & (F.col("n") == 0)).over(w))
+    return p.filter("strong AND NOT ended").groupBy(volume).agg(F.min("page").alias("first"), F.max("page").alias("last"))
+
+
+def is_suspect(units: Column, lessons: Column, last_number: Column) -> Column:
+    """A catalogue with few lessons or units, or whose numbers don't reach the count of its lessons."""
+    return (lessons < FEW_LESSONS) | (units < FEW_UNITS) | (last_number < lessons * 0.6)

@@ -19,6 +19,18 @@ COMPARED_TIERS = ["exact", "high_similarity"]
 NUMBER_RADIUS, COARSE_RANKS, FILE_LEAST, FILE_TOP = 2, 4, 0.62, 5
 FILE_NOISE = r"(?i)^(课件|courseware|ppt|slides?|zip|压缩包)[_\-\s]*"
 
+# Textbook files: noise in their names, the code of a volume, grades and terms, editions and their short names, scores.
+BOOK_NOISE = r"(?i)(小学)?科学|新教材|旧教材|教材|课本|扫描版?|学而思|专用|修订|电子版|PDF|教科书|全册|合订"
+BOOK_CODE = r"(?i)([A-Z0-9]+)-(\d{1,2})([SX])-(D?OLD|D?NEW)"
+GRADES = [
+    (r"(\d{1,2})\s*年级\s*(上|下)\s*册?", False), (r"([一二三四五六七八九])\s*年级\s*(上|下)\s*册?", True), (r"(?<!\d)(\d{1,2})\s*[_\-·]?\s*(上|下)(?!\s*册?\s*[年级课])", False), (r"([一二三四五六七八九])\s*(上|下)(?!\s*册?\s*[年级课])", True),
+]
+EDITIONS = {
+    "冀人版": ["冀人", "jiren", "jr"], "湘科版": ["湘科", "xiangke", "xk"], "苏教版": ["苏教", "sujiao", "sj"], "粤教科版": ["粤教", "粤科", "yuejiao", "yj"], "大象社版": ["大象", "daxiang", "dx"], "教科版": ["教科", "jiaoke", "jk"],
+    "人教鄂教版": ["人教鄂教", "鄂教", "renejiao", "re"], "青岛版": ["青岛", "qingdao", "qd"],
+}
+SURE, LIKELY, UNSAID, BOOK_LEAST, BY_TITLE = 0.96, 0.92, 0.68, 0.72, 0.85
+
 
 def _filled(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -198,3 +210,75 @@ def ranked_files(candidates: DataFrame, top: int = FILE_TOP) -> DataFrame:
 def assigned_files(candidates: DataFrame, least: float = FILE_LEAST) -> DataFrame:
     """One lesson per file and one file per lesson in each pool, the best scores first."""
     return greedy_assignment(candidates, "pool", "file", "lesson", "score", least)
+
+
+def _book_stem(file: Column) -> Column:
+    return F.trim(F.regexp_replace(_filled(file), r"(?i)\.pdf$", ""))
+
+
+def _book_clean(stem: Column) -> Column:
+    t = F.regexp_replace(F.translate(stem, "【】[]", "    "), BOOK_NOISE, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[_\-·.]+", " "), r"\s+", " "))
+
+
+def grade_and_term(file: Column) -> Column:
+    """grade and term out of a textbook file's name: of a volume's code, else as they are written; null if neither is there."""
+    stem = _book_stem(file)
+    grade, sem = F.regexp_extract(stem, BOOK_CODE, 2).try_cast("int"), F.upper(F.regexp_extract(stem, BOOK_CODE, 3))
+    found = [F.when(grade.isNotNull(), F.struct(grade.alias("grade"), F.when(sem == "S", "上").otherwise("下").alias("term")))]
+    for pattern, chinese in GRADES:
+        for t in (_book_clean(stem), stem):
+            g, term = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
+            number = T.cn_numeral(g).cast("int") if chinese else g.try_cast("int")
+            found.append(F.when((term != "") & (number > 0), F.struct(number.alias("grade"), term.alias("term"))))
+    return F.coalesce(*found)
+
+
+def edition_evidence(file: Column, label: Column, prefix: Column) -> Column:
+    """How a file's name speaks for an edition: 1 by code or label, less by a short name, 0.55 if it says nothing, 0 if it names another."""
+    stem = _book_stem(file)
+    text = F.concat_ws(" ", stem, _book_clean(stem))
+    code = F.upper(F.regexp_extract(stem, BOOK_CODE, 1))
+    l = F.trim(_filled(label))
+    short = F.replace(F.replace(l, F.lit("版"), F.lit("")), F.lit("社"), F.lit(""))
+    alias, other = F.lit(False), F.lit(False)
+    for name, aliases in EDITIONS.items():
+        alias = alias | ((l == name) & T.has_any(F.lower(text), aliases))
+        other = other | ((l != name) & T.has_any(text, [name.replace("版", "")]))
+    return (
+        F.when(code != "", F.when(code == F.upper(F.trim(_filled(prefix))), 1.0).otherwise(0.0)).when((l != "") & F.contains(text, l), 1.0)
+        .when((F.length(short) >= 2) & F.contains(text, short), 0.95).when(alias, 0.9).when(other, 0.0).otherwise(0.55)
+    )
+
+
+def book_score(file: Column, code: Column, grade: Column, term: Column, label: Column, prefix: Column, title: Column) -> Column:
+    """How well a textbook file's name fits a volume."""
+    stem = _book_stem(file)
+    known = grade_and_term(file)
+    shown = F.coalesce(F.nullif(_filled(title), F.lit("")), F.concat(_filled(label), grade.cast("string"), F.lit("年级"), term, F.lit("册")))
+    a, b = T.norm_text(_book_clean(stem)), T.norm_text(shown)
+    ratio = F.when((a != "") & (b != ""), S.token_set(a, b)).otherwise(0.0)
+    said = edition_evidence(file, label, prefix)
+    by_edition = F.when(said <= 0, 0.0).when(said < 0.8, UNSAID).when(said >= 0.9, SURE).otherwise(LIKELY)
+    fits = (known["grade"] == grade) & (known["term"] == term)
+    by_code = (_filled(code) != "") & F.contains(F.upper(stem), F.upper(_filled(code)))
+    return F.when(by_code, 1.0).when(known.isNull(), F.when(ratio >= BOOK_LEAST, ratio * BY_TITLE).otherwise(0.0)).when(fits, by_edition).otherwise(0.0)
+
+
+def assigned_books(files: DataFrame, volumes: DataFrame) -> DataFrame:
+    """pool, file, code, score: one volume per file and one file per volume in each pool. files: pool, file; volumes: pool, code, grade, term, label, prefix, title."""
+    both = files.join(volumes, "pool").withColumn("score", book_score(*[F.col(c) for c in ("file", "code", "grade", "term", "label", "prefix", "title")]))
+    return greedy_assignment(both.select("pool", "file", "code", "score"), "pool", "file", "code", "score", BOOK_LEAST)
+
+
+def atom_block_score(likeness: Column, has_query: Column, y: Column, old_y: Column, image: Column, label: Column) -> Column:
+    """How well a new atom fits an old block: text and place, by place alone without a text, mostly by place for pictures."""
+    place = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(y - old_y) * 2.5), F.lit(0.0))
+    mixed = F.when(image, F.when(label, 0.40 * likeness + 0.60 * place).otherwise(0.15 * likeness + 0.85 * place)).otherwise(0.72 * likeness + 0.28 * place)
+    return F.when(has_query, mixed).otherwise(0.5 * place)
+
+
+def block_fit(scores: DataFrame, block: str, reference: str, score: str) -> DataFrame:
+    """The mean score of a block's atoms for each old block it refers to, and the best of them."""
+    mean = scores.groupBy(block, reference).agg(F.avg(score).alias("mean"))
+    return mean.groupBy(block).agg(F.max("mean").alias("fit"))

@@ -170,3 +170,35 @@ def records_assigned_files(spark, sf_dir):
 def records_ranked_files(spark, sf_dir):
     c = R.file_candidates(spark.createDataFrame(FILES, "pool string, file string"), spark.createDataFrame(FILE_LESSONS, "pool string, lesson string, course_id string, unit_no int, unit string, no string, name string"))
     return R.ranked_files(c.filter("score >= 0.9")).select("file", "lesson", F.col("rank").cast("int").alias("rank"))
+
+
+BOOKS = [
+    ("XK-3S-NEW 扫描版.pdf", 3, "上", 1.0, 1.0), ("湘科版三年级上册.pdf", 3, "上", 1.0, 0.96), ("科学3上.pdf", 3, "上", 0.55, 0.68), ("苏教版三年级上册.pdf", 3, "上", 0.0, 0.0), ("xiangke 四下.pdf", 4, "下", 0.9, 0.0), ("xk三 上.pdf", 3, "上", 0.9, 0.96),
+    ("说明.pdf", None, None, 0.55, 0.0), ("SJ-3S-NEW.pdf", 3, "上", 0.0, 0.0),
+]
+
+
+@query(golden("file, grade, term, said, score", BOOKS))
+def records_book_scores(spark, sf_dir):
+    """Files against the first volume of grade three of one edition: by code, label, nothing said, another edition, another grade, a short name, none of it, another code."""
+    f = spark.createDataFrame([(x[0],) for x in BOOKS], "file string").withColumn("gt", R.grade_and_term(F.col("file")))
+    label, prefix = F.lit("湘科版"), F.lit("XK")
+    return f.select("file", "gt.grade", "gt.term", R.edition_evidence(F.col("file"), label, prefix).alias("said"), R.book_score(F.col("file"), F.lit("XK-3S-NEW"), F.lit(3), F.lit("上"), label, prefix, F.lit("")).alias("score"))
+
+
+@query(golden("file, code", [("XK-3S-NEW 扫描版.pdf", "XK-3S-NEW"), ("xiangke 四下.pdf", "XK-4X-NEW")]))
+def records_assigned_books(spark, sf_dir):
+    v = [("p", "XK-3S-NEW", 3, "上", "湘科版", "XK", ""), ("p", "XK-4X-NEW", 4, "下", "湘科版", "XK", "")]
+    f = spark.createDataFrame([("p", x[0]) for x in BOOKS], "pool string, file string")
+    return R.assigned_books(f, spark.createDataFrame(v, "pool string, code string, grade int, term string, label string, prefix string, title string")).select("file", "code")
+
+
+@query(
+    "WITH s AS (SELECT l_orderkey, l_suppkey % 3 AS ref, CASE WHEN l_returnflag = 'N' THEN 0.5 * p WHEN l_linestatus = 'O' THEN CASE WHEN l_linenumber % 2 = 0 THEN 0.4 * t + 0.6 * p ELSE 0.15 * t + 0.85 * p END ELSE 0.72 * t + 0.28 * p END AS x "
+    "FROM (SELECT *, l_discount * 10 AS t, CASE WHEN l_quantity > 5 THEN greatest(0, 1 - abs(l_tax * 10 - 0.3) * 2.5) ELSE 0 END AS p FROM lineitem)) SELECT l_orderkey, round(max(m), 6) AS fit FROM (SELECT l_orderkey, ref, avg(x) AS m FROM s GROUP BY 1, 2) GROUP BY 1"
+)
+def records_block_fit(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    score = R.atom_block_score(F.col("l_discount") * 10, F.col("l_returnflag") != "N", F.col("l_tax") * 10, F.when(F.col("l_quantity") > 5, F.lit(0.3)), F.col("l_linestatus") == "O", F.col("l_linenumber") % 2 == 0)
+    s = l.select("l_orderkey", (F.col("l_suppkey") % 3).alias("ref"), score.alias("x"))
+    return R.block_fit(s, "l_orderkey", "ref", "x").select("l_orderkey", F.round("fit", 6).alias("fit"))

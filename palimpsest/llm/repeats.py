@@ -29,6 +29,8 @@ CROWD = 4096
 PACKED = "bucket long, batch int, f int, mz long, pk long, copies long, pack binary, d1 long"
 FOUND = "mz long, pk long, f int, t int"
 KEYS = ["k1", "k2"]
+#: Bytes of strings that a task judges, about, where the session's number of partitions would make them larger.
+TASK = 32 << 20
 #: Batches that texts are dealt into, by their keys.
 BATCHES = 4
 
@@ -227,14 +229,16 @@ def repeated(docs: DataFrame, text: str, k: int, m: int, words: bool, judge: Cal
     some = materialise(occ.join(often, "mz"), "shared-runs", occ, often)
     once = materialise(some.groupBy("k1", "k2", "start", "n", "mz", "pk").agg(F.count("*").alias("copies")), "shared-runs-once", some)
     packs = materialise(once.groupBy("mz", "pk").agg(F.sum("copies").alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at")), "packs")
-    families = max(1, -(-(packs.agg(F.sum(F.col("at.n") + (k - 1)).alias("bytes")).first()[0] or 0) // family)) if family else 0
+    size = (packs.agg(F.sum(F.col("at.n") + (k - 1))).first()[0] or 0) * (8 if words else 1)  # bytes, about
+    families = max(1, -(-size // family)) if family else 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
     crowd = packs.groupBy("mz").agg(F.count("*").alias("different")).filter(F.col("different") > CROWD).select(F.col("mz").alias("crowd"))
     marked = packs.join(crowd, F.col("mz") == F.col("crowd"), "left")
     asked = marked.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("mz", "pk", "at.start", "at.n", "copies", F.col("crowd").isNotNull().alias("crowded"))).alias("asked"))
     # a merge join, so that copies of a text come to _packs one after the other
     sent = long_enough.join(asked.hint("merge"), KEYS).select("k1", "k2", "text", "asked").mapInArrow(partial(_packs, k=k, words=words, families=families), PACKED)
     order = [F.col("f") >= 0, "bucket", "batch", "d1", "mz", "pk", "f"]
-    found = sent.repartition("bucket").sortWithinPartitions(*order).mapInArrow(partial(_judged, judge=judge), FOUND)
+    found = sent.repartition(parts, "bucket").sortWithinPartitions(*order).mapInArrow(partial(_judged, judge=judge), FOUND)
     found = materialise(found, "found", packs)
     spans = once.join(found, ["mz", "pk"]).select("k1", "k2", F.struct((F.col("start") + F.col("f")).alias("s"), (F.col("start") + F.col("t") + F.lit(k - 1)).alias("e")).alias("span"))
     return materialise(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans", once, found)

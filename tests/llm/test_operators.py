@@ -79,6 +79,26 @@ def test_suffix_dedup(docs, texts, monkeypatch, crowd):
     assert {r[0]: tuple(r[1:]) for r in suffix_dedup.suffix_digests(docs).collect()} == want
 
 
+def test_suffix_dedup_keeps_columns_and_bytes(docs, texts):
+    """The DataFrame form: all columns but the text, kept bytes as by brute force, names that clash."""
+    full = suffix_dedup.suffix_dedup(docs.withColumn("kept", F.lit("mine")))
+    assert full.columns == ["doc_id", "lang", "rid", "k1", "n_words", "kept", "n_bytes", "n_removed", "n_spans", "kept_"]
+    units = [(t or "").encode() for t in texts]
+    want = {i: bytes(x for x, y in zip(u, f) if not y) for i, (u, f) in enumerate(zip(units, covered(units, 200)))}
+    got = full.collect()
+    assert {r.doc_id: bytes(r.kept_) for r in got} == want and all(r.kept == "mine" and r.n_bytes - r.n_removed == len(r.kept_) for r in got)
+
+
+def test_clashing_output_names(spark, docs, texts):
+    """Columns that a table has already stay as they are; what is added takes other names."""
+    own = docs.select("doc_id", "text", "lang", *[F.lit("mine").alias(c) for c in ("shard", "slot", "token_ids", "n_tokens", "kept", "failed", "rates", "part", "of")])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out, added in ((sharding.shard_rows(own, 3), ["shard_", "slot_"]), (bpe.bpe_encode(own, path()), ["token_ids_", "n_tokens_", "ids_sha256", "decoded_sha256", "decoded"]), (quality.judge(own, labels), ["measured", "rates_", "base_failed", "failed_", "kept_"])):
+        assert out.columns == [*own.columns, *added]
+        rows = out.collect()
+        assert len(rows) == len(texts) and all(r[c] == "mine" for r in rows for c in own.columns[3:])
+
+
 def test_suffix_family_spans_batches():
     """All pairs of equal strings are found, within and across batches, the arrays are in byte order and grow geometrically."""
     import numpy as np
@@ -394,6 +414,14 @@ def test_chat(spark):
         assert not any(c in inner for c in chat.CONTROL)
 
 
+def test_chat_of_long_texts_and_many_turns(spark):
+    long = "</s>[INST] " * 30_000
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", long if i < 2 else f"turn {i}") for i in range(400)]
+    r = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    back, loss = chat.read_back(r.formatted, [(s.s, s.e) for s in r.loss_spans])
+    assert back == [(a, t) for _, _, a, t in rows] and loss == "".join(t for _, _, a, t in rows if a == "assistant")
+
+
 def test_template_language():
     t = Template("{% set g = 'Hi' ~ ' ' ~ 2 %}{% for x in xs %}{{ loop.index }}{% if loop.last %}!{% elif x.n > 1 and not x.off %}+{% else %}-{% endif %}{% endfor %}{# no #}{{ g }}{{ missing.a.b }}{{ 'a' if 1 == 1 else 'b' }}")
     assert t.render(xs=[{"n": 1}, {"n": 2}, {"n": 0}])[0] == "1-2+3!Hi 2a"

@@ -26,6 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def golden(columns: str, rows: list[tuple]) -> str:
     """SQL for rows of values worked out by hand."""
-    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
     values = ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
     return f"SELECT * FROM (VALUES {values}) AS t({columns})"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise, short_batches, small
 from .components import components
 
-#: Fingerprints in a tile; a larger bucket is cut into tiles and each pair of tiles becomes a bucket of its own.
+#: Fingerprints in a bucket; a larger one is cut by further bits, and what is still larger into tiles, each pair of which becomes a bucket of its own.
 TILE = 16_384
 #: Small buckets are compared in batches of about so many fingerprints, queries so many at a time.
 BATCH, QUERIES = 1024, 256
@@ -140,7 +140,7 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
 
 
 def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket (table, value, tile pair). Small buckets are compared together: what they link is within the radius anyhow."""
+    """Rows come sorted by bucket (table, value, cut, its value, tile pair). Small buckets are compared together: what they link is within the radius anyhow."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -153,8 +153,8 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
     last, rows = None, []
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(6)]
-        keys = np.stack(cols[:4], axis=1)
+        cols = [b.column(i).to_numpy() for i in range(8)]
+        keys = np.stack(cols[:6], axis=1)
         cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
         for s, e in zip(cut, cut[1:]):
             if s == e:
@@ -172,7 +172,7 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
                         held, size = [], 0
                 rows = []
             last = key
-            rows.append((cols[4][s:e].view(np.uint64), cols[5][s:e]))
+            rows.append((cols[6][s:e].view(np.uint64), cols[7][s:e]))
     if rows:
         prints, side = (np.concatenate(x) for x in zip(*rows))
         if side.any() or len(prints) >= BATCH:
@@ -199,32 +199,55 @@ def choices(n: int, radius: int) -> list[list[tuple[int, int]]]:
     return tables
 
 
+def _mask(blocks: list[tuple[int, int]]) -> int:
+    """The blocks' bits as a signed long."""
+    mask = sum(((1 << n) - 1) << s for s, n in blocks)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer(table: list[tuple[int, int]], radius: int) -> list[int]:
+    """Masks that cut a bucket of the table: of the bits that it leaves free, radius + 2 groups, two of which are equal in any two within the radius."""
+    held = {s + i for s, n in table for i in range(n)}
+    free = [i for i in range(64) if i not in held]
+    groups = [[(i, 1) for i in free[len(free) * g // (radius + 2) : len(free) * (g + 1) // (radius + 2)]] for g in range(radius + 2)]
+    return [_mask(a + b) for a, b in combinations(groups, 2)]
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
-    """fp (different longs) -> a, b: links whose components are those of all pairs within the radius."""
+    """fp (different longs) -> a, b: links whose components are those of all pairs within the radius.
+
+    A bucket beyond TILE is cut by further bits; what is still beyond it, into pairs of tiles.
+    """
     tables = choices(prints.count(), radius)
-    def key(blocks):
-        if len(blocks) == 1:
-            (s, n), = blocks
-            return F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1))
-        mask = sum(((1 << n) - 1) << s for s, n in blocks)
-        return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
-
-    dealt = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), key(b).alias("v")) for i, b in enumerate(tables)])).alias("x")).select("x.t", "x.v", "fp")
-    crowd = materialise(dealt.groupBy("t", "v").agg(F.count("*").alias("rows")).filter(F.col("rows") > TILE), "crowded-buckets")
-    crowded = crowd.count()
     zero = F.lit(0).cast("long")
-    sides = [zero.alias("i"), zero.alias("j"), "fp", zero.alias("side")]
-    if crowded:
-        marked = dealt.join(small(crowd, crowded, 32), ["t", "v"], "left")
-        calm = marked.filter("rows is null").select("t", "v", *sides)
-        tiles = F.ceil(F.col("rows") / F.lit(TILE / 2))
-        own = F.pmod(F.xxhash64("fp"), tiles)
-        pairs = F.transform(F.sequence(zero, tiles - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), (F.col("own") > o).cast("long").alias("side")))
-        hot = marked.filter("rows is not null").withColumn("own", own).select("t", "v", "fp", F.explode(pairs).alias("p")).select("t", "v", "p.i", "p.j", "fp", "p.side")
-        dealt = calm.unionByName(hot)
-    else:
-        dealt = dealt.select("t", "v", *sides)
-    return dealt.repartition("t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j").mapInArrow(partial(_forest, radius=radius), "a long, b long")
+    keys = F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("v")) for i, b in enumerate(tables)])
+    dealt = prints.select("fp", F.explode(keys).alias("x")).select("x.t", "x.v", zero.alias("s"), zero.alias("w"), "fp")
+
+    def split(rows: DataFrame, by: list[str], name: str) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of buckets up to TILE, and those of larger ones with their `rows`."""
+        crowd = materialise(rows.groupBy(*by).agg(F.count("*").alias("rows")).filter(F.col("rows") > TILE), name)
+        crowded = crowd.count()
+        if not crowded:
+            return rows, None
+        marked = rows.join(small(crowd, crowded, 48), by, "left")
+        return marked.filter("rows is null").drop("rows"), marked.filter("rows is not null")
+
+    calm, hot = split(dealt, ["t", "v"], "crowded-buckets")
+    whole = ["t", "v", "s", "w", zero.alias("i"), zero.alias("j"), "fp", zero.alias("side")]
+    out = calm.select(*whole)
+    if hot is not None:
+        cuts = F.array(*[F.array(*[F.lit(m).cast("long") for m in finer(t, radius)]) for t in tables])
+        cut = hot.select("t", "v", "fp", F.posexplode(F.get(cuts, F.col("t").cast("int"))).alias("s", "mask"))
+        cut = cut.select("t", "v", (F.col("s") + 1).cast("long").alias("s"), F.col("fp").bitwiseAND(F.col("mask")).alias("w"), "fp")
+        calm, hot = split(cut, ["t", "v", "s", "w"], "crowded-cuts")
+        out = out.unionByName(calm.select(*whole))
+        if hot is not None:
+            tiles = F.ceil(F.col("rows") / F.lit(TILE / 2))
+            own = F.pmod(F.xxhash64("fp"), tiles)
+            pairs = F.transform(F.sequence(zero, tiles - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), (F.col("own") > o).cast("long").alias("side")))
+            out = out.unionByName(hot.withColumn("own", own).select("t", "v", "s", "w", "fp", F.explode(pairs).alias("p")).select("t", "v", "s", "w", "p.i", "p.j", "fp", "p.side"))
+    key = ["t", "v", "s", "w", "i", "j"]
+    return out.repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_forest, radius=radius), "a long, b long")
 
 
 def _labelled(marked: DataFrame, radius: int) -> DataFrame:

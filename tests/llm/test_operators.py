@@ -227,6 +227,31 @@ def test_near_abandons_blocks():
     assert np.bitwise_count(hits).sum() == 256  # each finds itself
 
 
+@pytest.mark.parametrize("tile", [3, 20])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, tile):
+    """Many fingerprints that share most bits: buckets are cut by further bits and by tiles; components as by brute force."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(150)} | {r.getrandbits(64) for _ in range(30)}
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 4:
+                x, y = find(a), find(b)
+                root[max(x, y, key=signed.get)] = min(x, y, key=signed.get)
+    df = spark.createDataFrame([(p,) for p in signed.values()], "fp long")
+    got = {x.node: x.root for x in components(simhash.links(df, 4)).collect()}
+    assert got == {signed[p]: signed[find(p)] for p in prints if find(p) != p}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 100)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import lesson_lines as L
 from .operators import contents as C
 from .registry import golden, query, table
 
@@ -138,3 +139,59 @@ def contents_spans(spark, sf_dir):
 def contents_suspects(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_linestatus").alias("u"), F.count("*").alias("n"), F.max("l_linenumber").alias("m"))
     return l.select("l_orderkey", C.is_suspect(F.col("u"), F.col("n"), F.col("m")).alias("suspect"))
+
+
+LESSON_LINES = [
+    ("课题1  水 ……12", "课题1 水", True, False, False, "1/N|1"), ("整 理 与 提 升 30", "整理与提升", True, False, False, "1/S|整理与提升"), ("实验活动2 制氧", "实验活动2 制氧", True, False, False, "1/E|2"), ("12.1 分式", "12.1 分式", True, False, False, "1/M|12|1"),
+    ("下列说法正确的是（ ）", "下列说法正确的是（ ）", False, True, False, "1/R|下列说法正确的是（ ）"), ("语文园地", "语文园地", True, False, False, "1/Y|语文园地|"), ("例文 爬天都峰", "例文 爬天都峰", False, False, True, "1/R|例文 爬天都峰"), ("3* 现代诗二首", "3* 现代诗二首", True, False, False, "1/N|3"),
+    ("读一读 圆", "读一读 圆", True, False, False, "1/MB|读一读|圆"), (None, "", False, False, False, ""), ("这是什么？", "这是什么？", False, True, False, "1/R|这是什么？"), ("写字表", "写字表", True, False, False, "1/R|写字表"),
+]
+
+
+@query(golden("line, normal, lesson, exercise, subtitle, key", LESSON_LINES))
+def text_lesson_lines(spark, sf_dir):
+    """Normal form, kind and semantic key of lines in a first unit."""
+    t = spark.createDataFrame([(x[0],) for x in LESSON_LINES], "line string")
+    c = F.col("line")
+    return t.select("line", L.normal_line(c).alias("normal"), L.is_lesson_line(c).alias("lesson"), L.is_exercise(c).alias("exercise"), L.is_subtitle(c).alias("subtitle"), L.semantic_key(F.lit("第一单元 x"), c).alias("key"))
+
+
+GLUED = [("1 观潮2 走月亮3 现代诗二首口语交际：我们与环境", "1 观潮|2 走月亮|3 现代诗二首|口语交际：我们与环境"), ("实验活动1 氧气的实验室制取与性质研究", "实验活动1 氧气的实验室制取与性质研究"), ("1 观潮", "1 观潮"), ("16.5 勾股定理在生活中的应用举隅文", "16.5 勾股定理在生活中的应用举隅文"), ("", "")]
+
+
+@query(golden("line, parts", GLUED))
+def text_glued_lines(spark, sf_dir):
+    return spark.createDataFrame([(x[0],) for x in GLUED], "line string").select("line", F.array_join(L.split_glued(F.col("line")), "|").alias("parts"))
+
+
+PLACES = [("单元小结", 3, 9999), ("复习题", 2, 80), ("实验活动3", 2, 33), ("课题2 水", 0, 2), ("12.3 圆", 0, 1203), ("7 光", 0, 7), ("附录", 2, 0), ("微项目1", 2, 61), ("数学活动", 2, 65)]
+
+
+@query(golden("line, kind, n", PLACES))
+def text_lesson_places(spark, sf_dir):
+    return spark.createDataFrame([(x[0],) for x in PLACES], "line string").withColumn("p", L.place_in_unit(F.col("line"))).select("line", "p.kind", "p.n")
+
+
+@query(golden("volume, place, unit, lesson", [("v", 1, "第一单元 水的世界", "课题1 水"), ("v", 2, "第一单元", "复习与提高"), ("v", 3, "第二单元", "课题1 火"), ("v", 4, "第一单元", "实验活动1")]))
+def catalogue_merged(spark, sf_dir):
+    """The fuller unit name, the entry before the bare number, the second catalogue's row at the end, an empty row dropped."""
+    a = [("v", 1, "第一单元", "1 水"), ("v", 2, "第一单元", "复习与提高 9"), ("v", 3, "第二单元", "课题1 火"), ("v", 4, "第一单元", "")]
+    b = [("v", 1, "第一单元 水的世界", "课题1 水"), ("v", 2, "第一单元", "实验活动1"), ("v", 3, "第一单元", "复习与提高")]
+    schema = "volume string, pos int, unit string, lesson string"
+    out = C.merged(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "volume")
+    return out.select("volume", "place", "unit", F.regexp_replace("lesson", " 9$", "").alias("lesson"))
+
+
+@query(golden("pos, part, lesson, page", [(1, 0, "1 观潮", None), (1, 1, "2 走月亮", None), (1, 2, "3 现代诗二首", None), (1, 3, "口语交际：我们与环境", None), (2, 0, "4 蝴蝶", 9)]))
+def catalogue_expanded(spark, sf_dir):
+    c = spark.createDataFrame([("v", 1, "u", GLUED[0][0], 3), ("v", 2, "u", "4 蝴蝶", 9)], "volume string, pos int, unit string, lesson string, page int")
+    return C.expanded(c).select("pos", "part", "lesson", "page")
+
+
+LISTED = [("1 水", "科学", True, False), ("版权", "科学", False, None), ("第一单元小结 单元小结", "科学", False, None), ("随便一行", "科学", True, False), ("随便一行", "语文", True, True), ("1 水", "语文", True, False), ("下列正确的是", "语文", False, None), ("这一行有标点，不是副标题。", "语文", False, None)]
+
+
+@query(golden("id, subtitle", [(i, s) for i, (_, _, kept, s) in enumerate(LISTED) if kept]))
+def catalogue_listed(spark, sf_dir):
+    c = spark.createDataFrame([(i, x[0], x[1]) for i, x in enumerate(LISTED)], "id int, lesson string, subject string")
+    return C.listed(c, F.col("subject")).select("id", "subtitle")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lesson_lines as L
 from ..functions import text as T
 
 # Columns that recur in every unit, methods that mean no match, the place of units without a number.
@@ -202,3 +203,34 @@ def contents_span(pages: DataFrame, volume: str) -> DataFrame:
 def is_suspect(units: Column, lessons: Column, last_number: Column) -> Column:
     """A catalogue with few lessons or units, or whose numbers don't reach the count of its lessons."""
     return (lessons < FEW_LESSONS) | (units < FEW_UNITS) | (last_number < lessons * 0.6)
+
+
+# Rows -----------------------------------------------------------------------------------------------
+
+
+def expanded(catalog: DataFrame) -> DataFrame:
+    """Rows of catalog (volume, pos, unit, lesson, page), those with several lessons in a line as several rows without a page; part: the place in the line."""
+    parts = L.split_glued(F.col("lesson"))
+    out = catalog.withColumn("parts", F.when(F.size(parts) > 1, parts).otherwise(F.array(F.coalesce("lesson", F.lit(""))))).withColumn("glued", F.size("parts") > 1)
+    out = out.select(*[c for c in catalog.columns if c not in ("lesson", "page")], "page", "glued", F.posexplode("parts").alias("part", "lesson"))
+    return out.withColumn("page", F.when(~F.col("glued"), F.col("page"))).drop("glued")
+
+
+def listed(catalog: DataFrame, subject: Column) -> DataFrame:
+    """Rows that are entries of a catalogue, with `subtitle`: by subject as they are seen (without noise and unit summaries), or lessons and subtitles only."""
+    x = F.col("lesson")
+    strict = T.catalog_filter_mode(subject) == "yuwen"
+    summary = T.is_unit_summary_label(x)
+    lesson, under = L.is_lesson_line(x), L.is_subtitle(x)
+    keep = F.when(strict, ~summary & ~L.is_exercise(x) & (lesson | under)).otherwise(~T.is_catalog_noise_line(x) & ~summary)
+    return catalog.filter(keep).withColumn("subtitle", strict & ~lesson)
+
+
+def merged(primary: DataFrame, more: DataFrame, volume: str) -> DataFrame:
+    """One row per lesson (semantic key) of catalogues (volume, pos, unit, lesson), the second filling up the first: at the place where it first stood, with the longest unit name and the row most worth showing."""
+    both = primary.withColumn("side", F.lit(0)).unionByName(more.withColumn("side", F.lit(1))).withColumn("key", L.semantic_key(F.col("unit"), F.col("lesson"))).filter("key <> ''")
+    at = F.struct("side", "pos")
+    best = F.max_by("lesson", F.struct(L.row_worth(F.col("unit"), F.col("lesson")).alias("w"), (-F.col("side")).alias("s"), (-F.col("pos")).alias("p")))
+    unit = F.max_by("unit", F.struct(F.length(F.coalesce("unit", F.lit(""))).alias("w"), (-F.col("side")).alias("s"), (-F.col("pos")).alias("p")))
+    out = both.groupBy(volume, "key").agg(F.min(at).alias("at"), unit.alias("unit"), best.alias("lesson"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(volume).orderBy("at"))).select(volume, "place", "unit", "lesson", "key")

@@ -161,3 +161,46 @@ def boxes_inside(boxes: DataFrame, outer: DataFrame, page: str, least: int = 2)
     share = F.when(S.area(y) > 0, S.area(x) / S.area(y)).otherwise(F.lit(9.0))
     hit = b.join(o, page).filter(centre & (share <= 0.92) & ((S.containment(x, y) >= 0.55) | (share <= 0.45)))
     return hit.groupBy(page, "outer").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") >= least)
+
+
+# Boxes before they are aligned ----------------------------------------------------------------------
+
+
+def list_items(text: Column) -> Column:
+    """A text's list items, each with its bullet in front; a text with fewer than two bullets is one item, an empty one none."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    parts = F.filter(F.transform(F.split(t, f"(?=[{C.BULLETS}])"), lambda x: F.trim(x)), lambda x: x != "")
+    bullets = F.length(t) - F.length(F.translate(t, C.BULLETS, ""))
+    return F.when(t == "", F.array().cast("array<string>")).when((bullets >= 2) & (F.size(parts) >= 2), parts).otherwise(F.array(t))
+
+
+def band(y0: Column, y1: Column, index: Column, total: Column, weights: Column) -> tuple[Column, Column]:
+    """The index-th (from 0, held within bounds) of `total` bands of a box, by weights if there are as many and they weigh something, else of equal height."""
+    n = F.greatest(F.lit(1), total)
+    i = F.greatest(F.lit(0), F.least(index, n - 1))
+    last = F.when(y1 > y0, y1).otherwise(y0 + 0.05 * n)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    whole = add(weights.cast("array<double>"))
+    weighed = F.coalesce((F.size(weights) == n) & (whole > 0), F.lit(False))
+    share = lambda k: F.when(weighed, add(F.slice(weights.cast("array<double>"), F.lit(1), k)) / whole).otherwise(k / n)
+    return y0 + (last - y0) * share(i), y0 + (last - y0) * share(i + 1)
+
+
+def exploded_lists(boxes: DataFrame) -> DataFrame:
+    """Boxes (id, y0, y1, text and more) with a box for each list item: id#pN, its band of the box, and the box it came from."""
+    parts = boxes.withColumn("parts", F.when(F.size(list_items(F.col("text"))) > 1, list_items(F.col("text"))).otherwise(F.array("text"))).withColumn("n", F.size("parts"))
+    out = parts.select(*[c for c in boxes.columns if c != "text"], "n", F.posexplode("parts").alias("at", "text"))
+    top, bottom = band(F.col("y0"), F.col("y1"), F.col("at"), F.col("n"), F.lit(None).cast("array<double>"))
+    split = F.col("n") > 1
+    return out.select(
+        *[c for c in boxes.columns if c not in ("id", "y0", "y1", "text")], F.when(split, F.concat("id", F.lit("#p"), (F.col("at") + 1).cast("string"))).otherwise(F.col("id")).alias("id"),
+        F.when(split, top).otherwise(F.col("y0")).alias("y0"), F.when(split, bottom).otherwise(F.col("y1")).alias("y1"), "text", F.when(split, F.col("id")).alias("split_from"),
+    )
+
+
+def reading_text(boxes: DataFrame, page: str) -> DataFrame:
+    """page, text: the body's boxes (y0, y1, x0, x1, text) from top to bottom, then left to right, a line each; captions and labels are left out."""
+    box = F.struct("y0", "y1", "x0", "x1", "text")
+    body = boxes.withColumn("box", box).filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (layout_role(F.col("box")) == "body"))
+    lines = F.sort_array(F.collect_list(F.struct(middle(F.col("box")).alias("y"), F.col("box.x0").alias("x"), F.trim("text").alias("t"))))
+    return boxes.select(page).distinct().join(body.groupBy(page).agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("text")), page, "left").withColumn("text", F.coalesce("text", F.lit("")))

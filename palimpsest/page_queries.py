@@ -272,3 +272,26 @@ def preview_summary(spark, sf_dir):
     s = V.pair_summary(p, "l_suppkey")
     levels = F.array_join(F.transform(F.map_entries("by_change"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return s.select("l_suppkey", "comparable", "skipped", levels.alias("levels"), F.array_join("focus", ",").alias("focus"))
+
+
+@query(golden("id, y0, y1, text, split_from", [("a#p1", 0.1, 0.2, "◇读一读", "a"), ("a#p2", 0.2, 0.3, "◆写一写", "a"), ("b", 0.5, 0.6, "◇一条", None), ("c", 0.7, 0.8, None, None)]))
+def layout_exploded_lists(spark, sf_dir):
+    b = spark.createDataFrame([("a", 0.1, 0.3, "◇读一读 ◆写一写"), ("b", 0.5, 0.6, "◇一条"), ("c", 0.7, 0.8, None)], "id string, y0 double, y1 double, text string")
+    return A.exploded_lists(b).select("id", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"), "text", "split_from")
+
+
+BANDS = [(1, 0.2, 0.6, 1, 4, None, 0.3, 0.4), (2, 0.2, 0.6, 1, 2, [1.0, 3.0], 0.3, 0.6), (3, 0.2, 0.6, 9, 2, [1.0], 0.4, 0.6), (4, 0.2, 0.2, 0, 2, None, 0.2, 0.25), (5, 0.0, 1.0, 0, 0, None, 0.0, 1.0)]
+
+
+@query(golden("id, top, bottom", [(x[0], x[-2], x[-1]) for x in BANDS]))
+def layout_bands(spark, sf_dir):
+    """Equal bands, weighed ones, an index beyond the last and weights that don't fit, a box without height, no bands at all."""
+    b = spark.createDataFrame([x[:6] for x in BANDS], "id int, y0 double, y1 double, i int, n int, w array<double>")
+    top, bottom = A.band(*[F.col(c) for c in ("y0", "y1", "i", "n", "w")])
+    return b.select("id", F.round(top, 6).alias("top"), F.round(bottom, 6).alias("bottom"))
+
+
+@query(golden("page, text", [(1, "第一行左\n第一行右\n第二行"), (2, "")]))
+def layout_reading_text(spark, sf_dir):
+    b = [(1, 0.5, 0.6, 0.1, 0.9, "第二行"), (1, 0.1, 0.2, 0.4, 0.9, "第一行右"), (1, 0.1, 0.2, 0.1, 0.4, " 第一行左 "), (1, 0.3, 0.4, 0.1, 0.9, "图1 水"), (1, 0.7, 0.8, 0.1, 0.9, None), (2, 0.1, 0.2, 0.5, 0.6, "氧气21%")]
+    return A.reading_text(spark.createDataFrame(b, "page int, y0 double, y1 double, x0 double, x1 double, text string"), "page")

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
+from .centroids import kmeans
 from .chat import conversation_digests
 from .common import table
 from .decontam import contamination
 from .license_scan import scan
 from .quality import MEASURES, judge
+from .repair import damage, repair_report
 from .sharding import shards_of
 from .simhash import simhash_components
 from .sql import ORACLE_SQL
 from .substring_dedup import substring_digests
 from .suffix_dedup import suffix_digests
+from .top_k import top_k
 from .warc import read_pages, write_archive
 
 
@@ -81,7 +84,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("measured")[m].alias(m) for m in MEASURES], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_chat_formatting, op4_decontamination, op5_warc, op6_bpe, op7_license_scan, op8_substring_dedup, op9_simhash, op10_quality_rules)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components into 8 clusters after 10 rounds. vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    return kmeans(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector's 10 best inner products among all others. query_id, rank, vec_id, score."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged and repaired. conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damage(conversations), conversations)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_chat_formatting, op4_decontamination, op5_warc, op6_bpe, op7_license_scan, op8_substring_dedup, op9_simhash, op10_quality_rules, op11_centroid_clustering, op12_top_k, op13_conversation_repair)}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,10 +81,10 @@ def read_pages(archive: Archive) -> DataFrame:
     ends the job.
     """
     text = F.decode("record", "ISO-8859-1")
-    cut = read_records(archive).withColumn("end", F.locate(CRLF * 2, text)).withColumn("head", F.substring(text, F.lit(1), F.col("end") + 1))
-    value = lambda k: F.regexp_extract("head", rf"(?m)^{k}: ([^\r\n]*)", 1)
-    field = lambda k: F.when(F.col("head").rlike(rf"(?m)^{k}: "), value(k))
-    block = F.substring(F.col("record"), F.col("end") + 4, value("Content-Length").cast("int"))
+    cut = read_records(archive).withColumn("end", F.locate(CRLF * 2, text)).withColumn("lines", F.split(F.substring(text, F.lit(1), F.col("end") - 1), CRLF))
+    # only CR LF ends a header line, whatever else a url may hold; a field is read from the line that begins with its name
+    field = lambda k: F.get(F.transform(F.filter("lines", lambda x: x.startswith(f"{k}: ")), lambda x: F.substr(x, F.lit(len(k) + 3))), F.lit(0))
+    block = F.substring(F.col("record"), F.col("end") + 4, field("Content-Length").cast("int"))
     plain = F.decode(F.encode(field("WARC-Target-URI"), "ISO-8859-1"), "UTF-8")
     parsed = cut.select(
         "page_id", field("WARC-Type").alias("record_type"), F.trim(F.translate(field("WARC-Record-ID"), "<>", "")).alias("its_id"), F.translate(field("WARC-Refers-To"), "<>", "").alias("refers"),

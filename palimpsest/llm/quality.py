@@ -1,16 +1,17 @@
 """Quality rules with risk-controlled thresholds, all in DataFrame functions.
 
-A rule rejects a text whose measure exceeds a cutoff; a stratum's rule set has one cutoff for each measure. The different
-labelled texts are dealt by a hash: one half gives each stratum's candidate rule sets (quantiles of its good texts, some
-with a margin), the other half, the holdout, tests them. A rule set is safe if so few good texts of the holdout break any
-of its rules that, were the true rate of false rejections above `risk`, so few would have a chance of at most `delta` /
-number of tests (the exact binomial bound of Clopper and Pearson, corrected after Bonferroni over strata and candidates).
-Of the safe rule sets of a stratum the tightest is taken. A text counts once, however many copies of it are labelled.
+A rule rejects a text whose measure exceeds a cutoff; a stratum's rule set has one cutoff for each measure. The texts
+without a label give each stratum's candidate rule sets, quantiles from loose to tight; the labelled good ones, all of
+them the holdout, test them in that order. A rule set is safe if so few good texts break any of its rules that, were the
+true rate of false rejections above `risk`, so few would have a chance of at most `delta` / number of strata (the exact
+binomial bound of Clopper and Pearson, corrected over strata after Bonferroni). Testing in an order that was fixed before,
+up to the first set that isn't safe, needs no correction over candidates. Of the safe sets the tightest is taken. A text counts
+once in the test, however many copies of it are labelled, and no text is on both sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise, plain, small
@@ -19,8 +20,8 @@ SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Measures with a learnt cutoff; a text is rejected if one exceeds it.
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "capital_rate", "mark_rate")
-#: Candidate rule sets from loose to tight: the share of the good calibration texts up to each cutoff, and the cutoffs' margin.
-CANDIDATES = ((1.0, 2.0), (1.0, 1.5), (1.0, 1.25), (1.0, 1.0), (0.999, 1.0), (0.998, 1.0), (0.995, 1.0), (0.99, 1.0))
+#: Candidate rule sets from loose to tight: the share of the stratum's unlabelled texts up to each cutoff.
+CANDIDATES = (1.0, 0.999, 0.998, 0.995, 0.99, 0.985, 0.98, 0.97, 0.96, 0.95, 0.93, 0.9, 0.85, 0.8)
 
 
 def words_of(text: Column) -> Column:
@@ -102,36 +103,38 @@ def at_most(k: Column, n: Column, p: float) -> Column:
         lambda acc, i: F.struct((acc["log"] + F.log((n - i).cast("double") / (i + 1)) + odds).alias("log"), (acc["sum"] + F.exp(acc["log"])).alias("sum")),
         lambda acc: acc["sum"],
     )
-    return F.when(n == 0, F.lit(1.0)).when(k >= n, F.lit(1.0)).otherwise(total)
+    # beyond the mean the chance is near a half or more, and no test asks how near
+    return F.when((n == 0) | (k >= n) | (k > p * n + 1), F.lit(1.0)).otherwise(total)
 
 
-def safe_cutoffs(scored: DataFrame, risk: float, delta: float) -> DataFrame:
-    """scored: stratum, good (boolean), k1, rates -> stratum, candidate, cutoffs (by measure), n, rejected, chance: the tightest safe rule set of each stratum that has one.
+def safe_cutoffs(scored: DataFrame, drawn: DataFrame, risk: float, delta: float) -> DataFrame:
+    """scored (labelled rows): stratum, good (boolean), k1, rates; drawn (rows of texts without a label): stratum, rates ->
+    stratum, candidate, cutoffs (by measure), n, rejected, chance: the tightest safe rule set of each stratum that has one.
 
     Quantiles are merged sketches (exact below 10,000 texts; the test doesn't depend on them), counts one aggregation with
     map-side combining; nothing is gathered and no row is collected.
     """
     texts = scored.groupBy("stratum", "k1").agg(F.min("good").alias("low"), F.first("rates").alias("rates"))
-    texts = materialise(texts.filter("low").select("stratum", (F.pmod(F.shiftright("k1", 7), F.lit(2)) == 0).alias("held"), "rates"), "good-texts")
-    levels = sorted({level for level, _ in CANDIDATES})
-    grid = texts.filter("not held").groupBy("stratum").agg(*[F.percentile_approx(F.col("rates")[r], F.lit(levels), F.lit(10_000)).alias(r) for r in RATES])
-    sets = [F.struct(F.lit(i).alias("candidate"), F.struct(*[(F.col(r)[levels.index(level)] * margin).alias(r) for r in RATES]).alias("cutoffs")) for i, (level, margin) in enumerate(CANDIDATES)]
+    held = texts.filter("low").select("stratum", "rates")
+    grid = drawn.groupBy("stratum").agg(*[F.percentile_approx(F.col("rates")[r], F.lit(list(CANDIDATES)), F.lit(10_000)).alias(r) for r in RATES])
+    sets = [F.struct(F.lit(i).alias("candidate"), F.struct(*[F.col(r)[i].alias(r) for r in RATES]).alias("cutoffs")) for i in range(len(CANDIDATES))]
     grid = materialise(grid.select("stratum", F.array(*sets).alias("sets")), "candidates")
     strata = grid.count()
-    tests = max(1, strata * len(CANDIDATES))
-    held = texts.filter("held").join(small(grid, strata, 1024), "stratum").select("stratum", "rates", F.explode("sets").alias("x")).select("stratum", "rates", "x.*")
+    held = held.join(small(grid, strata, 2048), "stratum").select("stratum", "rates", F.explode("sets").alias("x")).select("stratum", "rates", "x.*")
     breaks = F.greatest(*[(F.col("rates")[r] > F.col("cutoffs")[r]).cast("long") for r in RATES])
     counts = held.groupBy("stratum", "candidate").agg(F.first("cutoffs").alias("cutoffs"), F.count("*").alias("n"), F.sum(breaks).alias("rejected"))
-    tested = counts.withColumn("chance", at_most(F.col("rejected"), F.col("n"), risk)).filter(F.col("chance") <= F.lit(delta / tests))
-    return tested.groupBy("stratum").agg(F.max(F.struct("candidate", "cutoffs", "n", "rejected", "chance")).alias("x")).select("stratum", "x.*")
+    tested = counts.withColumn("chance", at_most(F.col("rejected"), F.col("n"), risk))
+    failed = F.coalesce(F.min(F.when(F.col("chance") > F.lit(delta / max(1, strata)), F.col("candidate"))).over(Window.partitionBy("stratum")), F.lit(len(CANDIDATES)))
+    safe = tested.withColumn("failed", failed).filter("candidate < failed")  # the candidates of a stratum are few
+    return safe.groupBy("stratum").agg(F.max(F.struct("candidate", "cutoffs", "n", "rejected", "chance")).alias("x")).select("stratum", "x.*")
 
 
 def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", id_col: str = "doc_id", risk: float = 0.02, delta: float = 0.05, drop_text: bool = False) -> DataFrame:
     """df with, under names that it doesn't have, `measured`, `rates`, `base_failed`, `failed` (names of the measures beyond their cutoff) and `kept`.
 
     labels: id_col and quality (1: good). With chance 1 - delta at least, in every stratum the rules together reject at
-    most a share `risk` of the different good texts that pass the base. A stratum with too few labelled texts to show that
-    has no rules, so its texts are kept if they pass the base. Labels that contradict each other (of a row or of copies of
+    most a share `risk` of the different good texts that pass the base. A stratum with too few labelled good texts to show that,
+    or with no other texts to take cutoffs from, has no rules, so its texts are kept if they pass the base. Labels that contradict each other (of a row or of copies of
     a text) or are null don't count; null strata form one stratum; null texts have no words and fail the base; repeated
     rows are judged alike; empty tables give empty results.
     """
@@ -140,10 +143,14 @@ def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "
     text, stratum, id_col, label_id = at[text], at[stratum], at[id_col], id_col
     seen = df.withColumn("k1", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = materialise(measure(seen, text).withColumn("rates", rates(F.col("measured"))).drop(*[text] * drop_text), "measured")
-    one = labels.filter("quality is not null").groupBy(F.col(label_id).alias("labelled")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
+    one = labels.filter("quality is not null").groupBy(F.col(label_id).alias("labelled")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    scored = rows.filter(~base_failed(F.col("measured"))).join(one, F.col(id_col) == F.col("labelled")).select(name.alias("stratum"), (F.col("high") == 1).alias("good"), "k1", "rates")
-    rules = materialise(safe_cutoffs(scored, risk, delta).select(F.col("stratum").alias("of"), "cutoffs"), "rules")
+    passing = rows.filter(~base_failed(F.col("measured")))
+    scored = passing.join(one, F.col(id_col) == F.col("labelled")).select(name.alias("stratum"), (F.col("low") == 1).alias("good"), F.col("low").eqNullSafe(F.col("high")).alias("clear"), "k1", "rates")
+    scored = materialise(scored, "labelled")
+    known = scored.select("k1").distinct()
+    drawn = passing.select(name.alias("stratum"), "k1", "rates").join(small(known, scored.count(), 16), "k1", "left_anti")
+    rules = materialise(safe_cutoffs(scored.filter("clear"), drawn, risk, delta).select(F.col("stratum").alias("of"), "cutoffs"), "rules", scored)
     strata = rules.count()
     judged = rows.join(small(rules, strata, 1024), name == F.col("of"), "left")
     broken = F.array_compact(F.array(*[F.when(F.col("rates")[r] > F.col("cutoffs")[r], F.lit(r)) for r in RATES]))

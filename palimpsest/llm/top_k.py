@@ -197,7 +197,7 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     parts = max(1, min(blocks, queries * total // PAIRS + 1))
     told = asked.withColumn("g", F.pmod(F.xxhash64("asking"), F.lit(groups)))
     if groups == 1:
-        index = index.repartition(max(parts, min(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block").withColumn("part", F.lit(0).cast("long"))
+        index = index.repartition(max(parts, min(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(1)))
         met = index.join(small(told.withColumnRenamed("g", "part"), 1, size), "part")
     else:
         part = lambda g: F.col("p") * groups + g

@@ -155,6 +155,8 @@ def _summed(batches: Iterator[pa.RecordBatch], centroids: list[list[int]]) -> It
                 row[dims + 1] += int(q[mine].sum())
 
         descend(tree, c, settle)
+    if any(abs(x) >= 10**38 for row in totals for x in row):
+        raise OverflowError("a sum of these vectors does not fit a long")
     rows = [(z, j, Decimal(x)) for z, row in enumerate(totals) if row[dims] for j, x in zip([*range(dims), COUNT, SQUARES], row)]
     if rows:
         z, j, x = zip(*rows)

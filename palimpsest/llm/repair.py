@@ -66,7 +66,7 @@ class Lazy:
             for p, (_, q) in enumerate(PUT):
                 costs[q] = min(costs[q], costs[p] + INSERT)
         least = min(costs)
-        vector = tuple(min(c - least, NEVER) for c in costs)
+        vector = tuple(c - least if c < NEVER else NEVER for c in costs)
         if vector not in self.known:
             self.known[vector] = len(self.vectors)
             self.vectors.append(vector)

@@ -158,7 +158,10 @@ def page_norm(c: Column) -> Column:
 
 def fuzz(a: Column, b: Column) -> Column:
     """The indel ratio of the normalised texts; 0 if a side is empty."""
-    x, y = page_norm(a), page_norm(b)
+    return fuzz_of_norms(page_norm(a), page_norm(b))
+
+
+def fuzz_of_norms(x: Column, y: Column) -> Column:
     return F.when((x == "") | (y == ""), F.lit(0.0)).otherwise(S.ratio(x, y))
 
 

@@ -40,7 +40,10 @@ def normal_line(c: Column) -> Column:
 
 def is_exercise(c: Column) -> Column:
     """A question or task of the text, no entry of a catalogue."""
-    t = normal_line(c)
+    return T.let(normal_line(c), _exercise)
+
+
+def _exercise(t: Column) -> Column:
     listed = special_title(t).isNotNull() | t.rlike(MATH_SECTION) | t.rlike(rf"^(?:{MATH_BLOCKS})(?:\s|$|：|:|·|（|\()")
     asks = t.rlike(r"[（(]\s*[）)]") | t.rlike("[？?]") | T.has_any(t, EXERCISES) | (t.rlike(r"^\d+\s+") & (F.length(t) > LONG_EXERCISE))
     return (t != "") & ~listed & asks
@@ -48,7 +51,10 @@ def is_exercise(c: Column) -> Column:
 
 def is_lesson_line(c: Column) -> Column:
     """An entry of a catalogue that is a lesson: a special title, a summary, a column, a table or a number with a name."""
-    t = normal_line(c)
+    return T.let(normal_line(c), _lesson)
+
+
+def _lesson(t: Column) -> Column:
     kinds = [
         special_title(t).isNotNull(), t.contains("单元小结"), t.rlike(rf"^(?:{PREFIXES})\s*\d+"), t.rlike(MATH_SECTION), t.rlike(rf"^(?:{MATH_BLOCKS})(?:\s|$|：|:|·|（|\()"), t.rlike(rf"^\d{{1,2}}\s*[*＊]?\s*{LETTER}"),
         t.rlike(rf"^(?:{LANGUAGE_BLOCKS})(?:\s|$|：|:|·)"), t.rlike(rf"^(?:{TABLES})(?:\s|$|¹|1)"),

@@ -106,6 +106,41 @@ def partial_ratio_ends(short: str, long: str) -> float:
     return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
 
 
+#: Length of the pieces by which texts that can't reach a ratio are told at once.
+GRAM = 5
+
+
+def nearest_stretches(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """For each end in `long`: the least indel distance of `short` to any stretch that ends there (a row of the table at a time)."""
+    places = np.arange(len(long) + 1)
+    row = np.zeros(len(long) + 1, np.int64)
+    for i, c in enumerate(short):
+        step = row + 1
+        step[1:] = np.where(long == c, np.minimum(step[1:], row[:-1]), step[1:])
+        row = np.minimum.accumulate(step - places) + places
+    return row
+
+
+def reaches(a: str, b: str, least: float) -> bool:
+    """partial_ratio(a, b) >= least, without scoring what can't reach it: stretches whose end is too far from the shorter text by any beginning."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    n, m = len(short), len(long)
+    if not n or short in long:
+        return (1.0 if n or not m else 0.0) >= least
+    lost = 2 * (1 - least) / (2 - least) * n  # characters of the shorter text that such a stretch may lack
+    grams = {long[i : i + GRAM] for i in range(m - GRAM + 1)}
+    if sum(short[i : i + GRAM] in grams for i in range(n - GRAM + 1)) < n - GRAM + 1 - GRAM * lost - 1e-9:
+        return False
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    far = nearest_stretches(codes(short), codes(long))
+    budget = lambda w: (1 - least) * (n + w) + 1e-9
+    for end in np.flatnonzero(far[1:] <= budget(np.minimum(np.arange(1, m + 1), n))) + 1:
+        starts = [max(0, int(end) - n)] if end < m else range(max(0, m - n), m)
+        if any(far[end] <= budget(end - i) and indel_ratio(short, long[i:end]) >= least for i in starts):
+            return True
+    return n == m and partial_ratio_ends(long, short) >= least
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """The best of: shared tokens with each rest, and the two rests with the shared tokens in front; 0 if a side has no tokens."""
     x, y = set(a.split()), set(b.split())
@@ -170,6 +205,15 @@ def partial(a: Column, b: Column) -> Column:
     return _pairs(partial_ratio)(a, b)
 
 
+def partial_reaches(a: Column, b: Column, least: float) -> Column:
+    """partial(a, b) >= least; far cheaper where it isn't."""
+
+    def many(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([reaches(p or "", q or "", least) for p, q in zip(x, y)], dtype="bool")
+
+    return F.pandas_udf(many, "boolean")(a, b)
+
+
 def token_set(a: Column, b: Column) -> Column:
     return _pairs(token_set_ratio)(a, b)
 

@@ -24,6 +24,11 @@ def _gone(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value made once, however often it is used: a lambda's argument isn't made again for each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     return _gone(_filled(c), rf"^[{BLANK}]+|[{BLANK}]+$")
 

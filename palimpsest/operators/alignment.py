@@ -27,10 +27,18 @@ def middle(a: Column) -> Column:
     return (a["y0"] + a["y1"]) / 2
 
 
+def letters(norm: Column) -> Column:
+    """The different letters, digits and Han characters of a normalised text."""
+    return F.array_distinct(F.split(F.regexp_replace(norm, r"[^\p{L}\p{N}]+", ""), ""))
+
+
 def char_overlap(a: Column, b: Column) -> Column:
     """Jaccard of the different letters, digits and Han characters; 0 if a side has none."""
-    of = lambda c: F.array_distinct(F.filter(F.split(C.page_norm(c), ""), lambda x: x.rlike(r"[\p{L}\p{N}]")))
-    x, y = of(a), of(b)
+    return letters_overlap(letters(C.page_norm(a)), letters(C.page_norm(b)))
+
+
+def letters_overlap(x: Column, y: Column) -> Column:
+    x, y = F.array_remove(x, ""), F.array_remove(y, "")
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
@@ -62,12 +70,15 @@ def note_signal(a: Column, b: Column) -> Column:
     )
 
 
-def anchor_score(a: Column, b: Column) -> Column:
-    """How well an old box and a new one (y0, y1, x0, x1, text) match, by content first and by place where content is weak."""
+def anchor_score(a: Column, b: Column, ratio: Column | None = None, overlap: Column | None = None, norms: tuple[Column, Column] | None = None) -> Column:
+    """How well an old box and a new one (y0, y1, x0, x1, text) match, by content first and by place where content is weak.
+
+    ratio (C.fuzz), overlap (char_overlap) and norms (C.page_norm) of the two texts may be given where they are known.
+    """
     place = F.greatest(F.lit(0.0), 1 - F.abs(middle(a) - middle(b)) / REACH)
     x, y = a["text"], b["text"]
-    ratio = C.fuzz(x, y)
-    content = F.greatest(ratio, 0.55 * ratio + 0.45 * char_overlap(x, y))
+    ratio = C.fuzz(x, y) if ratio is None else ratio
+    content = F.greatest(ratio, 0.55 * ratio + 0.45 * (char_overlap(x, y) if overlap is None else overlap))
     weight = F.lit(WEAK)
     for from_, w in reversed(REGIMES):
         weight = F.when(content >= from_, w).otherwise(weight)
@@ -80,7 +91,7 @@ def anchor_score(a: Column, b: Column) -> Column:
     r, q = layout_role(a), layout_role(b)
     score += F.when(r == q, F.when(r != "body", 0.08).otherwise(0.0)).when((r == "body") | (q == "body"), -0.5).otherwise(-0.45)
     # one much shorter than the other, unless it is the other's begin or end, cut by a page's edge
-    n, m = C.page_norm(x), C.page_norm(y)
+    n, m = norms or (C.page_norm(x), C.page_norm(y))
     least, most = F.when(lengths[0] <= lengths[1], n).otherwise(m), F.when(lengths[0] <= lengths[1], m).otherwise(n)
     cut = (least != "") & (F.startswith(most, least) | F.endswith(most, least))
     uneven = (short > 0) & (short / long < 0.35) & ((r == "body") | (q == "body")) & ~notes & ~cut
@@ -129,10 +140,11 @@ def anchors(scored: DataFrame, pair: str) -> DataFrame:
 def align(old: DataFrame, new: DataFrame, pair: str) -> DataFrame:
     """pair, old_id, new_id, score: anchors, and the boxes of either side without one. old and new: pair, id, y0, y1, x0, x1, text."""
     box = F.struct("y0", "y1", "x0", "x1", "text")
-    a, b = old.select(pair, F.col("id").alias("old_id"), box.alias("a")), new.select(pair, F.col("id").alias("new_id"), box.alias("b"))
-    x, y = F.col("a.text"), F.col("b.text")
-    both = a.join(b, pair).withColumn("ratio", C.fuzz(x, y))
-    scored = both.withColumns({"score": anchor_score(F.col("a"), F.col("b")), "sim": F.greatest("ratio", char_overlap(x, y))})
+    # what a text needs for every comparison is made once, before the boxes of a page meet
+    side = lambda df, key, k: df.select(pair, F.col("id").alias(key), box.alias(k), C.page_norm(F.col("text")).alias(f"{k}n")).withColumn(f"{k}c", letters(F.col(f"{k}n")))
+    a, b = side(old, "old_id", "a"), side(new, "new_id", "b")
+    both = a.join(b, pair).withColumns({"ratio": C.fuzz_of_norms(F.col("an"), F.col("bn")), "shared": letters_overlap(F.col("ac"), F.col("bc"))})
+    scored = both.withColumns({"score": anchor_score(F.col("a"), F.col("b"), F.col("ratio"), F.col("shared"), (F.col("an"), F.col("bn"))), "sim": F.greatest("ratio", "shared")})
     found = anchors(scored, pair).select(pair, "old_id", "new_id", "score")
     lone = lambda side, key: side.select(pair, key).join(found.select(pair, key), [pair, key], "left_anti")
     return found.unionByName(lone(a, "old_id"), allowMissingColumns=True).unionByName(lone(b, "new_id"), allowMissingColumns=True)

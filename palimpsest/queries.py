@@ -781,6 +781,6 @@ def sequence_last_contents_page(spark, sf_dir):
     return P.last_contents_page(pages, "book", "page", T.is_contents_page(F.col("t"), F.lit(0), F.col("n")), F.col("body"), 8)
 
 
-from . import contents_queries, match_queries, page_queries, record_queries, review_queries  # noqa: E402, F401 - they register theirs
+from . import book_queries, contents_queries, match_queries, page_queries, record_queries, review_queries  # noqa: E402, F401 - they register theirs
 
 __all__ = ["QUERIES", "SQL"]

@@ -142,9 +142,9 @@ def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sequence_lesson_starts(spark, sf_dir):
     """Lessons named by the first lines of every third page put on pages, in order, by what their titles are worth there and by a hint that is some pages off. Held against brute force in tests."""
-    p = book_pages(spark, sf_dir)
-    titled = p.filter("page % 3 = 0").select("book", (F.col("page") / 3).cast("long").alias("lesson"), F.substring_index("text", "\n", 1).alias("title"), (F.col("page") - F.col("book") % 3).alias("hint"))
-    met = titled.join(p, "book").withColumn("title_worth", B.title_worth(F.col("text"), F.col("title")))
+    p = book_pages(spark, sf_dir).withColumn("head", B.page_head(F.col("text")))
+    titled = p.filter("page % 3 = 0").select("book", (F.col("page") / 3).cast("long").alias("lesson"), B.T.norm_text(F.substring_index("text", "\n", 1), normal=False).alias("title"), (F.col("page") - F.col("book") % 3).alias("hint"))
+    met = titled.join(p.drop("text"), "book").withColumn("title_worth", B.head_worth(F.col("head"), F.col("title")))
     scored = met.filter("title_worth > 0").withColumn("worth", F.col("title_worth") * 100 + B.hint_worth(F.col("page"), F.col("hint")))
     return B.lesson_starts(scored, "book")
 
@@ -178,7 +178,7 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.substring_index("pair", "-", 1).cast("long").alias("book"), F.substring_index("pair", "-", -1).cast("long").alias("page"), "id", "y0", "y1", "x0", "text")
 
 
-STITCHED = """
+STITCHED = r"""
 WITH d AS (SELECT doc_id AS book, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
 x AS (SELECT book, (i // 10)::BIGINT AS page, i % 10 AS k, len(l) AS n, trim(l[i + 1]) AS t, i, trim(l[i + 2]) AS lead FROM (SELECT *, unnest(range(0, len(l))) AS i FROM d)),
 m AS (SELECT *, regexp_replace(t, '[ \t\n\x0b\f\r]+', '', 'g') AS bare, regexp_replace(lead, '[ \t\n\x0b\f\r]+', '', 'g') AS head, regexp_replace(t, 'EDGES', '', 'g') AS own, regexp_replace(lead, 'EDGES', '', 'g') AS ln FROM x),

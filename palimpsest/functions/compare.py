@@ -212,10 +212,10 @@ def edit_kind(e: Column) -> Column:
     return F.when((is_blank(old) & is_blank(new)) | same_markers(old, new), None).when(kind.startswith("标点") & soft, None).when(kind.startswith("文字") & splinter, None).otherwise(kind)
 
 
-def told_edits(found: Column, most: int = 40) -> Column:
-    """The edits with a kind, the first `most`, each side cut to SHOWN characters for display."""
+def told_edits(found: Column, most: int | None = 40) -> Column:
+    """The edits with a kind, the first `most` (None: all, for a verdict that no edit escapes), each side cut to SHOWN characters for display."""
     kinds = F.filter(F.transform(found, lambda e: F.struct(edit_kind(e).alias("kind"), F.substring(e["old"], 1, SHOWN).alias("old"), F.substring(e["new"], 1, SHOWN).alias("new"), e["old_at"].alias("old_at"), e["new_at"].alias("new_at"))), lambda e: e["kind"].isNotNull())
-    return F.slice(kinds, 1, most)
+    return kinds if most is None else F.slice(kinds, 1, most)
 
 
 def block_verdict(told: Column, old: Column, new: Column) -> Column:

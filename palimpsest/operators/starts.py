@@ -16,14 +16,22 @@ BEFORE, AFTER, HINTED = 2, 14, 16
 UNIT_GAP, KNOWN, FEWEST = 2, 0.65, 3
 
 
+def page_head(page: Column) -> Column:
+    """What title_worth needs of a page, made once for all its titles: its first lines, normalised, and the beginning of its text."""
+    lines = F.filter(F.transform(F.split(F.coalesce(page, F.lit("")), "[\r\n]"), lambda x: T.norm_text(x, normal=False)), lambda x: x != "")
+    return F.struct(F.slice(lines, 1, HEAD_LINES).alias("lines"), T.norm_text(F.substring(F.coalesce(page, F.lit("")), 1, EARLY_CHARS), normal=False).alias("early"))
+
+
+def head_worth(head: Column, key: Column) -> Column:
+    """title_worth of a page_head and a normalised title."""
+    first = F.coalesce(F.get(head["lines"], F.lit(0)) == key, F.lit(False))
+    among = F.exists(head["lines"], lambda x: x.startswith(key))
+    return F.when(F.length(key) < 2, 0).when(first, FIRST_LINE).when(among, AMONG_FIRST).when(F.contains(head["early"], key), EARLY).otherwise(0)
+
+
 def title_worth(page: Column, title: Column) -> Column:
     """How much a page looks like the start of a lesson: its title is the first line, begins one of the first lines, or stands early in the text; 0 if none, or if there is no title."""
-    lines = F.filter(F.transform(F.split(F.coalesce(page, F.lit("")), "[\r\n]"), lambda x: T.norm_text(x, normal=False)), lambda x: x != "")
-    key = T.norm_text(title, normal=False)
-    first = F.coalesce(F.get(lines, F.lit(0)) == key, F.lit(False))
-    among = F.exists(F.slice(lines, 1, HEAD_LINES), lambda x: x.startswith(key))
-    early = F.contains(T.norm_text(F.substring(F.coalesce(page, F.lit("")), 1, EARLY_CHARS), normal=False), key)
-    return F.when(F.length(key) < 2, 0).when(first, FIRST_LINE).when(among, AMONG_FIRST).when(early, EARLY).otherwise(0)
+    return T.let(page_head(page), lambda h: T.let(T.norm_text(title, normal=False), lambda k: head_worth(h, k)))
 
 
 def hint_worth(page: Column, hint: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEEDS, RangeHash, byte_codes, digests, materialise, short_batches, slices, text_bytes, with_key, word_hashes, word_spans
+from .common import SEEDS, RangeHash, byte_codes, digests, materialise, short_batches, slices, text_bytes, with_key, word_hashes
 
 #: Bytes of text that one step of numpy takes.
 STEP = 1 << 20

@@ -55,7 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{name}")
+        kept = stage(spark, docs, sf_dir)
+        # a stage's table goes as soon as the next one is written
+        docs = materialise(kept, f"stage-{name}", docs) if i + 1 < len(STAGES) else kept
     return docs

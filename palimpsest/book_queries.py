@@ -257,3 +257,28 @@ def sequence_carried_values(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w).cast("long")).select("l_returnflag", "l_orderkey", "pos", "l_discount", "l_tax", "l_partkey", "l_suppkey")
     out = S.carried(l, "l_returnflag", "pos", {"part": F.when(F.col("l_discount") > 0.05, F.col("l_partkey")), "supplier": F.when(F.col("l_tax") > 0.06, F.col("l_suppkey"))}, 1000)
     return out.select("l_orderkey", "pos", "part", "supplier")
+
+
+# Sheets -----------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT p_brand AS sheet, row, n AS grade, CASE WHEN row % 2 = 0 THEN '下' ELSE '上' END AS semester, row::VARCHAR AS lesson_no, p_name AS lesson_name, p_type AS unit_title, p_size AS page_count, CASE WHEN p_partkey % 3 > 0 THEN 'C' || p_partkey ELSE '' END AS old_course_id "
+    "FROM (SELECT *, p_partkey % 6 + 1 AS n, 1 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row FROM part) WHERE p_partkey % 5 > 0 AND p_partkey % 7 > 0"
+)
+def contents_lesson_rows(spark, sf_dir):
+    """Parts as the rows of sheets, a brand a sheet, with a header each: lessons with grade, term, number, name and pages; rows without a lesson or a grade are left out."""
+    from pyspark.sql import Window
+
+    from .sources.workbook import lesson_rows
+
+    p = table(spark, sf_dir, "part").withColumn("row", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) + 1).cast("long"))
+    k, text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    grade = F.when(k % 7 == 0, "无").otherwise(F.concat((k % 6 + 1).cast("string"), F.lit(" 年级")))
+    lesson = F.when(k % 5 == 0, "").otherwise(F.concat(text("row"), F.lit(". "), F.col("p_name")))
+    term = F.when(F.col("row") % 2 == 0, "下册").otherwise("上册")
+    cells = F.array(F.lit("v1"), grade, term, F.col("p_type"), lesson, F.when(k % 3 > 0, F.concat(F.lit("C"), text("p_partkey"))), text("p_size"))
+    rows = p.select(F.col("p_brand").alias("sheet"), "row", cells.alias("cells"))
+    head = p.select(F.col("p_brand").alias("sheet")).distinct().select("sheet", F.lit(1).cast("long").alias("row"), F.array(*map(F.lit, ["版本", "年级", "学期", " 单元 ", "节", "课件ID", "页数"])).alias("cells"))
+    out = lesson_rows(rows.unionByName(head), ["sheet"])
+    return out.select("sheet", "row", "grade", "semester", "lesson_no", "lesson_name", "unit_title", "page_count", "old_course_id")

@@ -108,6 +108,13 @@ def layout_distinct_pictures(spark, sf_dir):
     return G.distinct_pictures(boxes(spark, sf_dir), "page").select("page", "id")
 
 
+@query()
+def layout_pinyin_pairs(spark, sf_dir):
+    """Lines of orders as boxes of pinyin and of Han characters: which belongs over which. Held against brute force in tests."""
+    b = boxes(spark, sf_dir).withColumn("text", F.when(F.col("kind") == "title", "shuǐ dī").otherwise("水滴"))
+    return G.pinyin_pairs(b, "page")
+
+
 ROWS = f"""
 WITH RECURSIVE b AS ({BOX}), e AS (SELECT *, (y0 + y1) / 2 AS y, y1 - y0 AS h, row_number() OVER (PARTITION BY page ORDER BY (y0 + y1) / 2, x0, id) AS n FROM b),
 g AS (

@@ -128,6 +128,38 @@ def text_labels(spark, sf_dir):
     return t.select(*KEYS, T.strip_lesson_seq(F.col("t")).alias("bare"), T.lesson_display_text(no, F.col("a")).alias("shown"), T.format_old_lesson_hint(unit, F.col("t")).alias("hint"))
 
 
+@query(given_sql("pos % 3 = 0 AS summary_page", "substr(h || ' ' || h, 1, 20) AS excerpt", "CASE WHEN k < 4 THEN array_to_string(range(n, n + k + 1), ',') WHEN k < 8 THEN n::VARCHAR ELSE '' END AS slides", "CASE WHEN pos % 2 = 0 THEN 'yuwen' ELSE 'as_seen' END AS mode", "CASE WHEN pos % 4 = 0 THEN 1 WHEN pos % 4 = 1 THEN 0 ELSE 2 END AS kind", "CASE WHEN pos % 4 = 0 THEN 9999 WHEN pos % 4 = 1 THEN n ELSE 0 END AS place",
+                 "CASE WHEN n >= 6 THEN 'matched' WHEN n >= 3 THEN 'partial' ELSE 'none' END AS status", "CASE WHEN pos % 2 = 0 THEN '下' ELSE '上' END AS semester", "CASE WHEN k < 6 THEN n END::INTEGER AS pages"))
+def text_small_fields(spark, sf_dir):
+    """Pages of summaries, excerpts, spans of slides, modes of catalogues, sort keys of lesson numbers, states of matches, terms and counts of pages."""
+    t = given(spark, sf_dir)
+    page = F.when(F.col("pos") % 3 == 0, of("a", "\n 单元小结\n", "b")).otherwise(F.concat(F.repeat(F.col("a"), 60), F.lit("单元小结")))
+    slides = F.when(F.col("k") < 4, of(" ", (F.col("n") + F.col("k")).cast("string"), "-", "n")).when(F.col("k") < 8, of("n", " ")).otherwise(of("n", "-"))
+    subject = F.when(F.col("pos") % 2 == 0, " 语文 ").otherwise("科学")
+    number = F.when(F.col("pos") % 4 == 0, of("a", "单元小结")).when(F.col("pos") % 4 == 1, of("n", " ", "a")).otherwise(of("a"))
+    pages = F.when(F.col("k") < 6, of("n", ".0")).otherwise(of("a"))
+    key = T.lesson_no_sort_key(number)
+    return t.select(
+        *KEYS, T.is_unit_summary_page(page).alias("summary_page"), T.body_excerpt(F.concat(F.lit(" "), F.col("h"), F.lit(" \n\t"), F.col("h")), 20).alias("excerpt"), F.array_join(T.parse_slides_spec(slides), ",").alias("slides"), T.catalog_filter_mode(subject).alias("mode"),
+        key["kind"].alias("kind"), key["n"].alias("place"), D.text_match_status(F.col("n") / 10, F.lit(0.6)).alias("status"), T.parse_semester(F.when(F.col("pos") % 2 == 0, "下册").otherwise("上册")).alias("semester"), T.parse_page_count(pages).alias("pages"),
+    )
+
+
+@query(
+    "WITH l AS (SELECT l_suppkey, l_quantity AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS pos, count(*) OVER (PARTITION BY l_suppkey) AS total FROM lineitem) "
+    "SELECT l_suppkey, pos, round(avg(s) OVER (PARTITION BY l_suppkey ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * (total - pos) / 5, 6) AS eta FROM l"
+)
+def sequence_remaining_seconds(spark, sf_dir):
+    """What the pages of a supplier's lines still take, by the mean of the last twenty and five workers."""
+    from pyspark.sql import Window
+
+    from .operators.sequence import remaining_seconds
+
+    w = Window.partitionBy("l_suppkey")
+    l = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")).cast("long")).withColumn("total", F.count("*").over(w))
+    return remaining_seconds(l, "l_suppkey", "pos", "l_quantity", "total", 5).select("l_suppkey", "pos", F.round("eta", 6).alias("eta"))
+
+
 # Lines ------------------------------------------------------------------------------------------------
 
 LINES = [

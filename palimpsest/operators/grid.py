@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import compare as C
 from ..functions import similarity as S
+from ..functions.text import HAN
 from .matching import by_group
 
 #: Cells of a page along either side.
 CELLS = 16
 # Overlap from which two pictures are one, sizes that count as equal, centres of a row, gaps between its boxes.
 SAME, MUTUAL, INSIDE, PARTLY, NESTED, LOOSE, BIGGER, TIMES = 0.52, 0.82, 0.65, 0.35, 0.68, 0.10, 1.03, 3.0
+ACROSS, BELOW, LIFT, OVERHANG, SUNK, INDENT, HIGHER = 0.35, 0.09, 0.008, 0.012, 0.28, 0.20, 0.002
 SLACK, HALF, GAP, LEAST_GAP, WIDE, STEP, SHOWN = 0.018, 0.55, 0.14, 0.10, 0.12, 1.15, 500
 
 
@@ -117,3 +120,52 @@ def rows_of(boxes: DataFrame, page: str, gap: float | None = None) -> DataFrame:
     told = F.sort_array(F.collect_list(F.struct("x0", "y", "id", "text")))
     out = parted.groupBy(page, "row", "part").agg(told.alias("told"), *[F.round(f(c), 4).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))], F.when(F.bool_or(F.col("kind") == "title"), "title").otherwise("text").alias("kind"))
     return out.select(page, "row", "part", F.transform("told", lambda x: x["id"]).alias("ids"), *corners, F.substring(F.array_join(F.transform("told", lambda x: x["text"]), ""), 1, SHOWN).alias("text"), "kind")
+
+
+# Pinyin -----------------------------------------------------------------------------------------------
+
+
+def is_pinyin(c: Column) -> Column:
+    """A line of Latin letters with and without tones, no Han: three quarters of its characters at least."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    kept = F.length(F.regexp_replace(t, rf"[^{C.PINYIN}\s]+", ""))
+    return (t != "") & ~t.rlike(f"[{HAN}]") & t.rlike("[a-zA-Z]") & (kept >= 0.75 * F.length(t))
+
+
+def pinyin_pairs(boxes: DataFrame, page: str) -> DataFrame:
+    """page, upper, lower, gap, share: boxes of pinyin (page, id, x0, y0, x1, y1, text) with the box of Han characters under each, one to one: the nearest first, of equals that with the larger share of width.
+
+    A box is under another if it begins within BELOW of its lower edge (or a little above it), or lower than SUNK of its height where the frame of the pinyin
+    is too high; they share ACROSS of the narrower width at least. Pairs are met through the grid, the pinyin's box being
+    lengthened by its reach, so only neighbours meet.
+    """
+    reach = BELOW + OVERHANG
+    latin = is_pinyin(F.col("text"))
+    han = F.coalesce("text", F.lit("")).rlike(f"[{HAN}]")
+    corners = ["x0", "y0", "x1", "y1"]
+    own = lambda df, bit, y1: df.select(page, (F.col("id") * 2 + bit).alias("id"), "x0", "y0", "x1", y1.alias("y1"))
+    met = overlapping(own(boxes.filter(latin), 0, F.col("y1") + reach).unionByName(own(boxes.filter(han), 1, F.col("y1"))), page).filter((F.col("a_id") % 2) != (F.col("b_id") % 2))
+    first = F.col("a_id") % 2 == 0
+    pick = lambda when, a, b: F.when(when, F.col(a)).otherwise(F.col(b))
+    p = met.select(page, F.floor(pick(first, "a_id", "b_id") / 2).alias("upper"), F.floor(pick(first, "b_id", "a_id") / 2).alias("lower"), pick(first, "a", "b").alias("u"), pick(first, "b", "a").alias("l"))
+    u = {c: F.col(f"u.{c}") for c in corners} | {"y1": F.col("u.y1") - reach}
+    low = {c: F.col(f"l.{c}") for c in corners}
+    share = F.greatest(F.lit(0.0), F.least(u["x1"], low["x1"]) - F.greatest(u["x0"], low["x0"])) / F.greatest(F.least(u["x1"] - u["x0"], low["x1"] - low["x0"]), F.lit(1e-9))
+    centre = lambda x: (x["y0"] + x["y1"]) / 2
+    gap = F.round(low["y0"] - u["y1"], 9)
+    tolerance = F.greatest(F.lit(SLACK), HALF * F.least(u["y1"] - u["y0"], low["y1"] - low["y0"]))
+    one_row = (F.abs(centre(u) - centre(low)) <= tolerance) & (centre(low) <= centre(u) + HIGHER)
+    under = (centre(low) > centre(u)) & gap.between(-LIFT, BELOW)
+    framed = (low["y0"] >= u["y0"] + (u["y1"] - u["y0"]) * SUNK) & (low["y0"] <= u["y1"] + reach) | ((low["y0"] >= u["y0"]) & (low["y1"] <= u["y1"] + reach))
+    fit = p.filter((low["x0"] <= u["x0"] + INDENT) & (share >= ACROSS) & ~one_row & (under | framed)).select(page, "upper", "lower", gap.alias("gap"), F.round(share, 9).alias("share"))
+
+    def choose(rows: list[tuple]) -> list[tuple]:
+        uppers, lowers, out = set(), set(), []
+        for row in rows:
+            if row[1] not in uppers and row[2] not in lowers:
+                uppers.add(row[1])
+                lowers.add(row[2])
+                out.append(row)
+        return out
+
+    return by_group(fit, page, ["gap", F.desc("share"), "upper", "lower"], choose)

@@ -204,6 +204,41 @@ def test_overlapping_and_pictures(spark):
     assert sorted((x.page, x.id) for x in grid.distinct_pictures(df, "page").collect()) == stay
 
 
+def test_pinyin_pairs(spark):
+    r = random.Random(12)
+    rows = []
+    for page in range(60):
+        for i in range(r.randint(2, 9)):
+            x, y, latin = r.uniform(0, 0.6), r.uniform(0, 0.9), r.random() < 0.5
+            text = r.choice(["shuǐ dī", "cǎo 12", "Huā"]) if latin else r.choice(["水滴", "草 a", "花"])
+            rows.append((page, i, round(x, 3), round(y, 3), round(x + r.uniform(0.1, 0.4), 3), round(y + r.uniform(0.02, 0.12), 3), text))
+    rows += [(70, 1, 0.1, 0.1, 0.2, 0.2, None), (70, 2, 0.1, 0.21, 0.2, 0.3, "1234"), (70, 3, 0.1, 0.21, 0.2, 0.3, "水")]
+    df = spark.createDataFrame(rows, "page long, id long, x0 double, y0 double, x1 double, y1 double, text string")
+    han = lambda t: any("\u4e00" <= c <= "\u9fff" for c in t or "")
+    latin = lambda t: bool(t) and not han(t) and any("a" <= c.lower() <= "z" for c in t) and sum(c.isalpha() or c == " " for c in t) >= 0.75 * len(t)
+    want = []
+    for page in sorted({x[0] for x in rows}):
+        mine, fit = [x for x in rows if x[0] == page], []
+        for u in mine:
+            for low in mine:
+                if latin(u[6]) and han(low[6]):
+                    share = max(0, min(u[4], low[4]) - max(u[2], low[2])) / min(u[4] - u[2], low[4] - low[2])
+                    gap, cu, cl = low[3] - u[5], (u[3] + u[5]) / 2, (low[3] + low[5]) / 2
+                    row = abs(cu - cl) <= max(0.018, 0.55 * min(u[5] - u[3], low[5] - low[3])) and cl <= cu + 0.002
+                    under = cl > cu and -0.008 <= round(gap, 9) <= 0.09
+                    framed = (low[3] >= u[3] + (u[5] - u[3]) * 0.28 and low[3] <= u[5] + 0.102) or (low[3] >= u[3] and low[5] <= u[5] + 0.102)
+                    if low[2] <= u[2] + 0.20 and share >= 0.35 and not row and (under or framed):
+                        fit.append((round(gap, 9), -round(share, 9), u[1], low[1]))
+        uppers, lowers = set(), set()
+        for _, _, a, b in sorted(fit):
+            if a not in uppers and b not in lowers:
+                uppers.add(a)
+                lowers.add(b)
+                want.append((page, a, b))
+    got = sorted((x.page, x.upper, x.lower) for x in grid.pinyin_pairs(df, "page").collect())
+    assert got == sorted(want) and len(got) > 10
+
+
 # Books ------------------------------------------------------------------------------------------------
 
 

@@ -20,10 +20,10 @@ FIRST = 128
 EXACT_HITS = 25
 
 
-def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str | None, new_id: str, old_id: str, score, threshold: float, rank: list, cap: int = EXACT_HITS) -> DataFrame:
+def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str | None, new_id: str, old_id: str, score, threshold: float, rank: list, cap: int | None = EXACT_HITS) -> DataFrame:
     """new_id, old_id, tier (exact, similar or none), score, rank.
 
-    Rows with equal keys match exactly, the first `cap` by `rank` (columns over both sides: n_* and o_*). The others meet
+    Rows with equal keys match exactly, the first `cap` (None: all) by `rank` (columns over both sides: n_* and o_*). The others meet
     old rows that share the blocking column, so no pair outside a block is ever made, and keep their best above the
     threshold; a new id without any has one row of tier none. The blocking column must bound its groups (SURVEY: a volume).
     Without a blocking column they meet the whole pool, and the score is the indel ratio of the keys (see pool_best).
@@ -32,7 +32,7 @@ def tiered_match(new: DataFrame, old: DataFrame, key: str, block: str | None, ne
     o = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns])
     nid, oid = F.col(f"n_{new_id}"), F.col(f"o_{old_id}")
     exact = n.join(o, (F.col(f"n_{key}") == F.col(f"o_{key}")) & (F.col(f"n_{key}") != ""))
-    exact = exact.withColumn("rank", F.row_number().over(Window.partitionBy(nid).orderBy(*rank, oid))).filter(F.col("rank") <= cap)
+    exact = exact.withColumn("rank", F.row_number().over(Window.partitionBy(nid).orderBy(*rank, oid))).filter(F.lit(True) if cap is None else F.col("rank") <= cap)
     exact = exact.select(nid.alias(new_id), oid.alias(old_id), F.lit("exact").alias("tier"), F.lit(1.0).alias("score"), "rank")
     rest = n.join(o.select(F.col(f"o_{key}").alias("k")).distinct(), F.col(f"n_{key}") == F.col("k"), "left_anti")
     if block is None:

@@ -94,11 +94,11 @@ def claimed_rows(rows: DataFrame, claimed: DataFrame, paired: Column, current: C
     return out.withColumns({"same_lesson": F.coalesce(F.col("lesson") == paired, F.lit(False)), "kind": D.block_kind(F.col("name"), F.lit("")), "locked": F.coalesce(~mine, F.lit(False)), "used": F.coalesce(mine, F.lit(False))})
 
 
-def searched(rows: DataFrame, words: str, columns: list[str], order: list, limit: int = 500) -> DataFrame:
-    """Rows that have the words in any of the columns, whatever the case, the first `limit` (1000 at most) in order."""
+def searched(rows: DataFrame, words: str, columns: list[str], order: list, limit: int | None = 500) -> DataFrame:
+    """Rows that have the words in any of the columns, whatever the case, the first `limit` (1000 at most; None: all of them) in order."""
     blob = F.lower(F.concat_ws(" ", *[_filled(F.col(c).cast("string")) for c in columns]))
     found = rows.filter(F.contains(blob, F.lit(words.strip().lower()))) if words.strip() else rows
-    return found.orderBy(*order).limit(min(limit, 1000))
+    return found.orderBy(*order) if limit is None else found.orderBy(*order).limit(min(limit, 1000))
 
 
 def kind_match(a: Column, b: Column) -> Column:

@@ -12,6 +12,8 @@ from .matching import by_group
 
 #: Cells of a page along either side.
 CELLS = 16
+#: Boxes of a page that meet each other directly.
+FEW = 64
 # Overlap from which two pictures are one, sizes that count as equal, centres of a row, gaps between its boxes.
 SAME, MUTUAL, INSIDE, PARTLY, NESTED, LOOSE, BIGGER, TIMES = 0.52, 0.82, 0.65, 0.35, 0.68, 0.10, 1.03, 3.0
 ACROSS, BELOW, LIFT, OVERHANG, SUNK, INDENT, HIGHER = 0.35, 0.09, 0.008, 0.012, 0.28, 0.20, 0.002
@@ -26,20 +28,28 @@ def _cells(low: Column, high: Column) -> Column:
 def overlapping(boxes: DataFrame, page: str) -> DataFrame:
     """page, a_id, b_id, a, b (structs of corners), a_id < b_id: the pairs of boxes (page, id, x0, y0, x1, y1) that have a point in common, each once.
 
-    A box is dealt to the cells of a grid that it touches; a pair is told in one cell alone, that of the first corner of
-    what they share. So boxes far apart never meet, and a page's pairs are as many as overlap, not all.
+    Boxes of a page of FEW or less meet each other directly, as an array that their page's count bounds. On other pages a
+    box is dealt to the cells of a grid that it touches; a pair is told in one cell alone, that of the first corner of
+    what they share. So boxes far apart never meet, a page's pairs are as many as overlap, not all, and no box of a small page is copied to cells.
     Coordinates beyond 0 to 1 belong to the outer cells; a null coordinate meets nothing.
     """
-    b = boxes.select(page, "id", F.struct("x0", "y0", "x1", "y1").alias("b"))
+    b = boxes.filter(F.col(page).isNotNull() & F.col("id").isNotNull()).select(page, "id", F.struct("x0", "y0", "x1", "y1").alias("b"))
     b = b.filter(F.col("b.x1") >= F.col("b.x0")).filter(F.col("b.y1") >= F.col("b.y0"))
-    dealt = b.withColumn("cx", F.explode(_cells(F.col("b.x0"), F.col("b.x1")))).withColumn("cy", F.explode(_cells(F.col("b.y0"), F.col("b.y1"))))
-    left = dealt.select(page, "cx", "cy", F.col("id").alias("a_id"), F.col("b").alias("a"))
-    met = left.join(dealt.withColumnRenamed("id", "b_id"), [page, "cx", "cy"]).filter("a_id < b_id")
+    counted = b.withColumn("many", F.count("*").over(Window.partitionBy(page)))
     first = lambda k: F.greatest(F.col(f"a.{k}"), F.col(f"b.{k}"))
     last = lambda k: F.least(F.col(f"a.{k}"), F.col(f"b.{k}"))
     share = (first("x0") <= last("x1")) & (first("y0") <= last("y1"))
+    told = [page, "a_id", "b_id", "a", "b"]
+
+    few = counted.filter(F.col("many").between(2, FEW)).groupBy(page).agg(F.collect_list(F.struct("id", "b")).alias("all"))
+    one = few.select(page, "all", F.explode("all").alias("one")).select(page, "all", F.col("one.id").alias("a_id"), F.col("one.b").alias("a"))
+    near = one.select(page, "a_id", "a", F.explode("all").alias("other")).select(page, "a_id", F.col("other.id").alias("b_id"), "a", F.col("other.b").alias("b")).filter("a_id < b_id").filter(share)
+
+    dealt = counted.filter(F.col("many") > FEW).drop("many").withColumn("cx", F.explode(_cells(F.col("b.x0"), F.col("b.x1")))).withColumn("cy", F.explode(_cells(F.col("b.y0"), F.col("b.y1"))))
+    left = dealt.select(page, "cx", "cy", F.col("id").alias("a_id"), F.col("b").alias("a"))
+    met = left.join(dealt.withColumnRenamed("id", "b_id"), [page, "cx", "cy"]).filter("a_id < b_id")
     here = (F.get(_cells(first("x0"), first("x0")), F.lit(0)) == F.col("cx")) & (F.get(_cells(first("y0"), first("y0")), F.lit(0)) == F.col("cy"))
-    return met.filter(share & here).select(page, "a_id", "b_id", "a", "b")
+    return near.select(*told).unionByName(met.filter(share & here).select(*told))
 
 
 def same_picture(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from .matching import greedy_assignment
 from .rollup import most_frequent
+from .scans import settled
 
 # Words of block names, weights, bonuses, limits.
 NAME_WORDS = ["导入", "探究", "实验", "观察", "记录", "反思", "总结", "练习", "拓展", "引入", "讲解", "讨论", "归纳", "应用", "情境"]
@@ -169,37 +170,55 @@ def reuse_report(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
     return out.select("how", "old_id", "new_id", "old_name", "new_name")
 
 
-def file_score(filename: Column, lesson: dict[str, Column]) -> Column:
-    """How well a courseware file's name fits a lesson (course_id, unit_no, unit, no, name)."""
+def _file_forms(filename: Column) -> dict[str, Column]:
+    """What a file's score needs of its name alone: lower case without and with blanks, pairs of numbers, its normalised variants (a repeated one is empty)."""
     low = F.lower(filename)
     stem = T.stripped(F.regexp_replace(filename, r"(?i)\.zip$", ""))
     clean = T.stripped(F.regexp_replace(stem, FILE_NOISE, ""))
     spaced = T.stripped(F.regexp_replace(F.regexp_replace(clean, r"[_\-]+", " "), r"\s+", " "))
+    pair = F.regexp_extract_all(filename, F.lit(r"(?<!\d)\d{1,2}\s*[-_.、]\s*\d{1,2}(?!\d)"), F.lit(0))
+    numbers = F.transform(pair, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("unit"), F.regexp_extract(p, r"(\d+)$", 1).cast("int").alias("no")))
+    variants = F.array_distinct(F.array(*[T.norm_lesson_title(x) for x in (stem, clean, spaced)]))
+    return {"low": low, "close": F.replace(low, F.lit(" "), F.lit("")), "numbers": numbers, "variants": variants}
+
+
+def _lesson_forms(lesson: dict[str, Column]) -> dict[str, Column]:
+    """What a file's score needs of the lesson alone."""
     no, name = T.stripped(lesson["no"]), T.stripped(lesson["name"])
-    digits = no.rlike(r"^\d+$")
     label = F.when(no != "", T.stripped(F.concat_ws(" ", no, name))).otherwise(name)
-    bare = T.norm_lesson_title(F.coalesce(F.nullif(T.strip_lesson_seq(name), F.lit("")), name))
-    token = lambda sep: F.concat(lesson["unit_no"].cast("string"), F.lit(sep), no)
-    numbered = digits & (lesson["unit_no"] > 0)
-    pair = F.regexp_extract_all(filename, F.lit(r"(?<!\d)\d{1,2}\s*[-_.、]\s*\d{1,2}(?!\d)"), F.lit(0))
-    exact = F.exists(pair, lambda p: (F.regexp_extract(p, r"^(\d+)", 1).cast("int") == lesson["unit_no"]) & (F.regexp_extract(p, r"(\d+)$", 1).cast("int") == no.try_cast("int")))
-    score = F.when(numbered & F.coalesce(exact, F.lit(False)), 0.98).otherwise(0.0)
-    for sep in ("-", "_", ".", "、"):
-        score = F.greatest(score, F.when(numbered & F.contains(F.replace(low, F.lit(" "), F.lit("")), token(sep)), 0.96).otherwise(0.0))
-    for variant in (stem, clean, spaced):
-        v = T.norm_lesson_title(variant)
-        inside = (bare != "") & (v != "") & (F.contains(v, bare) | F.contains(bare, v))
+    tokens = F.array(*[F.concat(lesson["unit_no"].cast("string"), F.lit(sep), no) for sep in ("-", "_", ".", "、")])
+    return {
+        "course": F.lower(T.stripped(lesson["course_id"])), "numbered": no.rlike(r"^\d+$") & (lesson["unit_no"] > 0), "at": F.struct(lesson["unit_no"].alias("unit"), no.try_cast("int").alias("no")), "tokens": tokens,
+        "bare": T.norm_lesson_title(F.coalesce(F.nullif(T.strip_lesson_seq(name), F.lit("")), name)), "label": T.norm_lesson_title(label), "titled": T.norm_lesson_title(F.concat_ws(" ", lesson["unit"], label)),
+    }
+
+
+def _fit(f: dict[str, Column], l: dict[str, Column]) -> Column:
+    score = F.when(l["numbered"] & F.coalesce(F.exists(f["numbers"], lambda p: (p["unit"] == l["at"]["unit"]) & (p["no"] == l["at"]["no"])), F.lit(False)), 0.98).otherwise(0.0)
+    score = F.greatest(score, F.when(l["numbered"] & F.exists(l["tokens"], lambda x: F.contains(f["close"], x)), 0.96).otherwise(0.0))
+    for i in range(3):
+        v = F.coalesce(F.get(f["variants"], F.lit(i)), F.lit(""))
+        inside = (l["bare"] != "") & (v != "") & (F.contains(v, l["bare"]) | F.contains(l["bare"], v))
         score = F.greatest(score, F.when(inside, 0.94).otherwise(0.0))
-        for other in (T.norm_lesson_title(label), T.norm_lesson_title(F.concat_ws(" ", lesson["unit"], label))):
+        for other in (l["label"], l["titled"]):
             score = F.greatest(score, F.when((v != "") & (other != ""), S.token_set(v, other)).otherwise(0.0))
-    by_id = (T.stripped(lesson["course_id"]) != "") & F.contains(low, F.lower(T.stripped(lesson["course_id"])))
-    return F.when(by_id, F.lit(1.0)).otherwise(score)
+    return F.when((l["course"] != "") & F.contains(f["low"], l["course"]), F.lit(1.0)).otherwise(score)
+
+
+def file_score(filename: Column, lesson: dict[str, Column]) -> Column:
+    """How well a courseware file's name fits a lesson (course_id, unit_no, unit, no, name)."""
+    return _fit(_file_forms(filename), _lesson_forms(lesson))
 
 
 def file_candidates(files: DataFrame, lessons: DataFrame) -> DataFrame:
-    """pool, file, lesson, score: files and lessons of the same pool (a volume), scored. files: pool, file; lessons: pool, lesson, course_id, unit_no, unit, no, name."""
-    both = files.join(lessons, "pool")
-    return both.withColumn("score", F.round(file_score(F.col("file"), {c: F.col(c) for c in ("course_id", "unit_no", "unit", "no", "name")}), 4)).filter("score > 0").select("pool", "file", "lesson", "score")
+    """pool, file, lesson, score: files and lessons of the same pool (a volume), scored. files: pool, file; lessons: pool, lesson, course_id, unit_no, unit, no, name.
+
+    Names are normalised once a file and once a lesson, before they are paired, and a pair's score is made once, whatever filters follow.
+    """
+    of_file, of_lesson = _file_forms(F.col("file")), _lesson_forms({c: F.col(c) for c in ("course_id", "unit_no", "unit", "no", "name")})
+    both = files.select("pool", "file", *[v.alias(f"f_{k}") for k, v in of_file.items()]).join(lessons.select("pool", "lesson", *[v.alias(f"l_{k}") for k, v in of_lesson.items()]), "pool")
+    score = F.round(_fit({k: F.col(f"f_{k}") for k in of_file}, {k: F.col(f"l_{k}") for k in of_lesson}), 4)
+    return settled(both.select("*", score.alias("made")), score=F.col("made")).filter("score > 0").select("pool", "file", "lesson", "score")
 
 
 def ranked_files(candidates: DataFrame, top: int = FILE_TOP) -> DataFrame:

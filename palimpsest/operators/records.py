@@ -240,24 +240,35 @@ def _book_clean(stem: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[_\-·.]+", " "), r"\s+", " "))
 
 
+def _book_names(file: Column) -> Column:
+    stem = _book_stem(file)
+    return F.struct(stem.alias("stem"), _book_clean(stem).alias("clean"))
+
+
 def grade_and_term(file: Column) -> Column:
     """grade and term out of a textbook file's name: of a volume's code, else as they are written; null if neither is there."""
-    stem = _book_stem(file)
+    return T.let(_book_names(file), _grade_and_term)
+
+
+def _grade_and_term(names: Column) -> Column:
+    stem = names["stem"]
+    shape = lambda grade, term: F.struct(grade.alias("grade"), term.alias("term"))
     grade, sem = F.regexp_extract(stem, BOOK_CODE, 2).try_cast("int"), F.upper(F.regexp_extract(stem, BOOK_CODE, 3))
-    found = [F.when(grade.isNotNull(), F.struct(grade.alias("grade"), F.when(sem == "S", "上").otherwise("下").alias("term")))]
+    found = [F.when(grade.isNotNull(), shape(grade, F.when(sem == "S", "上").otherwise("下")))]
+    read = lambda of: lambda m: F.when((m["term"] != "") & (of(m["g"]) > 0), shape(of(m["g"]), m["term"]))
     for pattern, chinese in GRADES:
-        for t in (_book_clean(stem), stem):
-            g, term = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
-            number = T.cn_numeral(g).cast("int") if chinese else g.try_cast("int")
-            found.append(F.when((term != "") & (number > 0), F.struct(number.alias("grade"), term.alias("term"))))
+        of = (lambda g: T.cn_numeral(g).cast("int")) if chinese else (lambda g: g.try_cast("int"))
+        for t in (names["clean"], stem):
+            found.append(T.let(F.struct(F.regexp_extract(t, pattern, 1).alias("g"), F.regexp_extract(t, pattern, 2).alias("term")), read(of)))
     return F.coalesce(*found)
 
 
 def edition_evidence(file: Column, label: Column, prefix: Column) -> Column:
     """How a file's name speaks for an edition: 1 by code or label, less by a short name, 0.55 if it says nothing, 0 if it names another."""
-    stem = _book_stem(file)
-    text = F.concat_ws(" ", stem, _book_clean(stem))
-    code = F.upper(F.regexp_extract(stem, BOOK_CODE, 1))
+    return T.let(_book_names(file), lambda n: T.let(F.struct(F.concat_ws(" ", n["stem"], n["clean"]).alias("text"), F.upper(F.regexp_extract(n["stem"], BOOK_CODE, 1)).alias("code")), lambda x: _evidence(x["text"], x["code"], label, prefix)))
+
+
+def _evidence(text: Column, code: Column, label: Column, prefix: Column) -> Column:
     l = F.trim(_filled(label))
     short = F.replace(F.replace(l, F.lit("版"), F.lit("")), F.lit("社"), F.lit(""))
     alias, other = F.lit(False), F.lit(False)
@@ -270,23 +281,30 @@ def edition_evidence(file: Column, label: Column, prefix: Column) -> Column:
     )
 
 
-def book_score(file: Column, code: Column, grade: Column, term: Column, label: Column, prefix: Column, title: Column) -> Column:
-    """How well a textbook file's name fits a volume."""
-    stem = _book_stem(file)
-    known = grade_and_term(file)
+def book_score(file: Column, code: Column, grade: Column, term: Column, label: Column, prefix: Column, title: Column, known: Column | None = None, plain: Column | None = None) -> Column:
+    """How well a textbook file's name fits a volume; known and plain: its grade_and_term and plain_title where they are at hand."""
     shown = F.coalesce(F.nullif(_filled(title), F.lit("")), F.concat(_filled(label), grade.cast("string"), F.lit("年级"), term, F.lit("册")))
-    a, b = T.norm_text(_book_clean(stem)), T.norm_text(shown)
-    ratio = F.when((a != "") & (b != ""), S.token_set(a, b)).otherwise(0.0)
-    said = edition_evidence(file, label, prefix)
-    by_edition = F.when(said <= 0, 0.0).when(said < 0.8, UNSAID).when(said >= 0.9, SURE).otherwise(LIKELY)
-    fits = (known["grade"] == grade) & (known["term"] == term)
-    by_code = (_filled(code) != "") & F.contains(F.upper(stem), F.upper(_filled(code)))
-    return F.when(by_code, 1.0).when(known.isNull(), F.when(ratio >= BOOK_LEAST, ratio * BY_TITLE).otherwise(0.0)).when(fits, by_edition).otherwise(0.0)
+    made = F.struct((grade_and_term(file) if known is None else known).alias("known"), S.token_set(plain_title(file) if plain is None else plain, T.norm_text(shown)).alias("ratio"), edition_evidence(file, label, prefix).alias("said"))  # 0 if a side is empty
+    by_code = (_filled(code) != "") & F.contains(F.upper(_book_stem(file)), F.upper(_filled(code)))
+
+    def judged(m: Column) -> Column:
+        by_edition = F.when(m["said"] <= 0, 0.0).when(m["said"] < 0.8, UNSAID).when(m["said"] >= 0.9, SURE).otherwise(LIKELY)
+        fits = (m["known"]["grade"] == grade) & (m["known"]["term"] == term)
+        return F.when(by_code, 1.0).when(m["known"].isNull(), F.when(m["ratio"] >= BOOK_LEAST, m["ratio"] * BY_TITLE).otherwise(0.0)).when(fits, by_edition).otherwise(0.0)
+
+    return T.let(made, judged)
+
+
+def plain_title(file: Column) -> Column:
+    """A textbook file's name as a title is compared."""
+    return T.norm_text(_book_clean(_book_stem(file)))
 
 
 def assigned_books(files: DataFrame, volumes: DataFrame) -> DataFrame:
     """pool, file, code, score: one volume per file and one file per volume in each pool. files: pool, file; volumes: pool, code, grade, term, label, prefix, title."""
-    both = files.join(volumes, "pool").withColumn("score", book_score(*[F.col(c) for c in ("file", "code", "grade", "term", "label", "prefix", "title")]))
+    named = settled(files.withColumns({"known": grade_and_term(F.col("file")), "plain": plain_title(F.col("file"))}), known_=F.col("known"), plain_=F.col("plain"))  # once a file, not once a pair
+    both = named.join(volumes, "pool").withColumn("made", book_score(*[F.col(c) for c in ("file", "code", "grade", "term", "label", "prefix", "title")], F.col("known_"), F.col("plain_")))
+    both = settled(both, score=F.col("made"))
     return greedy_assignment(both.select("pool", "file", "code", "score"), "pool", "file", "code", "score", BOOK_LEAST)
 
 

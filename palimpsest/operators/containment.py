@@ -54,7 +54,7 @@ _ANCHOR, _BOX, _COVER, _SLICE = range(4)
 
 
 def _settle(rows: list[tuple]) -> list[tuple]:
-    """(pair, what, side, a, b, i, j, k, x): anchors (old, new, -, -, -, score) in order, boxes (id, -, place, size, content, hash as x), covers (host, part, 1 if the part's own anchor is at least REDEEM like it).
+    """(pair, what, side, a, b, i, j, k, x, score): anchors (old, new, -, -, -, score) in order, boxes (id, -, place, size, content, hash as x), covers (host, part, 1 if the part's own anchor is at least REDEEM like it).
     Returns kept anchors and slices (host, part, number, parts)."""
     anchors = [r for r in rows if r[1] == _ANCHOR]
     box = {(r[2], r[3]): r for r in rows if r[1] == _BOX}
@@ -70,7 +70,7 @@ def _settle(rows: list[tuple]) -> list[tuple]:
     def cut(side: str, host: int, parts: set) -> None:
         other = "new" if side == "old" else "old"
         for k, part in enumerate(sorted(parts, key=lambda i: (place(other, i), i))):
-            out.append((rows[0][0], _SLICE, side, host, part, k, len(parts), 0, 0))
+            out.append((rows[0][0], _SLICE, side, host, part, k, len(parts), 0, 0, None))
 
     for r in anchors:
         o, n = r[3], r[4]
@@ -123,22 +123,23 @@ def rebind(old: DataFrame, new: DataFrame, anchors: DataFrame, pair: str) -> Dat
     not like. Boxes of neither anchor that cover two or more that have none are cut as well, the longest first. Null texts
     count as empty; a box belongs to one anchor, unless it is cut.
     """
-    cover = covering(old, new, pair)
-    whole = old.select(pair, F.col("id").alias("part"), F.col("text").alias("pt"))
+    whole = old.select(pair, F.lit("new").alias("side"), F.col("id").alias("part"), F.col("text").alias("pt"))
     theirs = anchors.select(pair, F.col("old_id").alias("part"), F.col("new_id").alias("own")).join(new.select(pair, F.col("id").alias("own"), F.col("text").alias("wt")), [pair, "own"])
-    asked = cover.filter("side = 'new'").select(pair, "part").distinct()
-    own = theirs.join(asked, [pair, "part"]).join(whole, [pair, "part"]).select(pair, F.lit("new").alias("side"), "part", S.partial_reaches(C.page_norm(F.col("wt")), C.page_norm(F.col("pt")), REDEEM).cast("long").alias("like"))
-    cover = cover.join(own, [pair, "side", "part"], "left").withColumn("like", F.coalesce("like", F.lit(0)))
+    own = theirs.join(whole, [pair, "part"]).select(pair, "side", "part", "wt", "pt", F.lit(True).alias("anchored"))
+    # the texts go along with the covers, so that neither covers nor anchors are made once more
+    cover = covering(old, new, pair).join(own, [pair, "side", "part"], "left")
+    like = S.partial_reaches(C.page_norm(F.col("wt")), C.page_norm(F.col("pt")), REDEEM)
+    cover = cover.select(pair, "side", "host", "part", F.when(F.col("anchored"), like.cast("long")).otherwise(F.lit(0).cast("long")).alias("like"))
     zero = F.lit(0).cast("long")
-    shape = lambda df, what, side, *more: df.select(pair, F.lit(what).alias("what"), side.alias("side"), *[c.cast("long").alias(k) for c, k in zip(more, "abijkx")])
+    shape = lambda df, what, side, *more, score=F.lit(None).cast("double"): df.select(pair, F.lit(what).alias("what"), side.alias("side"), *[c.cast("long").alias(k) for c, k in zip(more, "abijkx")], score.alias("score"))
     ordered = anchors.withColumn("place", F.row_number().over(Window.partitionBy(pair).orderBy(F.desc("score"), "old_id", "new_id")))
     boxes = _sides(old, new, pair)
     # anchors come in the order in which they were made: the best first
-    rows = shape(ordered, _ANCHOR, F.lit(""), F.col("old_id"), F.col("new_id"), F.col("place"), zero, zero, zero)
+    rows = shape(ordered, _ANCHOR, F.lit(""), F.col("old_id"), F.col("new_id"), F.col("place"), zero, zero, zero, score=F.col("score").cast("double"))
     rows = rows.unionByName(shape(boxes, _BOX, F.col("side"), F.col("id"), zero, F.col("place"), F.col("size"), F.col("content"), F.col("same")))
     rows = rows.unionByName(shape(cover, _COVER, F.col("side"), F.col("host"), F.col("part"), F.col("like"), zero, zero, zero))
     settled = by_group(rows, pair, ["what", "i", "a", "b"], _settle)
-    kept = settled.filter(F.col("what") == _ANCHOR).select(pair, F.col("a").alias("old_id"), F.col("b").alias("new_id")).join(anchors.select(pair, "old_id", "new_id", "score"), [pair, "old_id", "new_id"])
+    kept = settled.filter(F.col("what") == _ANCHOR).select(pair, F.col("a").alias("old_id"), F.col("b").alias("new_id"), "score")
     side_of = lambda df, k: df.select(pair, F.col("id").alias(f"{k}_id"), *[F.col(c).alias(f"{k}_{c}") for c in ("y0", "y1", "x0", "x1", "text")])
     o, n = side_of(old, "old"), side_of(new, "new")
     plain = kept.join(o, [pair, "old_id"]).join(n, [pair, "new_id"])

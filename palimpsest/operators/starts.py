@@ -99,7 +99,8 @@ def page_plan(lessons: DataFrame, volume: str) -> DataFrame:
     w = Window.partitionBy(volume).orderBy("pos")
     whole = Window.partitionBy(volume)
     known = F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.first("start", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the first one behind is the last one before in the other order: frames that end with the group are made anew for each row
+    following = F.last("start", ignorenulls=True).over(Window.partitionBy(volume).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
     guess = F.when(known.isNotNull() & following.isNotNull(), F.greatest(known, F.least(following, known + 1))).when(known.isNotNull(), known + 1).otherwise(F.greatest(F.lit(1), following - 1))
     n = F.count("*").over(whole)
     have = F.count("start").over(whole)

@@ -9,6 +9,7 @@ from .functions import pages as G
 from .operators import alignment as A
 from .operators import pictures as I
 from .operators import preview as V
+from .operators.scans import settled
 from .registry import query, table
 
 
@@ -41,10 +42,12 @@ for _label in C.CLAUSE_LABELS:
 )
 def diff_missing_clauses(spark, sf_dir):
     """Clauses of each whole document, and those that the document before it doesn't have."""
-    d = table(spark, sf_dir, "documents")
-    before = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
-    p = d.select("doc_id", "text").join(before, "doc_id", "left")
-    return p.select("doc_id", F.size(C.clauses(F.col("text"))).cast("long").alias("n_clauses"), F.size(C.missing_clauses(F.col("text"), F.col("before"))).cast("long").alias("n_missing"))
+    # a few large rows make a partition: dealt out by rows, and each text is read once a side
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism)
+    d = settled(d, blob=C.page_blob(F.col("text"))).drop("text")
+    before = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("blob").alias("before"))
+    p = settled(d.join(before, "doc_id", "left"), some=C.clauses_of(F.col("blob")))
+    return p.select("doc_id", F.size("some").cast("long").alias("n_clauses"), F.size(C.missing_from(F.col("some"), F.coalesce("before", F.lit("")))).cast("long").alias("n_missing"))
 
 
 @query(

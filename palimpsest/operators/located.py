@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import compare as C
-from ..functions.text import let
-
 #: Characters of patterns that one automaton holds; more patterns make more automata, and the texts are read once for each.
 AUTOMATON = 4 << 20
 #: Places that are sent on at once.
@@ -79,40 +77,39 @@ def located(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 LEFT_OUT = " \t\n\x0b\f\r\u200b\u200c\u200d\ufeff\u00a0\u3000·●…．._—-"
 
 
-def _kept(text: Column) -> Column:
-    """Characters that page_norm keeps, with their places in the text (from 1)."""
-    chars = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
-    return F.filter(chars, lambda x: (x["c"] != "") & ~F.contains(F.lit(LEFT_OUT), x["c"]))
+def _pieces(text: str, needles: list) -> list[str]:
+    """See cut_at."""
+    text = (text or "").strip(" ")
+    kept = [i for i, c in enumerate(text) if c not in LEFT_OUT]
+    plain = "".join([text[i] for i in kept])
+    wanted = [(n or "").strip(" ") for n in needles]
+    cursor, spans = 0, []
+    for n in needles:
+        bare = "".join([c for c in n or "" if c not in LEFT_OUT])
+        at = plain.find(bare, cursor) if bare else -1
+        at = plain.find(bare) if bare and at < 0 else at
+        spans.append((at, at + len(bare)) if at >= 0 else None)
+        cursor = at + len(bare) if at >= 0 else cursor
+    out = []
+    for i, (n, mine) in enumerate(zip(wanted, spans)):
+        following = spans[i + 1] if i + 1 < len(spans) else None
+        a, b = mine or (0, 0)
+        b = following[0] if mine and following and following[0] < b else b
+        found = text[kept[a] : kept[b - 1] + 1].strip(" ") if b > a else ""
+        out.append(found or n)
+    return out
 
 
 def cut_at(text: Column, needles: Column) -> Column:
     """One piece of the text for each needle (array): where the needle stands after the one before it, else where it stands at all, blanks and dots aside.
 
     Pieces don't overlap: one that would is cut where the next begins. A needle that isn't there, or of which nothing is left,
-    stands for itself. Built-in functions only.
+    stands for itself. A small helper on Arrow batches: places in a string of bytes are counted from its begin, so that
+    built-in functions read a text once for each of its pieces.
     """
-    span = "struct<a:int,b:int>"
-    wanted = F.transform(needles, lambda n: F.struct(F.trim(F.coalesce(n, F.lit(""))).alias("n"), C.page_norm(n).alias("nn")))
-
-    def step(plain: Column):
-        def add(acc: Column, w: Column) -> Column:
-            after = F.position(w["nn"], plain, acc["cursor"] + 1)
-            at = F.when(w["nn"] == "", 0).when(after > 0, after).otherwise(F.position(w["nn"], plain, F.lit(1)))
-            hit = F.when(at > 0, F.struct((at - 1).cast("int").alias("a"), (at - 1 + F.length(w["nn"])).cast("int").alias("b"))).otherwise(F.lit(None).cast(span))
-            return F.struct(F.coalesce(hit["b"], acc["cursor"]).cast("int").alias("cursor"), F.array_append(acc["spans"], hit).alias("spans"))
-
-        return add
-
-    def pieces(t: Column, kept: Column, spans: Column, some: Column) -> Column:
-        def piece(w: Column, i: Column) -> Column:
-            mine, following = F.get(spans, i), F.get(spans, i + 1)
-            b = F.when(following["a"] < mine["b"], following["a"]).otherwise(mine["b"])
-            first, last = F.get(kept, mine["a"])["i"], F.get(kept, b - 1)["i"]
-            found = F.when(b > mine["a"], F.trim(F.substring(t, first, last - first + 1)))
-            return F.when((t == "") | found.isNull() | (found == ""), w["n"]).otherwise(found)
-
-        return F.transform(some, piece)
-
-    none = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{span}>").alias("spans"))
-    spans_of = lambda some, kept: let(F.array_join(F.transform(kept, lambda x: x["c"]), ""), lambda plain: F.aggregate(some, none, step(plain), lambda acc: acc["spans"]))
-    return let(F.trim(F.coalesce(text, F.lit(""))), lambda t: let(_kept(t), lambda kept: let(wanted, lambda some: let(spans_of(some, kept), lambda spans: pieces(t, kept, spans, some)))))
+
+    def many(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for some, wanted in texts:
+            yield pd.Series([None if n is None else _pieces(t, n) for t, n in zip(some, wanted)], dtype=object)
+
+    return F.pandas_udf(many, "array<string>")(text, needles)

@@ -27,7 +27,8 @@ def may_cover(h: Column, n: Column, edge: bool = False) -> Column:
 
 def covers(h: Column, n: Column, edge: bool = False) -> Column:
     """The second of two normalised texts stands in the first, word for word or nearly; and is no more than LARGEST of it."""
-    return may_cover(h, n, edge) & S.partial_reaches(h, n, EDGE_LIKE if edge else LIKE)
+    least = EDGE_LIKE if edge else LIKE
+    return may_cover(h, n, edge) & S.may_reach(h, n, least) & S.partial_reaches(h, n, least)
 
 
 def _sides(old: DataFrame, new: DataFrame, pair: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
+from ..functions.text import let
 from .containment import covers, may_cover
+from .scans import settled
 
 # Marks that end a paragraph, openers that begin a new one, bands at the edges of a page, lengths of fragments.
 FINAL = "。！？!?…；;.”\"』」"
@@ -57,7 +59,7 @@ def continued(boxes: DataFrame, book: str) -> DataFrame:
 
 def edge_fragment(text: Column, y0: Column, y1: Column) -> Column:
     """A short text at the top or bottom of a page: rather the rest or the begin of a paragraph than a paragraph."""
-    return F.length(C.content_key(text)).between(*FRAGMENT) & ((y0 < TOP) | (y1 > BOTTOM))
+    return let(F.length(C.content_key(text)), lambda n: n.between(*FRAGMENT)) & ((y0 < TOP) | (y1 > BOTTOM))
 
 
 def absorbed(loose: DataFrame, others: DataFrame, book: str) -> DataFrame:
@@ -68,11 +70,15 @@ def absorbed(loose: DataFrame, others: DataFrame, book: str) -> DataFrame:
     cover it, the longest text takes it, of equals the first. A stretch of a host is told once: equal fragments of one page are as
     many as there are in the host at most.
     """
-    f = loose.filter(edge_fragment(F.coalesce("text", F.lit("")), F.col("y0"), F.col("y1"))).select(book, "page", "id", F.coalesce("text", F.lit("")).alias("t"), (F.col("y0") < TOP).alias("top"))
+    text = F.coalesce("text", F.lit(""))
+    f = loose.filter((F.col("y0") < TOP) | (F.col("y1") > BOTTOM)).filter(edge_fragment(text, F.col("y0"), F.col("y1")))
+    # normal forms are made once a text, before fragments meet hosts
+    f = settled(f.select(book, "page", "id", text.alias("t"), (F.col("y0") < TOP).alias("top")), needle=C.page_norm(F.col("t"))).drop("t")
     f = f.withColumn("host_page", F.when(F.col("top"), F.col("page") - 1).otherwise(F.col("page") + 1))
     h = others.filter((F.col("y1") >= HOST_BOTTOM) | (F.col("y0") <= HOST_TOP)).select(F.col(book).alias("of_book"), F.col("page").alias("of_page"), F.col("id").alias("host"), F.coalesce("text", F.lit("")).alias("h"), (F.col("y1") >= HOST_BOTTOM).alias("low"), (F.col("y0") <= HOST_TOP).alias("high"))
+    h = settled(h, hay=C.page_norm(F.col("h")))
     near = (F.col(book) == F.col("of_book")) & (F.col("host_page") == F.col("of_page"))
-    met = f.join(h, near).filter((F.col("top") & F.col("low")) | (~F.col("top") & F.col("high"))).withColumns({"hay": C.page_norm(F.col("h")), "needle": C.page_norm(F.col("t"))}).filter(may_cover(F.col("hay"), F.col("needle"), True)).filter(covers(F.col("hay"), F.col("needle"), True))
+    met = f.join(h, near).filter((F.col("top") & F.col("low")) | (~F.col("top") & F.col("high"))).filter(may_cover(F.col("hay"), F.col("needle"), True)).filter(covers(F.col("hay"), F.col("needle"), True))
     best = Window.partitionBy(book, "page", "id").orderBy(F.desc(F.length(C.content_key(F.col("h")))), "host")
     one = met.withColumn("k", F.row_number().over(best)).filter("k = 1")
     needle, hay = F.col("needle"), F.col("hay")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
-from .alignment import char_overlap
+from .alignment import letters, letters_overlap
+from .scans import settled
 
 # Reaches below and above a picture, floors and weights.
 BELOW, ABOVE, SIDE, EDGE = 0.20, 0.35, 0.10, 0.02
@@ -40,10 +41,19 @@ def proximity(image: Column, text: Column) -> Column:
 
 def phrase_score(phrase: Column, label: Column) -> Column:
     """How well a phrase fits a label: ratio, shared characters, and how many of the label's it has."""
-    of = lambda c: F.array_distinct(F.filter(F.split(C.hanzi_key(c), ""), lambda x: x != ""))
-    held = F.coalesce(F.try_divide(F.size(F.array_intersect(of(phrase), of(label))), F.size(of(label))), F.lit(0.0))
-    empty = (F.coalesce(phrase, F.lit("")) == "") | (F.coalesce(label, F.lit("")) == "")
-    return F.when(empty, F.lit(0.0)).otherwise(0.35 * C.fuzz(phrase, label) + 0.35 * char_overlap(phrase, label) + 0.30 * held)
+    return score_of_parts(phrase_parts(phrase), phrase_parts(label))
+
+
+def phrase_parts(c: Column) -> Column:
+    """What phrase_score needs of a phrase or a label, made once before they meet: whether it is empty, its normal form, its different letters and those of its key."""
+    key = F.array_distinct(F.filter(F.split(C.hanzi_key(c), ""), lambda x: x != ""))
+    return F.struct((F.coalesce(c, F.lit("")) == "").alias("empty"), C.page_norm(c).alias("norm"), letters(C.page_norm(c)).alias("letters"), key.alias("key"))
+
+
+def score_of_parts(phrase: Column, label: Column) -> Column:
+    """phrase_score of two phrase_parts."""
+    held = F.coalesce(F.try_divide(F.size(F.array_intersect(phrase["key"], label["key"])), F.size(label["key"])), F.lit(0.0))
+    return F.when(phrase["empty"] | label["empty"], F.lit(0.0)).otherwise(0.35 * C.fuzz_of_norms(phrase["norm"], label["norm"]) + 0.35 * letters_overlap(phrase["letters"], label["letters"]) + 0.30 * held)
 
 
 def theme_name(text: Column, most: int = 18) -> Column:
@@ -52,16 +62,16 @@ def theme_name(text: Column, most: int = 18) -> Column:
     return F.substring(F.get(F.split(bare, ENDS), F.lit(0)), 1, most)
 
 
-def _paired(images: DataFrame, texts: DataFrame, page: str) -> DataFrame:
-    """Pictures and texts of the same page. images: page, image, y0, y1, x0, x1 and more; texts: page, id, y0, y1, x0, x1, text, kind."""
+def _paired(images: DataFrame, texts: DataFrame, page: str, *more: str) -> DataFrame:
+    """Pictures and texts of the same page. images: page, image, y0, y1, x0, x1 and more; texts: page, id, y0, y1, x0, x1 and text, kind or `more`."""
     box = F.struct("y0", "y1", "x0", "x1")
     i = images.withColumn("i", box).drop("y0", "y1", "x0", "x1")
-    t = texts.select(page, F.col("id").alias("t_id"), box.alias("t"), "text", "kind")
+    t = texts.select(page, F.col("id").alias("t_id"), box.alias("t"), *(more or ("text", "kind")))
     return i.join(t, page)
 
 
 def _first(pairs: DataFrame, page: str, score: Column, least: float | None = None) -> DataFrame:
-    scored = pairs.withColumn("score", score)
+    scored = settled(pairs, score=score)
     scored = scored if least is None else scored.filter(F.col("score") >= least)
     best = Window.partitionBy(page, "image").orderBy(F.desc("score"), "t_id")
     return scored.withColumn("k", F.row_number().over(best)).filter("k = 1")
@@ -88,13 +98,16 @@ def captions(images: DataFrame, texts: DataFrame, page: str) -> DataFrame:
 
 def matched_phrases(images: DataFrame, texts: DataFrame, page: str) -> DataFrame:
     """page, image, phrase, theme, score: the sentence of the page that fits a picture's label and place best. images have label (null: only the place counts)."""
-    p = _paired(images, texts, page)
     parts = F.filter(F.transform(F.split("text", "[。！？；\n]"), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: F.length(x).between(4, 120))
-    p = p.withColumn("phrase", F.explode(F.array_distinct(parts))).drop("text")
+    # sentences and labels are cut and read once, before pictures and texts meet
+    t = texts.withColumn("phrase", F.explode(F.array_distinct(parts)))
+    many = F.size(F.array_distinct(F.split(C.hanzi_key(F.col("phrase")), "")))
+    t = settled(t, read=F.struct(many.alias("letters"), phrase_parts(F.col("phrase")).alias("parts")))
+    i = settled(images, label_parts=phrase_parts(F.coalesce("label", F.lit(""))))
+    p = _paired(i, t, page, "phrase", "read")
     label = F.coalesce(F.col("label"), F.lit(""))
     place = proximity(F.col("i"), F.col("t"))
-    letters = F.size(F.array_distinct(F.split(C.hanzi_key(F.col("phrase")), "")))
-    score = F.when(label != "", 0.62 * phrase_score(F.col("phrase"), label) + 0.38 * place).otherwise(0.85 * place + 0.15 * F.least(F.lit(1.0), letters / 12))
+    score = F.when(label != "", 0.62 * score_of_parts(F.col("read.parts"), F.col("label_parts")) + 0.38 * place).otherwise(0.85 * place + 0.15 * F.least(F.lit(1.0), F.col("read.letters") / 12))
     best = _first(p, page, score).filter(F.col("score") >= F.when(label != "", LABELLED).otherwise(NEAR))
     return best.select(page, "image", "phrase", theme_name(F.coalesce(F.nullif(label, F.lit("")), F.col("phrase")), 20).alias("theme"), F.round("score", 3).alias("score"))
 

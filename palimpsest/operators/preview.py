@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
+from .scans import settled as made_once
 
 # Floors of the methods, tail of a footer line, names that stand with a page number.
 BY_CONTENTS, BY_CONTENT, WEAK, FOOTER_LINES, FOCUS, FOCUS_ROWS = 0.18, 0.22, 0.03, 8, 0.75, 10
@@ -37,17 +38,19 @@ def resolved_pages(new: DataFrame, old: DataFrame, contents: DataFrame, offsets:
     new: book, page, key, text; old: book, page, text; contents: book, key, page; offsets: book, offset. Texts of pages
     are compared within a book, and all of them only for pages that neither footer nor contents settle.
     """
-    o = old.select(book, F.col("page").alias("old_page"), F.col("text").alias("old_text"))
-    n = new.join(offsets, book).withColumn("printed", footer_page(F.col("text")))
-    alike = C.page_similarity(F.col("text"), F.col("old_text"))
+    # what is compared is made once a page, before pages meet
+    norm = C.page_norm(C.without_scan_noise(F.col("text")))
+    o = made_once(old.select(book, F.col("page").alias("old_page"), "text"), old_norm=norm).drop("text")
+    n = made_once(new.join(offsets, book), printed=footer_page(F.col("text")), norm=norm).drop("text")
+    alike = C.fuzz_of_norms(F.col("norm"), F.col("old_norm"))
     footer = n.filter("printed IS NOT NULL").withColumn("old_page", F.col("printed") + F.col("offset")).join(o, [book, "old_page"]).select(book, "page", "old_page", F.lit("footer").alias("method"), alike.alias("similarity"))
     entry = contents.groupBy(book, "key").agg(F.min("page").alias("first"))
     toc = n.join(entry, [book, "key"]).withColumn("old_page", F.col("first") + F.col("offset")).join(o, [book, "old_page"]).select(book, "page", "old_page", F.lit("toc").alias("method"), alike.alias("similarity")).filter(F.col("similarity") >= BY_CONTENTS)
     first = Window.partitionBy(book, "page").orderBy(F.when(F.col("method") == "footer", 0).otherwise(1))
     settled = footer.unionByName(toc).withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
     rest = n.join(settled.select(book, "page"), [book, "page"], "left_anti")
-    met = rest.join(o, book).join(body_start(old, book), book).filter(F.col("old_page") >= F.col("start")).withColumn("similarity", alike)
-    best = met.withColumn("k", F.row_number().over(Window.partitionBy(book, "page").orderBy(F.desc("similarity"), "old_page"))).filter((F.col("k") == 1) & (F.col("similarity") > WEAK))
+    met = rest.join(o, book).join(body_start(old, book), book).filter(F.col("old_page") >= F.col("start"))
+    best = met.select(book, "page", "old_page", alike.alias("similarity")).withColumn("k", F.row_number().over(Window.partitionBy(book, "page").orderBy(F.desc("similarity"), "old_page"))).filter((F.col("k") == 1) & (F.col("similarity") > WEAK))
     content = best.select(book, "page", "old_page", F.when(F.col("similarity") >= BY_CONTENT, "content").otherwise("content_weak").alias("method"), "similarity")
     last = old.groupBy(book).agg(F.max("page").alias("last"))
     guess = F.when(F.col("page") <= 1, 1).otherwise(F.least(F.greatest(F.lit(1), F.col("page") + F.col("offset") - 1), F.col("last")))

@@ -5,8 +5,6 @@ Nulls in a key form a group of their own where rows are counted and meet nothing
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,6 @@ SAME_PAGE = ("基本一致", "一致", "仅标点差异", "没变化")
 ATTENTION = "音标变动注意"
 LISTED_PAGES = 20
 LEAST_GAP = 0.10
-UNKNOWN_PLACE = 9999
 
 
 def _said(c: Column) -> Column:
@@ -124,30 +121,31 @@ def compare_flags(matches: DataFrame, new: DataFrame, old: DataFrame, lesson: st
     the same pair twice, a score less than 0.10 ahead of the runner-up, and a new block whose first old block is before
     one that an earlier new block has; unknown blocks come last, and equal places go by id.
     """
-    numbered = lambda df, i: df.withColumn("at", F.row_number().over(Window.partitionBy(lesson).orderBy(F.coalesce("place", F.lit(0)), i)) - 1)
+    # ids are unique in new and old. One shuffle of the matches serves both results, another one, by lesson, all windows; where blocks stand is told by place and id, without numbering them
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    pairs = matches.filter(given("new_id") & given("old_id")).groupBy(lesson, "new_id", "old_id").agg(F.count("*").alias("rows"))
-    olds = numbered(old, "old_id").select(lesson, "old_id", F.lit(True).alias("known"), F.coalesce("place", F.lit(0)).alias("place"), "at")
-    step = F.col("place") - F.lag("place").over(Window.partitionBy(lesson, "new_id").orderBy("place"))
-    last = F.coalesce("at", F.lit(UNKNOWN_PLACE))
-    groups = pairs.join(olds, [lesson, "old_id"], "left").withColumn("step", step).groupBy(lesson, "new_id").agg(
-        F.count("*").alias("olds"), F.sum("rows").alias("rows"), F.bool_or(F.col("known").isNull() | F.coalesce(F.col("step") > 1, F.lit(False))).alias("apart"), F.min(last).alias("low"), F.max(last).alias("high")
-    )
-    at_new = numbered(new, "new_id").select(lesson, "new_id", F.col("at").alias("new_at"))
-    ordered = Window.partitionBy(lesson).orderBy(F.coalesce("new_at", F.lit(UNKNOWN_PLACE)), "new_id").rowsBetween(Window.unboundedPreceding, -1)
-    turned = groups.join(at_new, [lesson, "new_id"], "left").withColumn("before", F.max("high").over(ordered)).filter("low < before")
-    close = matches.select(lesson, "new_id").join(new, [lesson, "new_id"]).filter(F.col("score") - F.col("runner_up") < LEAST_GAP).distinct()
-    flagged = lambda df, flag, severity, target="new_id": df.select(lesson, F.lit(flag).alias("flag"), F.lit(severity).alias("severity"), F.col(target).alias("target"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            flagged(pairs.groupBy(lesson, "old_id").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_anchor", "high", "old_id"),
-            flagged(groups.filter("olds > 1 and apart"), "non_contiguous_multi_anchor", "high"),
-            flagged(groups.filter("olds = 1 and rows > 1"), "duplicate_pair", "medium"),
-            flagged(close, "low_confidence", "medium"),
-            flagged(turned, "order_inversion", "high"),
-        ],
+    place, known = F.coalesce("place", F.lit(0)), F.col("place").isNotNull()
+    pairs = matches.select(lesson, "new_id", "old_id").repartition(lesson, "old_id").groupBy(lesson, "new_id", "old_id").agg(F.count("*").alias("rows")).withColumn("given", given("new_id") & given("old_id"))
+    shared = pairs.groupBy(lesson, "old_id").agg(F.count_if("given").alias("n")).filter("n > 1")
+    met = pairs.join(old.select(lesson, "old_id", place.alias("place")), [lesson, "old_id"], "left")
+    at = F.when(F.col("given"), F.struct((~known).alias("unknown"), "place", F.when(known, F.col("old_id")).alias("id")))
+    met = met.select(lesson, "new_id", "given", "rows", "place", at.alias("at"))
+    blocks = new.filter(F.col(lesson).isNotNull() & F.col("new_id").isNotNull()).select(lesson, "new_id", place.alias("new_place"), (F.col("score") - F.col("runner_up") < LEAST_GAP).alias("close"))
+    step = F.col("place") - F.lag("place").over(Window.partitionBy(lesson, "new_id").orderBy(F.desc("given"), "place"))
+    rows = met.unionByName(blocks, allowMissingColumns=True).repartition(lesson).withColumn("apart", F.when(F.col("given"), F.col("place").isNull() | F.coalesce(step > 1, F.lit(False))))
+    groups = rows.groupBy(lesson, "new_id").agg(
+        F.count("given").alias("matched"), F.count_if("given").alias("olds"), F.sum(F.when(F.col("given"), F.col("rows"))).alias("rows"), F.bool_or("apart").alias("apart"), F.min("at").alias("low"), F.max("at").alias("high"),
+        F.min("new_place").alias("new_place"), F.bool_or("close").alias("close"),
     )
+    ordered = Window.partitionBy(lesson).orderBy(F.asc_nulls_last("new_place"), "new_id").rowsBetween(Window.unboundedPreceding, -1)
+    flags = [
+        (F.expr("olds > 1 and apart"), "non_contiguous_multi_anchor", "high"),
+        (F.expr("olds = 1 and rows > 1"), "duplicate_pair", "medium"),
+        (F.expr("matched > 0 and close"), "low_confidence", "medium"),
+        (F.col("low") < F.col("before"), "order_inversion", "high"),
+    ]
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(flag).alias("flag"), F.lit(severity).alias("severity"))) for c, flag, severity in flags]))
+    own = groups.withColumn("before", F.max("high").over(ordered)).select(lesson, "new_id", F.explode(found).alias("f")).select(lesson, "f.flag", "f.severity", F.col("new_id").alias("target"))
+    return shared.select(lesson, F.lit("duplicate_anchor").alias("flag"), F.lit("high").alias("severity"), F.col("old_id").alias("target")).unionByName(own)
 
 
 def with_any(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ Boxes are compared within a pair of pages only. Which covers which is found rela
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +42,25 @@ def _sides(old: DataFrame, new: DataFrame, pair: str) -> DataFrame:
     return both.select(pair, "side", "id", place.alias("place"), F.length(C.page_norm(F.col("text"))).alias("size"), F.length(C.content_key(F.col("text"))).alias("content"), F.xxhash64("text").alias("same"))
 
 
+def _may_cover(rows: list[tuple], edge: bool = False) -> list[tuple]:
+    """(pair, side, host, part, h, p): the boxes of a page as hosts with their normalised texts. Returns which box may cover which of the other side, with both texts; with empty ones, where the second stands in the first word for word."""
+    out = []
+    for pair, side, host, _, h, _ in rows:
+        for _, other, part, _, p, _ in rows:
+            if other == side or not (EDGE_SHORTEST if edge else SHORTEST) <= len(p) <= LARGEST * len(h):
+                continue
+            if p in h:
+                out.append((pair, side, host, part, "", ""))  # of two empty texts one stands in the other
+            elif S.pieces_allow(h, p, EDGE_LIKE if edge else LIKE):
+                out.append((pair, side, host, part, h, p))
+    return out
+
+
 def covering(old: DataFrame, new: DataFrame, pair: str, edge: bool = False) -> DataFrame:
     """pair, side, host, part: which boxes of either side cover which of the other."""
-    side = lambda df, k: df.select(pair, F.col("id").alias(k), C.page_norm(F.col("text")).alias(k + "t"))
-    a, b = side(old, "o"), side(new, "n")
-    met = a.join(b, pair)
-    way = lambda side, host, part, h, p: met.select(pair, F.lit(side).alias("side"), F.col(host).alias("host"), F.col(part).alias("part"), F.col(h).alias("h"), F.col(p).alias("p"))
-    both = way("old", "o", "n", "ot", "nt").unionByName(way("new", "n", "o", "nt", "ot"))
-    return both.filter(may_cover(F.col("h"), F.col("p"), edge)).filter(covers(F.col("h"), F.col("p"), edge)).select(pair, "side", "host", "part")
+    side = lambda df, k: df.select(pair, F.lit(k).alias("side"), F.col("id").alias("host"), F.lit(None).cast("long").alias("part"), C.page_norm(F.col("text")).alias("h"), F.lit(None).cast("string").alias("p"))
+    met = by_group(side(old, "old").unionByName(side(new, "new")), pair, ["side", "host"], partial(_may_cover, edge=edge))
+    return met.filter(S.partial_reaches(F.col("h"), F.col("p"), EDGE_LIKE if edge else LIKE)).select(pair, "side", "host", "part")
 
 
 # Rows of a page as the helper sees them.
